@@ -6,6 +6,8 @@ from deedwork.plans.registry import all_oracles, all_queries
 
 for _group in (
     "workloads",
+    "expressions",
+    "relational",
 ):
     importlib.import_module(f"deedwork.plans.{_group}")
 
