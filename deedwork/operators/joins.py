@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from deedwork.specs import Link
 from deedwork.specs import Window as Validity
 
+SALTS = 1024
+
 
 def link_join(child: DataFrame, parent: DataFrame, link: Link, columns: dict[str, str]) -> DataFrame:
     """``child`` with the linked parent's columns (``{parent column: new name}``), NULL if none."""
@@ -97,14 +99,16 @@ def as_of_join(
     known = F.col(fact_date).isNotNull()
     for c in fact_key:
         known = known & F.col(c).isNotNull()
-    row = F.struct(*facts.columns)
-    placed = facts.where(known).select(
+    # Facts that can reach no version ride along, spread over salts of their own.
+    salt = F.when(known, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)))
+    placed = facts.select(
         *[F.col(c).alias(k) for c, k in zip(fact_key, keys)],
         F.col(fact_date).alias("_t"),
-        row.alias("_row"),
+        F.struct(*facts.columns).alias("_row"),
+        salt.alias("_salt"),
     )
     # What each (entity, slice) opens with: the last version of an earlier slice.
-    spots = placed.select(*keys, sliced).distinct()
+    spots = placed.where("_salt = 0").select(*keys, sliced).distinct()
     openings = (
         spots.unionByName(last, allowMissingColumns=True)
         .groupBy(*keys, "_slice")
@@ -122,9 +126,10 @@ def as_of_join(
         placed.withColumn("_slice", sliced)
         .unionByName(starts.withColumn("_slice", sliced), allowMissingColumns=True)
         .unionByName(openings, allowMissingColumns=True)
+        .withColumn("_salt", F.coalesce("_salt", F.lit(0)))
     )
     # An opening has no time and sorts first; a version sorts before the facts of its own day.
-    order = Window.partitionBy(*keys, "_slice").orderBy(
+    order = Window.partitionBy(*keys, "_slice", "_salt").orderBy(
         F.col("_t").asc_nulls_first(), F.col("_row").isNotNull()
     )
     reached = line.withColumn(
@@ -134,10 +139,7 @@ def as_of_join(
     limit = F.col("_version.body.end")
     alive = F.col("_version.body.open") | (F.col("_t") <= limit if window.closed else F.col("_t") < limit)
     valid = F.coalesce((F.col("_version.n") == 1) & alive, F.lit(False))
-    matched = reached.select(
-        "_row.*", *[F.when(valid, F.col(f"_version.body.{a}")).alias(a) for a in attributes]
-    )
-    return matched.unionByName(facts.where(~known), allowMissingColumns=True)
+    return reached.select("_row.*", *[F.when(valid, F.col(f"_version.body.{a}")).alias(a) for a in attributes])
 
 
 def interval_join(

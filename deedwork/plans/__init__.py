@@ -8,6 +8,7 @@ for _group in (
     "workloads",
     "expressions",
     "relational",
+    "quality",
 ):
     importlib.import_module(f"deedwork.plans.{_group}")
 
