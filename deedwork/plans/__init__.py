@@ -9,6 +9,7 @@ for _group in (
     "expressions",
     "relational",
     "quality",
+    "governance",
 ):
     importlib.import_module(f"deedwork.plans.{_group}")
 

@@ -192,7 +192,7 @@ DECLARED_ORDERS = TableSpec(
     _rows(
         """SELECT 'custkey' AS column_name, 'null_in_required' AS issue, 'required' AS declared, 'nullable' AS actual, 'types' AS verdict, count(*) - count(custkey) AS affected FROM sales
       UNION ALL SELECT 'placed', 'null_in_required', 'required', 'nullable', 'types', count(*) - count(placed) FROM sales
-      UNION ALL SELECT 'amount', 'type', 'double', 'decimal(12,2)', 'types', 0 FROM sales
+      UNION ALL SELECT 'amount', 'type', 'double', 'decimal(12,2)', 'types', count(*) * 0 FROM sales
       UNION ALL SELECT 'status', 'type', 'boolean', 'string', 'types', count(CASE WHEN status <> 'F' THEN 1 END) FROM sales
       UNION ALL SELECT 'comment', 'missing', 'string', 'none', 'structure', count(*) FROM sales
       UNION ALL SELECT 'at', 'extra', 'none', 'timestamp_ntz', 'structure', count("at") FROM sales"""
