@@ -34,29 +34,34 @@ def slice_of(column: Column, bounds: Sequence[float]) -> Column:
     return F.size(F.filter(cuts, lambda b: b < column.cast("double")))
 
 
-def running_counts(counts: DataFrame, value: str, n: str, slices: int = SLICES) -> DataFrame:
-    """Per distinct ``value`` with its count ``n``: ``before``, the count of all smaller values.
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: str, values: dict[str, str], bounds: Sequence[float]
+) -> DataFrame:
+    """``df`` with each output column the sum of its value over all smaller ``order`` of the same keys.
 
-    ``counts`` holds one row per value. The slices' totals (at most ``slices`` rows) are the only
-    thing that goes through one window.
+    ``values`` is ``{output: column}``; ``df`` has one row per (keys, order). Only the slices'
+    totals go through a window over the whole order of a key.
     """
-    cut = counts.withColumn("_slice", slice_of(F.col(value), slice_bounds(counts, value, slices)))
-    totals = cut.groupBy("_slice").agg(F.sum(n).alias("_n"))
+    keys = list(keys)
+    cut = df.withColumn("_slice", slice_of(F.col(order), bounds))
+    totals = cut.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(f"_t_{out}") for out, c in values.items()])
+    ahead = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     earlier = totals.select(
-        "_slice",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_earlier"),
+        *keys, "_slice", *[F.coalesce(F.sum(f"_t_{out}").over(ahead), F.lit(0)).alias(f"_e_{out}") for out in values]
     )
-    here = Window.partitionBy("_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        cut.withColumn("_here", F.coalesce(F.sum(n).over(here), F.lit(0)))
-        .join(F.broadcast(earlier), "_slice")
-        .withColumn("before", (F.col("_earlier") + F.col("_here")).cast("bigint"))
-        .drop("_slice", "_here", "_earlier")
+    here = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = cut.select("*", *[F.coalesce(F.sum(c).over(here), F.lit(0)).alias(f"_h_{out}") for out, c in values.items()])
+    return within.join(earlier, [*keys, "_slice"]).select(
+        *df.columns, *[(F.col(f"_e_{out}") + F.col(f"_h_{out}")).alias(out) for out in values]
     )
 
 
+def running_counts(counts: DataFrame, value: str, n: str, slices: int = SLICES) -> DataFrame:
+    """Per distinct ``value`` with its count ``n``: ``before``, the count of all smaller values."""
+    bounds = slice_bounds(counts, value, slices)
+    return running_sums(counts, [], value, {"before": n}, bounds).withColumn("before", F.col("before").cast("bigint"))
+
+
 def mid_ranks(df: DataFrame, column: str) -> DataFrame:
     """Per distinct value of ``column``: its count ``n`` and twice its mid-rank, a whole number."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
@@ -82,10 +87,10 @@ def quantile_values(df: DataFrame, column: str, levels: Sequence[tuple[str, int,
 
 
 def next_in_order(df: DataFrame, keys: Sequence[str], order: str, slice_: Column, out: str) -> DataFrame:
-    """``out``: the next larger ``order`` of the same key. ``df`` has one row per (keys, order).
+    """``out``: the next larger ``order`` of the same key, where ``order`` may be a struct.
 
-    ``slice_`` is any never decreasing cut of ``order`` (a month, say): the first value of each
-    slice stands for it, and only those are ordered per key.
+    ``df`` has one row per (keys, order). ``slice_`` is any never decreasing cut of ``order`` (a
+    month, say): the first value of each slice stands for it, and only those are ordered per key.
     """
     keys = list(keys)
     cut = df.withColumn("_slice", slice_)

@@ -10,6 +10,7 @@ for _group in (
     "relational",
     "quality",
     "governance",
+    "profiling",
 ):
     importlib.import_module(f"deedwork.plans.{_group}")
 
