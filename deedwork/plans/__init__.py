@@ -11,6 +11,8 @@ for _group in (
     "quality",
     "governance",
     "profiling",
+    "disclosure",
+    "privacy",
 ):
     importlib.import_module(f"deedwork.plans.{_group}")
 
