@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -10,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deedwork.functions.durations import seconds_of
 from deedwork.functions.rules import truth
 from deedwork.functions.values import ratio
 from deedwork.specs import Band, Rule
@@ -163,19 +163,6 @@ def bound(id: str, columns: Sequence[str], op: str, threshold: float, severity:
     return Check(id, "accuracy", aggs, outcome, severity)
 
 
-def seconds_of(window: str) -> int:
-    """``"24h"``, ``"30m"``, ``"7d"`` or an ISO 8601 duration such as ``"PT24H"`` as seconds."""
-    units = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
-    short = re.fullmatch(r"\s*(\d+)\s*([smhdw])\s*", window.lower())
-    if short:
-        return int(short[1]) * units[short[2]]
-    iso = re.fullmatch(r"P(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?", window.upper())
-    if not iso or not any(iso.groups()):
-        raise ValueError(f"{window!r} is not a duration")
-    weeks, days, hours, minutes, seconds = (int(g or 0) for g in iso.groups())
-    return weeks * 604800 + days * 86400 + hours * 3600 + minutes * 60 + seconds
-
-
 def freshness(id: str, column: str, reference: str, window: str, severity: str = "error") -> Check:
     """Seconds from the newest value to ``reference`` (given, so a rerun gives the same answer)."""
     limit = seconds_of(window)

@@ -13,6 +13,7 @@ for _group in (
     "profiling",
     "disclosure",
     "privacy",
+    "ingest",
 ):
     importlib.import_module(f"deedwork.plans.{_group}")
 
