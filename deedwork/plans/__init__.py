@@ -14,6 +14,8 @@ for _group in (
     "disclosure",
     "privacy",
     "ingest",
+    "streams",
+    "modelling",
 ):
     importlib.import_module(f"deedwork.plans.{_group}")
 

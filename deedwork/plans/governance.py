@@ -106,6 +106,10 @@ def schema_readable(t: Tables) -> DataFrame:
 
 
 def nested_orders(t: Tables) -> DataFrame:
+    return nested_lines(t.lineitem)
+
+
+def nested_lines(lineitem: DataFrame) -> DataFrame:
     """Stream-shaped records: customer, address, items and attributes, some parts missing."""
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
     price = money("l_extendedprice")
@@ -121,7 +125,7 @@ def nested_orders(t: Tables) -> DataFrame:
     attributes = F.create_map(
         F.lit("channel"), F.col("l_linestatus"), F.lit("note"), F.when(key % 17 != 0, F.col("l_returnflag"))
     )
-    return t.lineitem.select(
+    return lineitem.select(
         F.concat_ws("-", key.cast("string"), line.cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("event_id"),
         F.when(key % 29 != 0, customer).alias("customer"),
         items.alias("items"),

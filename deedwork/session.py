@@ -78,5 +78,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(self.path(name))
 
+    def stream(self, name: str) -> DataFrame:
+        """The table as a file stream. The pattern takes a folder of files and a single file alike."""
+        schema = getattr(self, name).schema
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parque[t]")
+
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +58,14 @@ def land_partitioned(df: DataFrame, path: str, partition_by: Sequence[str], *, r
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").save(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or ``None`` before the first load."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def full_refresh(df: DataFrame, path: str) -> int:
@@ -77,8 +82,8 @@ def incremental_append(df: DataFrame, path: str, cursor: str) -> int:
 
     The cursor is read from what is committed, so a load that failed half-way is simply run again.
     """
-    spark = df.sparkSession
-    last = spark.read.parquet(path).agg(F.max(cursor)).first()[0] if exists(spark, path) else None
+    held = existing(df.sparkSession, path)
+    last = None if held is None else held.agg(F.max(cursor)).first()[0]
     return write(past_cursor(df, cursor, last), path, mode="append")
 
 
