@@ -152,13 +152,13 @@ def sum_and_mean(df: DataFrame, groups: Sequence[str], value: str, rule: Disclos
     top = max(2, rule.dominance_n)
     status = _contributions(df, groups, value, top).withColumn("sum_status", _sum_status(rule))
     gridded = df.where(F.col(value).isNotNull()).select(*groups, on_grid(F.col(value), bits).alias("g"), F.col(value).alias("v"))
-    residue = F.col("v").cast("decimal(18,4)") * F.lit(2**bits).cast("decimal(10,0)") - F.col("g")
+    residue = F.col("v").cast("decimal(18,2)") * F.lit(2**bits).cast("decimal(10,0)") - F.col("g").cast("decimal(19,0)")
     rest = _contributions(gridded.withColumn("r", residue), groups, "r", top).withColumn(
         "residue_status", F.when(F.col("contributors") == 0, FREE).otherwise(_sum_status(rule))
     )
     per_point = gridded.groupBy(*groups, "g").agg(F.count("*").alias("n"))
     grid = per_point.groupBy(*groups).agg(
-        F.count("*").alias("points"), F.sum((F.col("g") * F.col("n").cast("decimal(10,0)")).cast("decimal(38,0)")).alias("grid_total")
+        F.count("*").alias("points"), F.sum((F.col("g").cast("decimal(19,0)") * F.col("n").cast("decimal(10,0)")).cast("decimal(38,0)")).alias("grid_total")
     )
     joined = status.join(rest.select(*groups, "residue_status"), list(groups)).join(grid, list(groups))
     counted = count_status(F.col("records"), rule)

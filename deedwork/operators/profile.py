@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from deedwork.functions.values import ratio
 from deedwork.operators import slices
 from deedwork.operators.windows import level_spine
+from deedwork.session import materialized
 
 GRID_BITS = 16
 MOST_PAIR_COLUMNS = 32
@@ -26,9 +27,16 @@ MINIMUM_CELL = 10
 CHILDREN_EDGES = (0, 1, 2, 3, 5, 10, 20)
 
 
-def on_grid(c: Column, bits: int = GRID_BITS) -> Column:
-    """``floor(x · 2^bits)``: a decimal on the binary grid, as a whole number."""
-    return F.floor(c.cast("decimal(18,4)") * F.lit(2**bits).cast("decimal(10,0)")).cast("decimal(28,0)")
+def on_grid(c: Column, bits: int = GRID_BITS, scale: int = 2) -> Column:
+    """``floor(x · 2^bits)`` of a decimal with ``scale`` places, as a whole number.
+
+    The whole part and the fraction go onto the grid on their own, so long arithmetic is enough;
+    a value too large for it raises.
+    """
+    whole = F.floor(c)
+    places = ((c - whole) * F.lit(10**scale)).cast("bigint")
+    fraction = F.call_function("div", places * F.lit(2**bits), F.lit(10**scale))
+    return whole.cast("bigint") * F.lit(2**bits) + fraction
 
 
 # -- columns ----------------------------------------------------------------------------
@@ -123,7 +131,7 @@ def magnitudes(df: DataFrame, columns: Sequence[str], bits: int = GRID_BITS) ->
             F.min(c).alias(f"lo{i}"),
             F.max(c).alias(f"hi{i}"),
             F.sum(c).alias(f"s{i}"),
-            F.sum(on_grid(F.col(c), bits)).alias(f"g{i}"),
+            F.sum(on_grid(F.col(c), bits).cast("decimal(19,0)")).alias(f"g{i}"),
         ]
     rows = [
         F.struct(
@@ -371,6 +379,12 @@ def per_entity(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
 # -- rank correlation -----------------------------------------------------------------------
 
 
+def _counted_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    """``x, y, n``: the records collapsed once, for all the passes that follow."""
+    known = df.dropna(subset=[x, y]).groupBy(F.col(x).alias("x"), F.col(y).alias("y"))
+    return materialized(known.agg(F.count("*").alias("n")), f"pairs-{x}-{y}")
+
+
 def kendall_s(df: DataFrame, x: str, y: str) -> DataFrame:
     """``records`` and ``s``: the sum of sign·sign over all pairs of records, without forming pairs.
 
@@ -379,10 +393,10 @@ def kendall_s(df: DataFrame, x: str, y: str) -> DataFrame:
     other right. Per node a running count over y gives each right record the left ones below and
     above it. The work is cells times bits of the index; swap the columns so x has fewer values.
     """
-    cells = df.dropna(subset=[x, y]).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
+    cells = _counted_pairs(df, x, y)
     distinct = cells.groupBy("x").agg(F.lit(1).alias("one"))
     levels = max((distinct.count() - 1).bit_length(), 1)
-    index = slices.running_counts(distinct, "x", "one").select("x", F.col("before").alias("i"))
+    index = slices.running_counts(distinct, "x", "one", slices.slice_bounds(distinct, "x")).select("x", F.col("before").alias("i"))
     bit = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
     spread = cells.join(index, "x").select("y", "n", "i", bit.alias("level"))
     side = F.expr("(i >> level) & 1")
@@ -406,10 +420,9 @@ def kendall_s(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def spearman_a4(df: DataFrame, x: str, y: str) -> DataFrame:
     """``records`` and ``a4``: four times the sum of products of the centred mid-ranks."""
-    known = df.dropna(subset=[x, y]).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    cells = known.groupBy("x", "y").agg(F.count("*").alias("n"))
-    rx = slices.mid_ranks(known, "x").select("x", F.col("mid_rank_x2").alias("rx"))
-    ry = slices.mid_ranks(known, "y").select("y", F.col("mid_rank_x2").alias("ry"))
+    cells = _counted_pairs(df, x, y)
+    rx = slices.mid_ranks(slices.value_counts(cells, "x", F.col("n")), "x").select("x", F.col("mid_rank_x2").alias("rx"))
+    ry = slices.mid_ranks(slices.value_counts(cells, "y", F.col("n")), "y").select("y", F.col("mid_rank_x2").alias("ry"))
     total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records")).scalar()
     wide = "decimal(19,0)"
     ranked = cells.join(rx, "x").join(ry, "y").withColumn("records", total)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deedwork.session import materialized
+
 SLICES = 128
 
 
@@ -19,7 +21,8 @@ def slice_bounds(df: DataFrame, column: str, slices: int = SLICES) -> list[float
     """At most ``slices`` cut points with about equally many rows between them.
 
     They only balance the work: any cut points give the same result, so an approximate sketch
-    will do. They come to the driver as plain numbers, so every branch of a plan uses the same.
+    will do. They come to the driver as at most
+    ``slices`` plain numbers, so every branch of a plan uses the same.
     """
     steps = [i / slices for i in range(1, slices)]
     found = df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", steps, 1 / (4 * slices))
@@ -27,11 +30,15 @@ def slice_bounds(df: DataFrame, column: str, slices: int = SLICES) -> list[float
 
 
 def slice_of(column: Column, bounds: Sequence[float]) -> Column:
-    """How many cut points lie below the value: never decreasing in the value."""
+    """How many cut points lie below the value: never decreasing in the value.
+
+    The value's place among the sorted cut points, found by one built-in sort of a short array.
+    """
     if not bounds:
         return F.lit(0)
+    value = column.cast("double")
     cuts = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(cuts, lambda b: b < column.cast("double")))
+    return (F.array_position(F.sort_array(F.array_append(cuts, value)), value) - 1).cast("int")
 
 
 def running_sums(
@@ -56,16 +63,21 @@ def running_sums(
     )
 
 
-def running_counts(counts: DataFrame, value: str, n: str, slices: int = SLICES) -> DataFrame:
+def running_counts(counts: DataFrame, value: str, n: str, bounds: Sequence[float]) -> DataFrame:
     """Per distinct ``value`` with its count ``n``: ``before``, the count of all smaller values."""
-    bounds = slice_bounds(counts, value, slices)
     return running_sums(counts, [], value, {"before": n}, bounds).withColumn("before", F.col("before").cast("bigint"))
 
 
-def mid_ranks(df: DataFrame, column: str) -> DataFrame:
-    """Per distinct value of ``column``: its count ``n`` and twice its mid-rank, a whole number."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    return running_counts(counts, column, "n").withColumn("mid_rank_x2", F.col("before") * 2 + F.col("n") + 1)
+def value_counts(df: DataFrame, column: str, n: Column | None = None) -> DataFrame:
+    """``column, n``: every known value once, with its rows; kept, as several passes follow."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg((F.count("*") if n is None else F.sum(n)).alias("n"))
+    return materialized(counts, f"values-{column}")
+
+
+def mid_ranks(counts: DataFrame, column: str) -> DataFrame:
+    """Per distinct value of :func:`value_counts`: twice its mid-rank, a whole number."""
+    run = running_counts(counts, column, "n", slice_bounds(counts, column))
+    return run.withColumn("mid_rank_x2", F.col("before") * 2 + F.col("n") + 1)
 
 
 def quantile_values(df: DataFrame, column: str, levels: Sequence[tuple[str, int, int]]) -> DataFrame:
@@ -73,8 +85,8 @@ def quantile_values(df: DataFrame, column: str, levels: Sequence[tuple[str, int,
 
     The level ``top/bottom`` is a ratio of whole numbers, so the rank is exact.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    run = running_counts(counts, column, "n")
+    counts = value_counts(df, column)
+    run = running_counts(counts, column, "n", slice_bounds(counts, column))
     total = counts.agg(F.sum("n").alias("total")).scalar()
     asked = F.array(
         *[F.struct(F.lit(name).alias("level"), F.lit(a).alias("a"), F.lit(b).alias("b")) for name, a, b in levels]

@@ -457,7 +457,7 @@ def win_next_version(t: Tables) -> DataFrame:
 )
 def win_mid_rank(t: Tables) -> DataFrame:
     bands = t.orders.select("o_orderkey", F.floor(F.col("o_totalprice") / 1000).alias("price_band"))
-    ranks = slices.mid_ranks(bands, "price_band").select("price_band", "mid_rank_x2")
+    ranks = slices.mid_ranks(slices.value_counts(bands, "price_band"), "price_band").select("price_band", "mid_rank_x2")
     return bands.join(ranks, "price_band")
 
 

@@ -24,6 +24,8 @@ def build_session(master: str = "local[8]", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
+        # Small local tables are CPU-bound: keep their partitions apart instead of merging to 1 MB.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.driver.memory": "16g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
@@ -62,6 +64,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the scratch folder and read back: a cut that outlives executors.
+
+    For an intermediate result several branches need, where each would otherwise start over from
+    the source. As a columnar table it keeps its column pruning and its size estimate.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Tables:
     """The tables of one data folder: ``Tables(spark, folder).orders`` is a lazy DataFrame."""
 
