@@ -91,26 +91,26 @@ def _contributions(df: DataFrame, groups: Sequence[str], value: str, top: int) -
     wide = "decimal(38,4)"
     counts = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).cast("decimal(28,4)").alias("v"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("size", F.abs("v"))
+        .groupBy(*groups, F.col(value).cast("decimal(28,4)").alias("_v"))
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_size", F.abs("_v"))
     )
-    n = F.col("n").cast("decimal(10,0)")
+    n = F.col("_n").cast("decimal(10,0)")
     totals = counts.groupBy(*groups).agg(
-        F.sum("n").alias("records"),
-        F.coalesce(F.sum(F.when(F.col("v") != 0, F.col("n"))), F.lit(0)).alias("contributors"),
+        F.sum("_n").alias("records"),
+        F.coalesce(F.sum(F.when(F.col("_v") != 0, F.col("_n"))), F.lit(0)).alias("contributors"),
         F.count("*").alias("values"),
-        F.max("size").alias("largest"),
-        F.sum((F.col("size") * n).cast(wide)).cast(wide).alias("total"),
-        F.sum((F.col("v") * n).cast(wide)).cast(wide).alias("sum"),
+        F.max("_size").alias("largest"),
+        F.sum((F.col("_size") * n).cast(wide)).cast(wide).alias("total"),
+        F.sum((F.col("_v") * n).cast(wide)).cast(wide).alias("sum"),
     )
-    copies = counts.select(*groups, F.explode(F.array_repeat("size", F.least(F.col("n"), F.lit(top)).cast("int"))).alias("size"))
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("size")))
+    copies = counts.select(*groups, F.explode(F.array_repeat("_size", F.least(F.col("_n"), F.lit(top)).cast("int"))).alias("_size"))
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("_size")))
     first = (
-        copies.withColumn("rn", rank)
-        .where(F.col("rn") <= top)
+        copies.withColumn("_rank", rank)
+        .where(F.col("_rank") <= top)
         .groupBy(*groups)
-        .agg(*[F.sum(F.when(F.col("rn") <= i, F.col("size"))).cast(wide).alias(f"t{i}") for i in range(1, top + 1)])
+        .agg(*[F.sum(F.when(F.col("_rank") <= i, F.col("_size"))).cast(wide).alias(f"t{i}") for i in range(1, top + 1)])
     )
     return totals.join(first, list(groups))
 
@@ -151,14 +151,14 @@ def sum_and_mean(df: DataFrame, groups: Sequence[str], value: str, rule: Disclos
     """
     top = max(2, rule.dominance_n)
     status = _contributions(df, groups, value, top).withColumn("sum_status", _sum_status(rule))
-    gridded = df.where(F.col(value).isNotNull()).select(*groups, on_grid(F.col(value), bits).alias("g"), F.col(value).alias("v"))
-    residue = F.col("v").cast("decimal(18,2)") * F.lit(2**bits).cast("decimal(10,0)") - F.col("g").cast("decimal(19,0)")
-    rest = _contributions(gridded.withColumn("r", residue), groups, "r", top).withColumn(
+    gridded = df.where(F.col(value).isNotNull()).select(*groups, on_grid(F.col(value), bits).alias("_grid"), F.col(value).alias("_value"))
+    residue = F.col("_value").cast("decimal(18,2)") * F.lit(2**bits).cast("decimal(10,0)") - F.col("_grid").cast("decimal(19,0)")
+    rest = _contributions(gridded.withColumn("_r", residue), groups, "_r", top).withColumn(
         "residue_status", F.when(F.col("contributors") == 0, FREE).otherwise(_sum_status(rule))
     )
-    per_point = gridded.groupBy(*groups, "g").agg(F.count("*").alias("n"))
+    per_point = gridded.groupBy(*groups, "_grid").agg(F.count("*").alias("_n"))
     grid = per_point.groupBy(*groups).agg(
-        F.count("*").alias("points"), F.sum((F.col("g").cast("decimal(19,0)") * F.col("n").cast("decimal(10,0)")).cast("decimal(38,0)")).alias("grid_total")
+        F.count("*").alias("points"), F.sum((F.col("_grid").cast("decimal(19,0)") * F.col("_n").cast("decimal(10,0)")).cast("decimal(38,0)")).alias("grid_total")
     )
     joined = status.join(rest.select(*groups, "residue_status"), list(groups)).join(grid, list(groups))
     counted = count_status(F.col("records"), rule)

@@ -165,32 +165,30 @@ def date_span(df: DataFrame, column: str, minimum: int = MINIMUM_CELL, most: int
             F.min(unit).alias("first"), F.max(unit).alias("last"), F.min_by("n", unit).alias("a"), F.max_by("n", unit).alias("b")
         )
 
-    m, y = ends(months, "month"), ends(years, "year")
-    both = m.select(
-        F.col("first"),
-        F.col("last"),
+    y = ends(years, "year").select(
+        F.struct(
+            F.col("first").alias("first"),
+            F.col("last").alias("last"),
+            (F.least("a", "b") >= minimum).alias("full"),
+            (F.year("last") - F.year("first") + 1).alias("bins"),
+        ).alias("y")
+    )
+    both = ends(months, "month").select(
+        "first",
+        "last",
         (F.least("a", "b") >= minimum).alias("full"),
         ((F.year("last") - F.year("first")) * 12 + F.month("last") - F.month("first") + 1).alias("bins"),
-        F.lit(1).alias("_one"),
-    ).join(
-        y.select(
-            F.col("first").alias("first_year"),
-            F.col("last").alias("last_year"),
-            (F.least("a", "b") >= minimum).alias("full_year"),
-            (F.year("last") - F.year("first") + 1).alias("year_bins"),
-            F.lit(1).alias("_one"),
-        ),
-        "_one",
+        y.scalar().alias("y"),
     )
     unit = F.when(F.col("full") & (F.col("bins") <= most), "month").when(
-        F.col("full_year") & (F.col("year_bins") <= most), "year"
+        F.col("y.full") & (F.col("y.bins") <= most), "year"
     )
     chosen = both.withColumn("unit", unit).where("unit IS NOT NULL")
     spine = chosen.select(
         "unit",
         F.explode(
             F.when(F.col("unit") == "month", F.sequence("first", "last", F.expr("interval 1 month"))).otherwise(
-                F.sequence("first_year", "last_year", F.expr("interval 1 year"))
+                F.sequence("y.first", "y.last", F.expr("interval 1 year"))
             )
         ).alias("start"),
     )
