@@ -24,8 +24,8 @@ def build_session(master: str = "local[8]", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
-        # Small local tables are CPU-bound: keep their partitions apart instead of merging to 1 MB.
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+        # Small local tables are CPU-bound: merge their shuffle partitions less eagerly.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "512k",
         "spark.driver.memory": "16g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
