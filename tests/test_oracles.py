@@ -5,8 +5,9 @@ from conftest import SMALL
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry
+from deedwork import plans
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = plans.all_queries(), plans.all_oracles()
 RANDOM = {"dp_noisy_counts", "dp_noisy_null_count", "dp_noisy_history", "dp_noisy_query_rate", "dp_noisy_rank"}
 
 
