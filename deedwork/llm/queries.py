@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from deedwork.llm import exact_dedup
+from deedwork.llm import decontamination, exact_dedup, line_dedup, sharding
 from deedwork.session import Tables
 
 QUERIES, ORACLES = {}, {}
@@ -35,3 +35,63 @@ def query(name: str, oracle: str | None = None):
 )
 def _op6(t):
     return exact_dedup.exact_dedup(t.documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query(
+    "op2_line_dedup",
+    r"""
+    WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    e AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM s),
+    k AS (SELECT *, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+    o AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+    m AS (SELECT k.*, o.key IS NOT NULL AND k.doc_id <> o.keeper AS lost FROM k LEFT JOIN o ON k.key = o.key)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
+    FROM m GROUP BY doc_id
+    """,
+)
+def _op2(t):
+    return line_dedup.line_dedup(t.documents).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op8_decontamination",
+    r"""
+    WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    bl AS (SELECT *, least(len(w), 10) AS m FROM bw WHERE len(w) > 0),
+    g AS (SELECT DISTINCT item_id, m, array_to_string(w[i : i + m - 1], ' ') AS gram FROM bl, unnest(range(1, len(w) - m + 2)) AS t(i)),
+    lengths AS (SELECT DISTINCT m FROM g),
+    dg AS (SELECT doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') AS gram
+           FROM dw, lengths, unnest(range(1, len(w) - m + 2)) AS t(i) WHERE len(w) >= m),
+    h AS (SELECT dg.doc_id, dg.m, dg.i, g.item_id FROM dg JOIN g USING (m, gram)),
+    c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + m)) AS t(p) GROUP BY doc_id),
+    n AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+)
+def _op8(t):
+    return decontamination.decontaminate(t.documents, t.benchmark).drop("clean_words")
+
+
+@query(
+    "op10_sharding",
+    """
+    WITH b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes,
+                      CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
+    p AS (SELECT depth, h >> (60 - depth) AS prefix, sum(n_bytes) AS shard_bytes, count(*) AS shard_rows
+          FROM b, range(0, 40) AS t(depth) GROUP BY 1, 2),
+    f AS (SELECT b.doc_id, b.n_bytes, p.*, row_number() OVER (PARTITION BY b.doc_id ORDER BY p.depth) AS k
+          FROM b JOIN p ON b.h >> (60 - p.depth) = p.prefix WHERE p.shard_bytes <= 1048576 OR p.shard_rows = 1)
+    SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END AS shard, depth,
+           CAST(n_bytes AS BIGINT) AS n_bytes, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_rows
+    FROM f WHERE k = 1
+    """,
+)
+def _op10(t):
+    return sharding.shard_rows(t.documents)
