@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,12 +77,30 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, for work that runs in Python there."""
+    context = spark.sparkContext
+    if getattr(context, "_deedwork_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="deedwork-"), "deedwork-package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("deedwork", os.path.relpath(path, home)))
+    context.addPyFile(archive)
+    context._deedwork_shipped = True
+
+
 class Tables:
     """The tables of one data folder: ``Tables(spark, folder).orders`` is a lazy DataFrame."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        ship_package(spark)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def path(self, name: str) -> str:
