@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from deedwork.llm import decontamination, exact_dedup, line_dedup, sharding
+from deedwork.llm import decontamination, exact_dedup, line_dedup, packing, sharding, warc
 from deedwork.session import Tables
 
 QUERIES, ORACLES = {}, {}
@@ -95,3 +96,15 @@ def _op8(t):
 )
 def _op10(t):
     return sharding.shard_rows(t.documents)
+
+
+@query("op9_packing")
+def _op9(t):
+    path = public_tokenizers.path
+    return packing.pack(t.documents, str(path("byte_bpe_50k.json")), str(path("byte_bpe_50k.tiktoken")))
+
+
+@query("op1_warc")
+def _op1(t):
+    _, chunks = warc.archive_pages(t.pages)
+    return warc.record_table(chunks).withColumnRenamed("record", "page_id")
