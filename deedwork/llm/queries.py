@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from deedwork.llm import decontamination, exact_dedup, line_dedup, packing, sharding, warc
+from deedwork.llm import decontamination, exact_dedup, language_id, line_dedup, packing, sharding, toxicity, warc
 from deedwork.session import Tables
 
 QUERIES, ORACLES = {}, {}
 
 
+def fold_of(count: int):
+    """The fold of a document: crc32 of its id as text, modulo ``count``."""
+    return F.crc32(F.col("doc_id").cast("string")) % count
+
+
 def query(name: str, oracle: str | None = None):
     def wrap(fn):
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
@@ -108,3 +113,17 @@ def _op9(t):
 def _op1(t):
     _, chunks = warc.archive_pages(t.pages)
     return warc.record_table(chunks).withColumnRenamed("record", "page_id")
+
+
+@query("op3_language_id")
+def _op3(t):
+    held_out = fold_of(4) == 2
+    out = language_id.identify(t.documents, held_out)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_toxicity")
+def _op7(t):
+    held_out = fold_of(5) == 0
+    out = toxicity.score(t.documents, t.labels, held_out)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
