@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from deedwork.llm import decontamination, exact_dedup, language_id, line_dedup, packing, sharding, toxicity, warc
+from deedwork.llm import decontamination, exact_dedup, language_id, line_dedup, packing, sharding, substring_dedup, toxicity, warc
 from deedwork.session import Tables
 
 QUERIES, ORACLES = {}, {}
@@ -127,3 +127,23 @@ def _op7(t):
     held_out = fold_of(5) == 0
     out = toxicity.score(t.documents, t.labels, held_out)
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query(
+    "op5_substring_dedup",
+    r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    g AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS gram
+          FROM w, unnest(range(1, len(w) - 48)) AS t(i) WHERE len(w) >= 50),
+    f AS (SELECT gram, min(doc_id) AS low FROM g GROUP BY gram),
+    c AS (SELECT DISTINCT doc_id, p FROM g JOIN f USING (gram), unnest(range(i, i + 50)) AS t(p) WHERE low < doc_id),
+    e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+    k AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.p) AS kept, count(*) AS n_kept
+          FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.p = c.p GROUP BY e.doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN k USING (doc_id)
+    """,
+)
+def _op5(t):
+    out = substring_dedup.substring_dedup(t.documents)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
