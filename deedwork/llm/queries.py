@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from deedwork.llm import decontamination, exact_dedup, language_id, line_dedup, packing, sharding, substring_dedup, toxicity, warc
+from deedwork.llm import (
+    decontamination,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    near_dedup,
+    packing,
+    sharding,
+    substring_dedup,
+    toxicity,
+    warc,
+)
 from deedwork.session import Tables
 
 QUERIES, ORACLES = {}, {}
@@ -147,3 +158,8 @@ def _op7(t):
 def _op5(t):
     out = substring_dedup.substring_dedup(t.documents)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_near_dedup")
+def _op4(t):
+    return near_dedup.near_duplicates(t.documents).drop("key")
