@@ -39,6 +39,37 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return spans.groupBy("length", "hash", "words").agg(F.collect_set("item").alias("items"))
 
 
+_HITS = "array<struct<pos:int,length:int,words:string,items:array<string>>>"
+
+
+def _hits(read: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """``hit_id``, ``hit_key`` and the windows whose hashes hit, for each document (``id``, ``key``, ``text``) with any."""
+    grams = item_windows(benchmark, window=window)
+    sizes = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(sizes.values()) <= BROADCAST_WINDOWS:
+        grams = F.broadcast(grams)
+    split = read.select("id", "key", words_of(F.col("text")).alias("w"))
+    found = [
+        split.select("id", "key", F.posexplode(_hashes(F.col("w"), n)).alias("pos", "hash"))
+        .join(grams.where(F.col("length") == n), "hash")
+        .select("id", "key", F.struct("pos", "length", "words", "items").alias("hit"))
+        for n in sorted(sizes)
+    ]
+    found = found or [read.where("false").select("id", "key", F.explode(F.lit(None).cast(_HITS)).alias("hit"))]
+    hits = reduce(DataFrame.unionByName, found).groupBy("id", "key").agg(F.collect_set("hit").alias("hits"))
+    return hits.withColumnsRenamed({"id": "hit_id", "key": "hit_key"})
+
+
+def _verified(words: Column, hits: Column) -> Column:
+    """The hits whose words stand in the document."""
+    every = F.coalesce(hits, F.array().cast(_HITS))
+
+    def standing(w: Column) -> Column:
+        return F.filter(every, lambda h: F.array_join(F.slice(w, h["pos"] + 1, h["length"]), " ") == h["words"])
+
+    return F.get(F.transform(F.array(words), standing), F.lit(0))  # the text is split once, not for each hit
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -52,30 +83,11 @@ def decontaminate(
     words is in no document; a null item id has no name in the list, but its windows hit. Repeated rows give the same result. With no
     documents the result is empty, with no items nothing is contaminated.
     """
-    grams = item_windows(benchmark, window=window)
-    sizes = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if sum(sizes.values()) <= BROADCAST_WINDOWS:
-        grams = F.broadcast(grams)
     read = fold(docs, {"id": id_col, "text": text_col}).withColumn("key", F.xxhash64("text"))
-    split = read.select("id", "key", words_of(F.col("text")).alias("w"))
-    found = [
-        split.select("id", "key", F.posexplode(_hashes(F.col("w"), n)).alias("pos", "hash"))
-        .join(grams.where(F.col("length") == n), "hash")
-        .select("id", "key", F.struct("pos", "length", "words", "items").alias("hit"))
-        for n in sorted(sizes)
-    ]
-    every = read.select("id", "key", words_of(F.col("text")).alias("w"))
-    if found:
-        hits = reduce(DataFrame.unionByName, found).groupBy("id", "key").agg(F.collect_set("hit").alias("hits"))
-        hits = hits.withColumnsRenamed({"id": "hit_id", "key": "hit_key"})
-        text = read.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
-        every = text.select("id", words_of(F.col("text")).alias("w"), "hits")
-    else:
-        every = every.select("id", "w", F.lit(None).cast("array<struct<pos:int,length:int,words:string,items:array<string>>>").alias("hits"))
-    real = F.filter(
-        F.coalesce("hits", F.array()),
-        lambda h: F.array_join(F.slice(F.col("w"), h["pos"] + 1, h["length"]), " ") == h["words"],
-    )
+    hits = _hits(read, benchmark, window)
+    text = read.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
+    every = text.select("id", words_of(F.col("text")).alias("w"), "hits")
+    real = _verified(F.col("w"), F.col("hits"))
     checked = every.select("id", "w", F.size("w").cast("bigint").alias("n_words"), real.alias("real"))
     spans = F.array_sort(F.transform("real", lambda h: F.struct(h["pos"].alias("a"), (h["pos"] + h["length"]).alias("b"))))
     merged = F.aggregate(
@@ -102,3 +114,21 @@ def decontaminate(
         (F.col("m.words") > 0).alias("contaminated"),
         F.array_join(kept, " ").alias("clean_words"),
     )
+
+
+def clean_documents(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW_WORDS,
+) -> DataFrame:
+    """The rows of ``docs`` in which no window of ``benchmark`` occurs, with all their columns."""
+    read = fold(docs, {"id": id_col, "text": text_col}).withColumn("key", F.xxhash64("text"))
+    hits = _hits(read, benchmark, window).withColumnsRenamed({"hit_id": "__id", "hit_key": "__key", "hits": "__hits"})
+    keyed = docs.withColumn("__text", F.xxhash64(F.col(f"`{text_col}`")))
+    both = keyed.join(hits, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left")
+    # Only a document with a hit is split into words again.
+    both = both.withColumn("__words", F.when(F.col("__hits").isNotNull(), words_of(F.col(f"`{text_col}`"))))
+    real = F.size(_verified(F.col("__words"), F.col("__hits"))) > 0
+    return both.where(~F.coalesce(real, F.lit(False))).select(*(F.col(f"`{c}`") for c in docs.columns))
