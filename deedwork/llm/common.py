@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from deedwork.session import materialized
 
-__all__ = ["ascii_lower", "fold", "materialized"]
+__all__ = ["ascii_lower", "fold", "materialized", "whole_row"]
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -22,3 +22,8 @@ def fold(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the asked columns, under internal names that cannot clash with those of the caller."""
     return df.select(*(df[f"`{theirs}`"].alias(ours) for ours, theirs in columns.items()))
 
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one, ``row``, to carry them through a join under names that cannot clash."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedwork.llm.common import ascii_lower, fold
+from deedwork.llm.common import ascii_lower, fold, whole_row
 
 WINDOW_WORDS = 10
 BROADCAST_WINDOWS = 500_000
@@ -125,10 +125,11 @@ def clean_documents(
 ) -> DataFrame:
     """The rows of ``docs`` in which no window of ``benchmark`` occurs, with all their columns."""
     read = fold(docs, {"id": id_col, "text": text_col}).withColumn("key", F.xxhash64("text"))
-    hits = _hits(read, benchmark, window).withColumnsRenamed({"hit_id": "__id", "hit_key": "__key", "hits": "__hits"})
-    keyed = docs.withColumn("__text", F.xxhash64(F.col(f"`{text_col}`")))
-    both = keyed.join(hits, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left")
+    hits = _hits(read, benchmark, window)
+    keyed = docs.select(
+        whole_row(docs), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text")
+    )
+    both = keyed.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
     # Only a document with a hit is split into words again.
-    both = both.withColumn("__words", F.when(F.col("__hits").isNotNull(), words_of(F.col(f"`{text_col}`"))))
-    real = F.size(_verified(F.col("__words"), F.col("__hits"))) > 0
-    return both.where(~F.coalesce(real, F.lit(False))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    words = F.when(F.col("hits").isNotNull(), words_of(F.col("text")))
+    return both.where(~F.coalesce(F.size(_verified(words, F.col("hits"))) > 0, F.lit(False))).select("row.*")

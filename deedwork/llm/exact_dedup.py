@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedwork.llm.common import fold, materialized
+from deedwork.llm.common import fold, materialized, whole_row
 
 BLOCK_CHARS = 2048
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -141,14 +141,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     kept = exact_dedup(docs, id_col, text_col, **how).where("kept")
-    kept = kept.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_chars").alias("__n"))
+    kept = kept.select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), F.col("n_chars").alias("n"))
     text = F.col(f"`{text_col}`")
     keyed = docs.select(
-        "*",
-        F.col(f"`{id_col}`").alias("__key_id"),
-        F.sha2(squeezed(text), 256).alias("__key_sha"),
-        F.length(F.coalesce(text, F.lit(""))).alias("__key_n"),
+        whole_row(docs),
+        F.col(f"`{id_col}`").alias("row_id"),
+        F.sha2(squeezed(text), 256).alias("row_sha"),
+        F.length(F.coalesce(text, F.lit(""))).alias("row_n"),
     )
-    same = F.col("__key_id").eqNullSafe(F.col("__id")) & (F.col("__key_sha") == F.col("__sha")) & (F.col("__key_n") == F.col("__n"))
+    same = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_sha") == F.col("sha")) & (F.col("row_n") == F.col("n"))
     # Rows that repeat id and text match the same decision; one of them stays.
-    return keyed.join(kept, same).dropDuplicates(["__key_id", "__key_sha", "__key_n"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return keyed.join(kept, same).dropDuplicates(["row_id", "row_sha", "row_n"]).select("row.*")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deedwork.llm.common import fold, materialized
+from deedwork.llm.common import fold, materialized, whole_row
 from deedwork.llm.components import components
 from deedwork.session import ship_package
 
@@ -236,8 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with the smallest id of each class, one of those that repeat it, with all their columns."""
     told = near_duplicates(docs, id_col, text_col, least).where(F.col(id_col).eqNullSafe(F.col("class_id")))
-    told = told.select(F.col(id_col).alias("__id"), F.col("key").alias("__key")).distinct()
-    keyed = docs.select("*", F.hash(F.col(f"`{text_col}`")).alias("__text"))
-    match = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
-    stays = keyed.join(told, match).dropDuplicates(["__id", "__key"])
-    return stays.select(*(F.col(f"`{c}`") for c in docs.columns))
+    told = told.select(F.col(id_col).alias("id"), "key").distinct()
+    keyed = docs.select(whole_row(docs), F.col(f"`{id_col}`").alias("row_id"), F.hash(F.col(f"`{text_col}`")).alias("row_key"))
+    stays = keyed.join(told, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")))
+    return stays.dropDuplicates(["row_id", "row_key"]).select("row.*")
