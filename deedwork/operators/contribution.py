@@ -3,88 +3,72 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
-from itertools import combinations
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deedwork.functions.crypto import hmac_sha256
+from deedwork.functions.crypto import hmac_sha256, text_bytes
 
-MOST_ROWS_PER_UNIT = 1000
-DOMAIN = "deedwork/contribution"
+NO_UNIT = "none"
 
 
-def _framed(body: Column) -> Column:
-    """Bytes behind their length, so that two parts side by side cannot be read another way."""
-    length = F.lpad(F.hex(F.octet_length(body).cast("bigint")), 16, "0")
-    return F.concat(F.unhex(length), body)
+def netstrings(*values: Column) -> Column:
+    """The values as one text that reads only one way: ``5:hello`` for each, ``-`` for NULL."""
+    texts = [v.cast("string") for v in values]
+    return F.concat(*[F.when(t.isNull(), "-").otherwise(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t)) for t in texts])
 
 
-def encoded(columns: Sequence[str]) -> Column:
-    """The values of a row as bytes, each tagged (N null, V value) and framed."""
-    parts = []
-    for c in columns:
-        text = F.encode(F.coalesce(F.col(c).cast("string"), F.lit("")), "UTF-8")
-        tag = F.when(F.col(c).isNull(), F.lit(b"N")).otherwise(F.lit(b"V"))
-        parts.append(F.concat(tag, _framed(text)))
-    return reduce(lambda a, b: F.concat(a, b), parts)
+def unit_key(columns: Sequence[str]) -> Column:
+    """The unit as text. Rows with a NULL in their key share one unit, whose text no key has."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return F.when(known, netstrings(*map(F.col, columns))).otherwise(NO_UNIT)
 
 
-def unit_key(columns: Sequence[str]) -> Column:
-    """The unit's bytes. Rows with a NULL key part share one unit no key value can equal."""
-    null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-    return F.when(null, F.lit(b"P")).otherwise(encoded(columns))
+def drawn(seed: bytes, label: str, unit: Column, content: Column) -> Column:
+    """A keyed hash to choose by: without the seed nobody can tell which rows of a unit stay."""
+    return hmac_sha256(text_bytes(netstrings(F.lit(label), unit, content)), seed)
 
 
-def priority(seed: bytes, label: str, data: Column) -> Column:
-    """A keyed hash for choosing rows: nobody without the seed can tell which are kept."""
-    head = f"{DOMAIN}/{label}".encode() + b"\0"
-    return hmac_sha256(F.concat(F.lit(head), data), seed)
+def _checked(most: int) -> None:
+    if most < 1:
+        raise ValueError("a unit must be allowed at least one row")
 
 
 def bound_rows(
     df: DataFrame, unit: Sequence[str], content: Sequence[str], *, seed: bytes, most: int, label: str = "bound"
 ) -> DataFrame:
-    """At most ``most`` rows of each unit: those of smallest priority.
+    """At most ``most`` rows of each unit, those whose keyed hash is least.
 
-    The priority reads only the unit and the row's content, never its position. The bounded rank
+    The hash reads only the unit and the row's content, never its position. The bounded rank
     keeps at most ``most`` rows of a unit per task before the shuffle, so a hot unit stays small.
     """
-    if not 1 <= most <= MOST_ROWS_PER_UNIT:
-        raise ValueError(f"a unit may contribute 1 to {MOST_ROWS_PER_UNIT} rows")
-    keyed = df.withColumns({"_unit": unit_key(unit), "_content": encoded(content)})
-    ranked = keyed.withColumn("_priority", priority(seed, label, F.concat(_framed(F.col("_unit")), F.col("_content"))))
-    order = Window.partitionBy("_unit").orderBy("_priority", "_content")
-    return (
-        ranked.withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= most)
-        .drop("_unit", "_content", "_priority", "_rank")
-    )
+    _checked(most)
+    named = df.withColumns({"_unit": unit_key(unit), "_content": netstrings(*map(F.col, content))})
+    named = named.withColumn("_drawn", drawn(seed, label, F.col("_unit"), F.col("_content")))
+    order = Window.partitionBy("_unit").orderBy("_drawn", "_content")
+    kept = named.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
+    return kept.drop("_unit", "_content", "_drawn", "_rank")
 
 
 def kept_entities(
     df: DataFrame, unit: str, entity: str, *, seed: bytes, most: int, label: str = "bound"
 ) -> DataFrame:
-    """``unit, entity`` kept whole: in priority order, each that still fits in the unit's room.
+    """``unit, entity`` kept whole: in the order of their hashes, each that still fits in the unit's room.
 
     An entity too large for the room is passed over and a later, smaller one may still fit. Of
-    equally large entities only the first ``most // size`` by priority can ever be kept, as room
+    equally large entities only the first ``most // size`` can ever be kept, as room
     only shrinks; the rest are dropped before anything is gathered. What is gathered per unit is
     then at most the sum of ``most / size`` over sizes, a bound that does not depend on the data.
     """
-    if not 1 <= most <= MOST_ROWS_PER_UNIT:
-        raise ValueError(f"a unit may contribute 1 to {MOST_ROWS_PER_UNIT} rows")
+    _checked(most)
     sizes = df.groupBy(unit, entity).agg(F.count("*").alias("size")).where(F.col("size") <= most)
-    data = F.concat(_framed(unit_key([unit])), _framed(encoded([entity])))
-    ranked = sizes.withColumn("priority", priority(seed, label, data))
-    order = Window.partitionBy(unit, "size").orderBy("priority")
-    possible = (
-        ranked.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= most)
-        .where(F.col("rank") * F.col("size") <= most)
-    )
-    members = F.array_sort(F.collect_list(F.struct("priority", "size", F.col(entity).alias("key"))))
+    placed = sizes.withColumn("drawn", drawn(seed, label, unit_key([unit]), netstrings(F.col(entity))))
+    alike = Window.partitionBy(unit, "size").orderBy("drawn")
+    possible = placed.withColumn("nth", F.row_number().over(alike)).where((F.col("nth") <= most) & (F.col("nth") * F.col("size") <= most))
+    queue = F.array_sort(F.collect_list(F.struct("drawn", "size", F.col(entity).alias("key"))))
     key_type = df.schema[entity].dataType.simpleString()
     start = F.struct(F.lit(most).cast("bigint").alias("room"), F.array().cast(f"array<{key_type}>").alias("kept"))
 
@@ -95,8 +79,8 @@ def kept_entities(
             F.when(fits, F.concat(state["kept"], F.array(m["key"]))).otherwise(state["kept"]).alias("kept"),
         )
 
-    folded = possible.groupBy(unit).agg(members.alias("members"))
-    return folded.select(unit, F.explode(F.aggregate("members", start, take, lambda s: s["kept"])).alias(entity))
+    filled = possible.groupBy(unit).agg(F.aggregate(queue, start, take, lambda s: s["kept"]).alias("kept"))
+    return filled.select(unit, F.explode("kept").alias(entity))
 
 
 def bound_entities(
@@ -104,27 +88,21 @@ def bound_entities(
 ) -> DataFrame:
     """The rows of :func:`kept_entities`. Rows without an entity are entities of their own.
 
-    Those compete with the whole entities for the unit's room, so they are numbered (at most
-    ``most`` of them can fit) and take part under keys of their own.
+    Those compete with the whole entities for the unit's room. Alike ones are numbered, at most
+    ``most`` of them can fit, and each is named by its content and number where others have a key.
     """
-    text = F.when(F.col(entity).isNotNull(), F.concat(F.lit("E"), F.col(entity).cast("string")))
-    plain = [c for c in df.columns if c not in (unit, entity)]
-    marked = df.withColumn("_content", F.sha2(encoded([*plain, unit]), 256))
+    others = [c for c in df.columns if c not in (unit, entity)]
+    content = F.sha2(text_bytes(netstrings(F.col(unit), *map(F.col, others))), 256)
+    keyed = df.where(F.col(entity).isNotNull()).withColumn("_entity", netstrings(F.col(entity)))
     alike = Window.partitionBy(unit, "_content").orderBy("_content")
-    single = (
-        marked.where(F.col(entity).isNull())
-        .withColumn("_copy", F.row_number().over(alike))
-        .where(F.col("_copy") <= most)
-        .withColumn("_entity", F.concat(F.lit("R"), F.col("_content"), F.lit("/"), F.col("_copy").cast("string")))
-        .drop("_copy")
-    )
-    rows = marked.where(F.col(entity).isNotNull()).withColumn("_entity", text).unionByName(single)
+    single = df.where(F.col(entity).isNull()).withColumn("_content", content)
+    single = single.withColumn("_copy", F.row_number().over(alike)).where(F.col("_copy") <= most)
+    single = single.withColumn("_entity", netstrings(F.col(entity), F.col("_content"), F.col("_copy"))).drop("_content", "_copy")
+    rows = keyed.unionByName(single)
     kept = kept_entities(rows.select(unit, "_entity"), unit, "_entity", seed=seed, most=most, label=label)
-    return rows.join(
-        kept.select(F.col(unit).alias("_u"), F.col("_entity").alias("_e")),
-        F.col(unit).eqNullSafe(F.col("_u")) & (F.col("_entity") == F.col("_e")),
-        "left_semi",
-    ).drop("_entity", "_content")
+    kept = kept.select(F.col(unit).alias("_u"), F.col("_entity").alias("_e"))
+    same = F.col(unit).eqNullSafe(F.col("_u")) & (F.col("_entity") == F.col("_e"))
+    return rows.join(kept, same, "left_semi").drop("_entity")
 
 
 def follow_rows(
@@ -143,44 +121,52 @@ def sensitivity_squared(c: Column, k: Column) -> Column:
     return F.greatest(whole * k * k + rest * rest, F.lit(2))
 
 
-def make_consistent(tables: dict[str, tuple[DataFrame, Sequence[str], dict[str, int], float]]) -> dict[str, DataFrame]:
-    """Noisy count tables moved so that they agree on the columns they share.
+@dataclass(frozen=True)
+class NoisyTable:
+    """Cells complete on their public spine, with a ``value``; the levels of each column; the noise's variance."""
+
+    cells: DataFrame
+    levels: dict[str, int]
+    variance: float
+
+    def beneath(self, shared: frozenset[str]) -> int:
+        """How many cells lie under one cell of the shared columns."""
+        return prod(n for c, n in self.levels.items() if c not in shared)
+
+    def weight(self, shared: frozenset[str]) -> float:
+        return 1.0 / (self.beneath(shared) * self.variance)
+
+
+def _level(tables: dict[str, NoisyTable], shared: frozenset[str]) -> dict[str, NoisyTable]:
+    """The tables with equal sums over ``shared``: each moves to the mean weighted by precision."""
+    whole = sum(t.weight(shared) for t in tables.values())
+    keys = sorted(shared)
+    own = {name: t.cells.groupBy(*keys).agg(F.sum("value").alias("own")) for name, t in tables.items()}
+    voices = [own[name].select(*keys, (F.col("own") * t.weight(shared) / whole).alias("share")) for name, t in tables.items()]
+    agreed = reduce(DataFrame.unionByName, voices).groupBy(*keys).agg(F.sum("share").alias("agreed"))
+    out = {}
+    for name, t in tables.items():
+        if keys:
+            step = (F.col("agreed") - F.col("own")) / t.beneath(shared)
+            moved = t.cells.join(own[name].join(agreed, keys).select(*keys, step.alias("step")), keys)
+        else:
+            moved = t.cells.withColumn("step", (agreed.scalar() - own[name].scalar()) / t.beneath(shared))
+        out[name] = replace(t, cells=moved.withColumn("value", F.col("value") + F.col("step")).select(*t.cells.columns))
+    return out
+
+
+def agreeing(tables: dict[str, NoisyTable]) -> dict[str, NoisyTable]:
+    """Noisy count tables moved so that they agree on all columns they share.
 
-    ``tables``: name to ``(cells, columns, sizes of the columns, variance)``, each cell table
-    complete on its public spine with a ``value`` column. For every set of shared columns, smallest
-    first, each table's projection moves to the inverse-variance weighted mean, the difference
-    spread evenly over its cells.
+    Column sets are levelled from the grand total up. What is moved is spread evenly over the
+    cells beneath, so a level that agrees still does after the finer ones.
     """
-    sets = {frozenset(cols) for _, cols, _, _ in tables.values()} | {frozenset()}
-    while True:
-        more = {a & b for a, b in combinations(sets, 2)} - sets
-        if not more:
-            break
-        sets |= more
-    current = {name: cells for name, (cells, *_) in tables.items()}
-    for shared in sorted(sets, key=lambda s: (len(s), sorted(s))):
-        holders = [name for name, (_, cols, _, _) in tables.items() if shared <= set(cols)]
-        if len(holders) < 2:
-            continue
-        keys = sorted(shared)
-        weights, per_cell, sums = {}, {}, {}
-        for name in holders:
-            _, cols, sizes, variance = tables[name]
-            per_cell[name] = 1
-            for c in set(cols) - shared:
-                per_cell[name] *= sizes[c]
-            weights[name] = 1.0 / (per_cell[name] * variance)
-            sums[name] = current[name].groupBy(*keys).agg(F.sum("value").alias("held"))
-        total = sum(weights.values())
-        parts = [sums[n].select(*keys, (F.col("held") * F.lit(weights[n] / total)).alias("part")) for n in holders]
-        target = reduce(lambda a, b: a.unionByName(b), parts).groupBy(*keys).agg(F.sum("part").alias("target"))
-        for name in holders:
-            if keys:
-                shift = sums[name].join(target, keys)
-                moved = current[name].join(shift, keys)
-                step = (F.col("target") - F.col("held")) / per_cell[name]
-            else:
-                moved = current[name]
-                step = (target.scalar() - sums[name].scalar()) / per_cell[name]
-            current[name] = moved.withColumn("value", F.col("value") + step).select(*current[name].columns)
-    return current
+    reached = {frozenset()}
+    for t in tables.values():
+        mine = frozenset(t.levels)
+        reached |= {mine} | {mine & other for other in reached}
+    for shared in sorted(reached, key=lambda columns: (len(columns), sorted(columns))):
+        meeting = {name: t for name, t in tables.items() if shared <= t.levels.keys()}
+        if len(meeting) > 1:
+            tables = tables | _level(meeting, shared)
+    return tables

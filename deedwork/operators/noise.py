@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
 from math import floor, isqrt
@@ -84,6 +85,11 @@ def discrete_gaussian(variance: Fraction, draw: Stream) -> int:
             return x
 
 
+def cell_label(label: str, cell: Sequence) -> str:
+    """The name of a cell's stream. As JSON it reads only one way, and NULL is not the text of it."""
+    return json.dumps([label, *[None if pd.isna(v) else str(v) for v in cell]])
+
+
 def noisy_counts(cells: DataFrame, keys: Sequence[str], count: str, *, variance: Fraction, seed: bytes, label: str) -> DataFrame:
     """``keys`` and ``noisy``: every cell's count plus noise. ``cells`` is complete on its spine.
 
@@ -95,7 +101,7 @@ def noisy_counts(cells: DataFrame, keys: Sequence[str], count: str, *, variance:
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             noise = [
-                discrete_gaussian(variance, Stream(seed, "/".join([label, *[str(v) for v in row]])))
+                discrete_gaussian(variance, Stream(seed, cell_label(label, row)))
                 for row in batch[keys].itertuples(index=False)
             ]
             yield batch[keys].assign(noisy=batch[count].astype("int64") + pd.Series(noise, index=batch.index, dtype="int64"))
@@ -117,19 +123,23 @@ def noisy_value(value: Fraction, delta: Fraction, scale: Fraction, draw: Stream)
     return f"{sign}{digits[:-VALUE_PLACES]}.{digits[-VALUE_PLACES:]}"
 
 
-def noisy_rank(stats: DataFrame, top: str, *, delta: Fraction, scale: Fraction, seed: bytes, label: str) -> DataFrame:
+def noisy_rank(
+    stats: DataFrame, top: str, *, per_unit: int, floor_rows: int, scale: Fraction, seed: bytes, label: str
+) -> DataFrame:
     """A rank correlation released with noise. ``stats``: one row with ``records`` and ``top``.
 
-    The value is Kendall's ``s`` over the number of record pairs.
+    The value is Kendall's ``s`` over the number of record pairs. A unit of at most ``per_unit`` rows moves it by at most four
+    times that over the public ``floor_rows``; with fewer rows the job fails, since the noise would not cover it.
     """
+    delta = Fraction(4 * per_unit, floor_rows)
 
     def release(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for n, s in zip(batch["records"], batch[top]):
-                pairs = int(n) * (int(n) - 1) // 2
-                exact = Fraction(int(s), pairs) if pairs else Fraction(0)
-                out.append(noisy_value(exact, delta, scale, Stream(seed, label)))
+                if n < floor_rows:
+                    raise ValueError(f"{label}: fewer rows than the public floor of {floor_rows}")
+                out.append(noisy_value(Fraction(int(s), int(n) * (int(n) - 1) // 2), delta, scale, Stream(seed, label)))
             yield pd.DataFrame({"statistic": [label] * len(out), "noisy": out})
 
     return stats.select("records", top).mapInPandas(release, "statistic string, noisy string")

@@ -23,32 +23,26 @@ SEED = b"a-seed-for-the-example-tables-only"
 INNER, OUTER = hmac_pads(SEED)
 
 
-def framed_sql(blob: str) -> str:
-    return f"unhex(lpad(to_hex(octet_length({blob})), 16, '0')) || {blob}"
-
-
-def encoded_sql(*columns: str) -> str:
-    return " || ".join(
-        f"CASE WHEN {c} IS NULL THEN 'N'::BLOB ELSE 'V'::BLOB END || {framed_sql(f'''encode(coalesce({c}::VARCHAR, ''))''')}"
-        for c in columns
-    )
+def netstrings_sql(*columns: str) -> str:
+    texts = [f"CAST({c} AS VARCHAR)" for c in columns]
+    return " || ".join(f"CASE WHEN {t} IS NULL THEN '-' ELSE octet_length(encode({t})) || ':' || {t} END" for t in texts)
 
 
 def unit_sql(c: str) -> str:
-    return f"CASE WHEN {c} IS NULL THEN 'P'::BLOB ELSE {encoded_sql(c)} END"
+    return f"CASE WHEN {c} IS NULL THEN '{contribution.NO_UNIT}' ELSE {netstrings_sql(c)} END"
 
 
-def priority_sql(label: str, data: str) -> str:
-    head = f"{contribution.DOMAIN}/{label}".encode().hex() + "00"
-    return f"sha256(unhex('{OUTER}') || unhex(sha256(unhex('{INNER}') || unhex('{head}') || {data})))"
+def drawn_sql(label: str, unit: str, content: str) -> str:
+    message = netstrings_sql(f"'{label}'", unit, content)
+    return f"sha256(unhex('{OUTER}') || unhex(sha256(unhex('{INNER}') || encode({message}))))"
 
 
 ORDER_CONTENT = ("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
 def bounded_sql(name: str, source: str, unit: str, content: tuple, label: str, most: int) -> str:
-    return f"""{name}_u AS (SELECT *, {unit_sql(unit)} AS _u, {encoded_sql(*content)} AS _c FROM {source}),
-  {name}_p AS (SELECT *, {priority_sql(label, f"{framed_sql('_u')} || _c")} AS _p FROM {name}_u),
+    return f"""{name}_u AS (SELECT *, {unit_sql(unit)} AS _u, {netstrings_sql(*content)} AS _c FROM {source}),
+  {name}_p AS (SELECT *, {drawn_sql(label, "_u", "_c")} AS _p FROM {name}_u),
   {name} AS (SELECT * EXCLUDE (_u, _c, _p) FROM {name}_p QUALIFY row_number() OVER (PARTITION BY _u ORDER BY _p, _c) <= {most})"""
 
 
@@ -79,8 +73,8 @@ NATION_ROOM = 40
 @query(
     "dp_bound_entities",
     f"""WITH RECURSIVE s AS (SELECT c_nationkey AS nation, o_custkey, count(*) AS size FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL HAVING count(*) <= {NATION_ROOM}),
-    e AS (SELECT *, 'E' || o_custkey::VARCHAR AS ent FROM s),
-    p AS (SELECT *, {priority_sql("bound", f"{framed_sql('_u')} || {framed_sql('_e')}")} AS _p FROM (SELECT *, {unit_sql("nation")} AS _u, {encoded_sql("ent")} AS _e FROM e)),
+    e AS (SELECT *, {netstrings_sql("o_custkey")} AS ent FROM s),
+    p AS (SELECT *, {drawn_sql("bound", "_u", "_e")} AS _p FROM (SELECT *, {unit_sql("nation")} AS _u, {netstrings_sql("ent")} AS _e FROM e)),
     o AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY _p) AS rn FROM p),
     f AS (SELECT nation, rn, o_custkey, size <= {NATION_ROOM} AS kept, {NATION_ROOM} - CASE WHEN size <= {NATION_ROOM} THEN size ELSE 0 END AS room FROM o WHERE rn = 1
       UNION ALL SELECT o.nation, o.rn, o.o_custkey, o.size <= f.room, f.room - CASE WHEN o.size <= f.room THEN o.size ELSE 0 END FROM f JOIN o ON o.nation = f.nation AND o.rn = f.rn + 1)
@@ -136,21 +130,43 @@ def dp_sensitivity(t: Tables) -> DataFrame:
 VARIANCE = Fraction(25, 4)
 
 
+KEPT_ORDERS = bounded_sql("kept", "orders", "o_custkey", ORDER_CONTENT, "bound", 3)
+LEVELS_SQL = "(VALUES " + ", ".join(f"('{level}')" for level in ORDER_PRIORITIES) + ")"
+
+
+def kept_orders(t: Tables) -> DataFrame:
+    return contribution.bound_rows(t.orders, ["o_custkey"], ORDER_CONTENT, seed=SEED, most=3)
+
+
+@query(
+    "dp_exact_counts",
+    f"""WITH {KEPT_ORDERS} SELECT level, count(o_orderkey) AS n FROM {LEVELS_SQL} l(level) LEFT JOIN kept ON o_orderpriority = level GROUP BY level""",
+)
+def dp_exact_counts(t: Tables) -> DataFrame:
+    """The cells under the noisy counts: bounded orders by priority, on the declared levels."""
+    return profile.level_histogram(kept_orders(t), "o_orderpriority", ORDER_PRIORITIES).select("level", "n")
+
+
 @query("dp_noisy_counts")
 def dp_noisy_counts(t: Tables) -> DataFrame:
     """Bounded orders by priority on the declared levels, with noise."""
-    kept = contribution.bound_rows(t.orders, ["o_custkey"], ORDER_CONTENT, seed=SEED, most=3)
-    cells = profile.level_histogram(kept, "o_orderpriority", ORDER_PRIORITIES)
-    return noise.noisy_counts(cells, ["level"], "n", variance=VARIANCE, seed=SEED, label="orders.o_orderpriority")
+    return noise.noisy_counts(dp_exact_counts(t), ["level"], "n", variance=VARIANCE, seed=SEED, label="orders.o_orderpriority")
+
+
+@query(
+    "dp_exact_null_count",
+    f"""WITH {KEPT_ORDERS}, s AS (SELECT CASE WHEN o_orderkey % 7 = 0 OR o_orderpriority IS NULL THEN 'null' ELSE 'known' END AS state FROM kept)
+    SELECT level, count(state) AS n FROM (VALUES ('known'), ('null')) l(level) LEFT JOIN s ON state = level GROUP BY level""",
+)
+def dp_exact_null_count(t: Tables) -> DataFrame:
+    known = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority"))
+    state = kept_orders(t).select(F.when(known.isNull(), "null").otherwise("known").alias("state"))
+    return profile.level_histogram(state, "state", ("known", "null")).select("level", "n")
 
 
 @query("dp_noisy_null_count")
 def dp_noisy_null_count(t: Tables) -> DataFrame:
-    kept = contribution.bound_rows(t.orders, ["o_custkey"], ORDER_CONTENT, seed=SEED, most=3)
-    known = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority"))
-    state = kept.select(F.when(known.isNull(), "null").otherwise("known").alias("state"))
-    cells = profile.level_histogram(state, "state", ("known", "null"))
-    return noise.noisy_counts(cells, ["level"], "n", variance=VARIANCE, seed=SEED, label="orders.priority.null")
+    return noise.noisy_counts(dp_exact_null_count(t), ["level"], "n", variance=VARIANCE, seed=SEED, label="orders.priority.null")
 
 
 TRACKED = {"tier": ORDER_PRIORITIES, "status": ("F", "O", "P")}
@@ -168,7 +184,7 @@ def history_spine() -> list[tuple[str, str]]:
     for name, levels in TRACKED.items():
         cells += [(f"initial {name}", level) for level in levels]
         cells += [(f"transitions {name}", f"{a} > {b}") for a in levels for b in levels]
-    return cells
+    return cells + sorted({(member, "other") for member, _ in cells})
 
 
 @query("dp_noisy_history")
@@ -176,45 +192,63 @@ def dp_noisy_history(t: Tables) -> DataFrame:
     """The history of the kept entities on its whole public spine, with noise."""
     kept = contribution.bound_entities(nation_orders(t), "nation", "o_custkey", seed=SEED, most=200, label="history")
     counts = profile.history(kept, entity="o_custkey", start="start", end="stop", tie="o_orderkey", tracked=TRACKED)
-    year = F.greatest(F.least(F.col("cell").try_cast("int"), F.lit(YEAR_LADDER[-1])), F.lit(YEAR_LADDER[0]))
-    on_ladder = counts.withColumn(
-        "cell", F.when(F.col("member") == "firstStart", year.cast("string")).otherwise(F.col("cell"))
-    ).groupBy("member", "cell").agg(F.sum("n").alias("n"))
+    # What the public spine does not name goes to its member's cell "other", so each count lands once.
     spine = t.spark.createDataFrame(history_spine(), "member string, cell string")
-    cells = spine.join(on_ladder, ["member", "cell"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    named = spine.withColumn("on_spine", F.lit(True))
+    cell = F.when(F.col("on_spine"), F.col("cell")).otherwise("other").alias("cell")
+    counts = counts.join(F.broadcast(named), ["member", "cell"], "left").groupBy("member", cell).agg(F.sum("n").alias("n"))
+    cells = spine.join(counts, ["member", "cell"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return noise.noisy_counts(cells, ["member", "cell"], "n", variance=VARIANCE, seed=SEED, label="orders.history")
 
 
-@query("dp_noisy_query_rate")
-def dp_noisy_query_rate(t: Tables) -> DataFrame:
+@query(
+    "dp_exact_query_rate",
+    f"""WITH {KEPT_ORDERS}, r AS (SELECT o_orderpriority, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) THEN 'returned' ELSE 'not_returned' END AS cell FROM kept)
+    SELECT grp, c.cell, count(r.cell) AS n FROM {LEVELS_SQL} l(grp) CROSS JOIN (VALUES ('returned'), ('not_returned')) c(cell) LEFT JOIN r ON o_orderpriority = grp AND r.cell = c.cell GROUP BY ALL""",
+)
+def dp_exact_query_rate(t: Tables) -> DataFrame:
     """Two cells a group; each kept order lands in one of them."""
-    kept = contribution.bound_rows(t.orders, ["o_custkey"], ORDER_CONTENT, seed=SEED, most=3)
     answer = t.lineitem.where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    rates = profile.query_rate(kept, answer, ["o_orderkey"], ["o_orderpriority"])
+    rates = profile.query_rate(kept_orders(t), answer, ["o_orderkey"], ["o_orderpriority"])
     spine = windows.level_spine(t.spark, "o_orderpriority", ORDER_PRIORITIES)
-    cells = spine.join(rates, "o_orderpriority", "left").select(
-        F.col("o_orderpriority").alias("grp"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("not_returned").alias("cell"), F.coalesce("not_returned", F.lit(0)).alias("n")),
-                F.struct(F.lit("returned").alias("cell"), F.coalesce("returned", F.lit(0)).alias("n")),
-            )
-        ).alias("c"),
-    )
-    return noise.noisy_counts(
-        cells.select("grp", "c.cell", "c.n"), ["grp", "cell"], "n", variance=VARIANCE, seed=SEED, label="orders.rate"
-    )
+    cells = [F.struct(F.lit(c).alias("cell"), F.coalesce(c, F.lit(0)).alias("n")) for c in ("not_returned", "returned")]
+    joined = spine.join(rates, "o_orderpriority", "left")
+    return joined.select(F.col("o_orderpriority").alias("grp"), F.explode(F.array(*cells)).alias("c")).select("grp", "c.cell", "c.n")
+
+
+@query("dp_noisy_query_rate")
+def dp_noisy_query_rate(t: Tables) -> DataFrame:
+    return noise.noisy_counts(dp_exact_query_rate(t), ["grp", "cell"], "n", variance=VARIANCE, seed=SEED, label="orders.rate")
 
 
 ROW_FLOOR = 1000
+LINES_PER_ORDER = 2
+
+
+@query(
+    "dp_exact_rank",
+    f"""WITH {bounded_sql("kept", "lineitem", "l_orderkey", ("l_linenumber", "l_partkey", "l_suppkey"), "rank", LINES_PER_ORDER)},
+    c AS (SELECT l_discount AS x, l_quantity AS y, count(*)::HUGEINT AS n FROM kept GROUP BY ALL)
+    SELECT ((sum(a.n * b.n * sign(a.x - b.x)::INTEGER * sign(a.y - b.y)::INTEGER)) // 2)::BIGINT::VARCHAR AS s, (SELECT sum(n)::BIGINT FROM c) AS records FROM c a, c b""",
+)
+def dp_exact_rank(t: Tables) -> DataFrame:
+    """Kendall's statistic over at most two lines of each order."""
+    content = ("l_linenumber", "l_partkey", "l_suppkey")
+    kept = contribution.bound_rows(t.lineitem, ["l_orderkey"], content, seed=SEED, most=LINES_PER_ORDER, label="rank")
+    return profile.kendall_s(graded_lines(kept), "discount", "quantity")
 
 
 @query("dp_noisy_rank")
 def dp_noisy_rank(t: Tables) -> DataFrame:
-    """Kendall's tau of two columns; one row moves it by at most 4 over the public row floor."""
-    stats = profile.kendall_s(graded_lines(t), "discount", "quantity")
+    """Kendall's tau of two columns; an order, two lines at most, moves it by at most 8 over the public row floor."""
     return noise.noisy_rank(
-        stats, "s", delta=Fraction(4, ROW_FLOOR), scale=Fraction(1, 100), seed=SEED, label="lineitem.discount.quantity"
+        dp_exact_rank(t),
+        "s",
+        per_unit=LINES_PER_ORDER,
+        floor_rows=ROW_FLOOR,
+        scale=Fraction(1, 100),
+        seed=SEED,
+        label="lineitem.discount.quantity",
     )
 
 
@@ -236,17 +270,15 @@ def rough_cells(t: Tables, second: str) -> DataFrame:
     SELECT 'status' AS tbl, a1.p AS priority, s AS cell, round(v + (t - ha) / 3, 6) AS value FROM a1 JOIN t1 ON a1.p = t1.p UNION ALL SELECT 'year', b1.p, y::VARCHAR, round(v + (t - hb) / 7, 6) FROM b1 JOIN t1 ON b1.p = t1.p""",
 )
 def dp_consistent(t: Tables) -> DataFrame:
-    sizes = {"o_orderpriority": 5, "status": 3, "year": 7}
     tables = {
-        "status": (rough_cells(t, "status"), ("o_orderpriority", "status"), sizes, 4.0),
-        "year": (rough_cells(t, "year"), ("o_orderpriority", "year"), sizes, 9.0),
+        "status": contribution.NoisyTable(rough_cells(t, "status"), {"o_orderpriority": 5, "status": 3}, 4.0),
+        "year": contribution.NoisyTable(rough_cells(t, "year"), {"o_orderpriority": 5, "year": 7}, 9.0),
     }
-    agreed = contribution.make_consistent(tables)
     parts = {
-        name: df.select(
+        name: table.cells.select(
             F.col("o_orderpriority").alias("priority"), F.col(name).cast("string").alias("cell"), F.round("value", 6).alias("value")
         )
-        for name, df in agreed.items()
+        for name, table in contribution.agreeing(tables).items()
     }
     return windows.labelled(parts, "tbl")
 

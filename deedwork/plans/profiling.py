@@ -258,8 +258,8 @@ def profile_per_entity(t: Tables) -> DataFrame:
     return profile.per_entity(known, ["o_custkey"], "v")
 
 
-def graded_lines(t: Tables) -> DataFrame:
-    return t.lineitem.select(
+def graded_lines(lines: DataFrame) -> DataFrame:
+    return lines.select(
         profile.on_grid(money("l_quantity")).alias("quantity"),
         profile.on_grid(F.col("l_discount").cast("decimal(4,2)")).alias("discount"),
         profile.on_grid(money("l_extendedprice")).alias("price"),
@@ -272,7 +272,7 @@ def graded_lines(t: Tables) -> DataFrame:
     SELECT ((sum(a.n * b.n * sign(a.x - b.x)::INTEGER * sign(a.y - b.y)::INTEGER)) // 2)::BIGINT::VARCHAR AS s, (SELECT sum(n)::BIGINT FROM c) AS records FROM c a, c b""",
 )
 def profile_kendall(t: Tables) -> DataFrame:
-    return profile.kendall_s(graded_lines(t), "discount", "quantity")
+    return profile.kendall_s(graded_lines(t.lineitem), "discount", "quantity")
 
 
 @query(
@@ -281,7 +281,7 @@ def profile_kendall(t: Tables) -> DataFrame:
     SELECT sum((rx - n - 1)::HUGEINT * (ry - n - 1))::VARCHAR AS a4, count(*) AS records FROM r""",
 )
 def profile_spearman(t: Tables) -> DataFrame:
-    return profile.spearman_a4(graded_lines(t), "quantity", "price")
+    return profile.spearman_a4(graded_lines(t.lineitem), "quantity", "price")
 
 
 def order_history(t: Tables) -> DataFrame:

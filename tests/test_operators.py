@@ -230,7 +230,7 @@ def test_entities_are_kept_greedily(spark, seed):
     ranked = (
         df.select("u", "e")
         .distinct()
-        .withColumn("p", contribution.priority(key, "bound", F.concat(contribution._framed(contribution.unit_key(["u"])), contribution._framed(contribution.encoded(["e"])))))
+        .withColumn("p", contribution.drawn(key, "bound", contribution.unit_key(["u"]), contribution.netstrings(F.col("e"))))
         .collect()
     )
     size = Counter((u, e) for u, e, _ in rows)
@@ -265,6 +265,19 @@ def test_the_noise_has_the_moments_of_its_variance():
     assert abs(mean) < 0.25 and abs(variance - 9) < 1
 
 
+def test_cells_draw_apart(spark):
+    names = [("a/b", "c"), ("a", "b/c"), ("a", None), ("a", "None"), (None, "a"), ('a", "b', "c")]
+    assert len({noise.cell_label("t", cell) for cell in names}) == len(names)
+    got = spark.range(1).select(contribution.netstrings(F.lit("a1:"), F.lit(None), F.lit("é"))).first()[0]
+    assert got == "3:a1:-2:é"
+
+
+def test_a_rank_below_the_floor_is_not_released(spark):
+    stats = spark.createDataFrame([("10", 99)], "s string, records long")
+    with pytest.raises(Exception, match="public floor"):
+        noise.noisy_rank(stats, "s", per_unit=2, floor_rows=100, scale=Fraction(1, 100), seed=b"s", label="x").collect()
+
+
 def test_the_lattice_rounds_half_up():
     delta = Fraction(1, 2)
     step = delta / noise.LATTICE_STEPS
