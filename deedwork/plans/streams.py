@@ -76,23 +76,36 @@ def read_kafka_json(t: Tables) -> DataFrame:
 
 @query("stream_event_time", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS event_time FROM events")
 def stream_event_time(t: Tables) -> DataFrame:
-    """Events under a five-second watermark; a repeated event within it would land once."""
-    timed = late.with_event_time(t.stream("events").select("event_id", F.col("ts").alias("event_time")), "event_time")
-    once = timed.dropDuplicatesWithinWatermark(["event_id"])
-    path = t.scratch("timed")
-    landing.land_stream(once, path, t.scratch("checkpoint"))
-    read = t.spark.read.parquet(path)
-    return read.select("event_id", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_time"))
+    """Events under a five-second watermark, a repeated one within it once, with those that came behind it beside them."""
+    path, side = t.scratch("timed"), t.scratch("timed" + late.LATE_SUFFIX)
+    stream = t.stream("events").select("event_id", F.col("ts").alias("event_time"))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        late.land_on_time(batch, batch_id, path, side, column="event_time", key="event_id", delay="PT5S")
+
+    landing.run_available(stream, t.scratch("checkpoint"), each)
+    both = landing.landed(t.spark, path, stream.schema).unionByName(landing.landed(t.spark, side, stream.schema))
+    return both.select("event_id", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_time"))
 
 
 @query(
     "late_classify",
-    """WITH b AS (SELECT event_id, date_diff('microsecond', ts, TIMESTAMP '2024-01-25 12:00:00') AS us FROM events)
+    """WITH b AS (SELECT event_id, date_diff('microsecond', ts, (SELECT max(ts) FROM events) - INTERVAL 5 DAY) AS us FROM events)
     SELECT event_id, CASE WHEN us < 0 THEN 'future' WHEN us > 172800000000 THEN 'late' ELSE 'on_time' END AS category, CASE WHEN us < 0 OR us > 172800000000 THEN us::DOUBLE / 1000000 ELSE 0 END AS lateness_seconds FROM b""",
 )
 def late_classify(t: Tables) -> DataFrame:
-    mark = F.lit("2024-01-25 12:00:00").cast("timestamp_ntz")
-    return late.classify(t.events, "ts", mark, "P2D").select("event_id", "category", "lateness_seconds")
+    """What a stream has landed against the watermark it stored, five days behind the newest event."""
+    path, side = t.scratch("classified"), t.scratch("classified" + late.LATE_SUFFIX)
+    stream = t.stream("events").select("event_id", "ts")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        late.land_split(batch, batch_id, path, side, column="ts", allowed_lateness="PT0S")
+
+    landing.run_available(stream, t.scratch("checkpoint"), each)
+    newest = late.newest_time(t.spark, path + landing.STATE_SUFFIX, stream.schema["ts"].dataType)
+    mark = newest - F.expr("INTERVAL 5 DAYS")
+    held = landing.landed(t.spark, path, stream.schema)
+    return late.classify(held, "ts", mark, "P2D").select("event_id", "category", "lateness_seconds")
 
 
 @query(
@@ -100,18 +113,16 @@ def late_classify(t: Tables) -> DataFrame:
     """WITH m AS (SELECT max(ts) AS newest FROM events) SELECT CASE WHEN date_diff('microsecond', ts, newest) > 604800000000 THEN 'events__late_events' ELSE 'events' END AS target, event_id FROM events, m""",
 )
 def late_split(t: Tables) -> DataFrame:
-    """Two targets of one stream: the split runs per micro-batch against the newest time landed so far."""
+    """Two targets of one stream: split per micro-batch against the newest time up to it, then settled."""
     main, side = t.scratch("events"), t.scratch("events" + late.LATE_SUFFIX)
+    stream = t.stream("events").select("event_id", "ts")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         late.land_split(batch, batch_id, main, side, column="ts", allowed_lateness="P7D")
 
-    landing.run_available(t.stream("events").select("event_id", "ts"), t.scratch("checkpoint"), each)
-    spark = t.spark
-    first = late.split_late(spark.read.parquet(main).drop(landing.BATCH), "ts", "P7D")
-    return windows.labelled(
-        {"events": first[0].select("event_id"), "events__late_events": spark.read.parquet(side).select("event_id")}, "target"
-    )
+    landing.run_available(stream, t.scratch("checkpoint"), each)
+    kept, late_rows = late.settled(t.spark, main, side, stream.schema, column="ts", allowed_lateness="P7D")
+    return windows.labelled({"events": kept.select("event_id"), "events__late_events": late_rows.select("event_id")}, "target")
 
 
 @query(

@@ -97,8 +97,9 @@ def ship_package(spark: SparkSession) -> None:
 class Tables:
     """The tables of one data folder: ``Tables(spark, folder).orders`` is a lazy DataFrame."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, files_per_batch: int | None = None):
         self.spark = spark
+        self.files_per_batch = files_per_batch
         self.folder = folder.rstrip("/")
         ship_package(spark)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -113,8 +114,10 @@ class Tables:
 
     def stream(self, name: str) -> DataFrame:
         """The table as a file stream. The pattern takes a folder of files and a single file alike."""
-        schema = getattr(self, name).schema
-        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parque[t]")
+        reader = self.spark.readStream.schema(getattr(self, name).schema)
+        if self.files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", self.files_per_batch)
+        return reader.parquet(f"{self.folder}/{name}.parque[t]")
 
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from deedwork.operators.schema import required_violation
 from deedwork.sources.readers import CORRUPT, decode_json
 
 BATCH = "batch_id"
+STATE_SUFFIX = "__state"
 MOST_DEAD_LETTERS = 10_000
 
 
@@ -27,6 +28,30 @@ def land_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     ).parquet(path)
 
 
+def batch_rows(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
+    """The rows that one micro-batch landed; only its own partition is read."""
+    held = spark.read.schema(T.StructType([*schema.fields, T.StructField(BATCH, T.IntegerType())]))
+    return held.parquet(path).where(F.col(BATCH) == batch_id).drop(BATCH)
+
+
+def noted(spark: SparkSession, path: str, batch_id: int, kind: T.DataType) -> Column:
+    """What batch ``batch_id`` noted, NULL before the first one."""
+    if batch_id < 0:
+        return F.lit(None).cast(kind)
+    return batch_rows(spark, path, batch_id, T.StructType([T.StructField("value", kind)])).scalar()
+
+
+def note(batch: DataFrame, batch_id: int, path: str, own: Column, together, kind: T.DataType) -> None:
+    """Carry a running value from batch to batch, in a table of one row a batch.
+
+    ``own`` aggregates this batch; ``together(own, before)`` adds what the batch before noted. Run again, a batch notes the same.
+    Each batch reads one row, so the work does not grow with the stream.
+    """
+    before = noted(batch.sparkSession, path, batch_id - 1, kind)
+    value = together(F.col("own"), before).cast(kind).alias("value")
+    land_batch(batch.agg(own.alias("own")).select(value), batch_id, path)
+
+
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
     """Run the stream over what is there now, one call per micro-batch, and wait for it."""
     query = (
@@ -87,19 +112,22 @@ def land_checked(
     """Land good records and dead letters from one stream, both keyed by the batch id.
 
     The run stops after the batch that takes the dead letters past ``most_dead``; that batch has
-    landed on both sides, so nothing is lost. Their number is read back from the dead-letter table,
+    landed on both sides, so nothing is lost. Their number is carried beside the dead letters, one row a batch,
     which also holds after a restart.
     """
+    counts = dead_path.rstrip("/") + STATE_SUFFIX
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
+        spark, kept = batch.sparkSession, batch.persist()
         try:
             good, dead = split_records(kept, spec)
             land_batch(good if transform is None else good.transform(transform), batch_id, path)
             land_batch(dead, batch_id, dead_path)
         finally:
             kept.unpersist()
-        total = landed(batch.sparkSession, dead_path, dead.schema).count()
+        mine = batch_rows(spark, dead_path, batch_id, dead.schema)
+        note(mine, batch_id, counts, F.count(F.lit(1)), lambda own, before: own + F.coalesce(before, F.lit(0)), T.LongType())
+        total = spark.range(1).select(noted(spark, counts, batch_id, T.LongType())).first()[0]
         if total > most_dead:
             raise TooManyDeadLetters(f"{total} dead letters, {most_dead} allowed")
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deedwork.functions.durations import seconds_of
-from deedwork.streaming.landing import BATCH, land_batch
+from deedwork.streaming.landing import BATCH, STATE_SUFFIX, land_batch, landed, note, noted
 
 LATE_SUFFIX = "__late_events"
 # Names that mean event time.
@@ -25,13 +25,6 @@ def event_time_column(schema: T.StructType, explicit: str | None = None) -> str
     return (named or timed or [None])[0]
 
 
-def with_event_time(stream: DataFrame, column: str, delay: str = "5 seconds") -> DataFrame:
-    """The stream under a watermark on its event-time column. A zone-less time is taken as UTC."""
-    if isinstance(stream.schema[column].dataType, T.TimestampNTZType):
-        stream = stream.withColumn(column, F.col(column).cast("timestamp"))
-    return stream.withWatermark(column, delay)
-
-
 def seconds_behind(event_time: Column, watermark: Column) -> Column:
     """Exact microseconds from the event to the watermark, as seconds."""
     micros = F.timestamp_diff("MICROSECOND", event_time, watermark)
@@ -67,22 +60,62 @@ def split_late(df: DataFrame, column: str, allowed_lateness: str, newest: Column
     return df.where(~is_late), df.where(is_late)
 
 
+def _note_newest(batch: DataFrame, batch_id: int, path: str, column: str) -> None:
+    """Note the newest event time up to this batch."""
+    kind = batch.schema[column].dataType
+    note(batch, batch_id, path, F.max(column), lambda own, before: F.greatest(own, before), kind)
+
+
+def newest_time(spark: SparkSession, path: str, kind: T.DataType) -> Column:
+    """The newest event time of all batches, from their notes: one row a batch."""
+    notes = spark.read.schema(T.StructType([T.StructField("value", kind)])).parquet(path)
+    return notes.agg(F.max("value").alias("m")).scalar()
+
+
 def land_split(batch: DataFrame, batch_id: int, path: str, late_path: str, *, column: str, allowed_lateness: str) -> None:
-    """One micro-batch split against the newest event time landed so far, this batch included.
+    """One micro-batch split against the newest event time up to it, this batch included.
 
-    The newest time is read back from what earlier batches landed, so it survives a restart, and a
+    That time is carried beside the target, one row a batch, so it survives a restart, and a
     batch that runs again splits the same way.
     """
-    newest = batch.agg(F.max(column).alias("m"))
-    if batch_id:
-        held = batch.sparkSession.read.schema(T.StructType([*batch.schema.fields, T.StructField(BATCH, T.IntegerType())]))
-        earlier = held.parquet(path).where(F.col(BATCH) < batch_id).agg(F.max(column).alias("m"))
-        newest = newest.unionByName(earlier).agg(F.max("m").alias("m"))
-    kept, late = split_late(batch, column, allowed_lateness, newest.scalar())
+    state = path.rstrip("/") + STATE_SUFFIX
+    _note_newest(batch, batch_id, state, column)
+    newest = noted(batch.sparkSession, state, batch_id, batch.schema[column].dataType)
+    kept, late = split_late(batch, column, allowed_lateness, newest)
     land_batch(kept, batch_id, path)
     land_batch(late, batch_id, late_path)
 
 
+def settled(spark: SparkSession, path: str, late_path: str, schema: T.StructType, *, column: str, allowed_lateness: str) -> tuple[DataFrame, DataFrame]:
+    """``(kept, late)`` of all that has landed, as if it had come in one batch.
+
+    What was on time when it landed and is late by now counts as late; nothing that landed is left out.
+    """
+    newest = newest_time(spark, path.rstrip("/") + STATE_SUFFIX, schema[column].dataType)
+    kept, since = split_late(landed(spark, path, schema), column, allowed_lateness, newest)
+    return kept, landed(spark, late_path, schema).unionByName(since)
+
+
+def land_on_time(batch: DataFrame, batch_id: int, path: str, late_path: str, *, column: str, key: str, delay: str) -> None:
+    """Land the rows that the stored watermark still admits once each, and all others as late rows.
+
+    The watermark is the newest event time of earlier batches less ``delay``. A repeated key within it, in this batch or landed
+    before, is dropped; behind it nothing can be told apart, so those rows are kept beside the table and none is lost. Only rows above
+    the watermark are read back.
+    """
+    spark, schema, state = batch.sparkSession, batch.schema, path.rstrip("/") + STATE_SUFFIX
+    newest = noted(spark, state, batch_id - 1, schema[column].dataType)
+    mark = newest - F.make_dt_interval(secs=F.lit(seconds_of(delay)))
+    behind = F.coalesce(F.col(column) < mark, F.lit(False))
+    fresh = batch.where(~behind).dropDuplicates([key])
+    if batch_id:
+        held = spark.read.schema(T.StructType([*schema.fields, T.StructField(BATCH, T.IntegerType())])).parquet(path)
+        fresh = fresh.join(held.where((F.col(BATCH) < batch_id) & (F.col(column) >= mark)).select(key), key, "left_anti")
+    land_batch(fresh, batch_id, path)
+    land_batch(batch.where(behind), batch_id, late_path)
+    _note_newest(batch, batch_id, state, column)
+
+
 def freshness(commits: DataFrame, reference: str, objective: str, *, table: str, at: str, operation: str) -> DataFrame:
     """Per table, the age of the newest commit that wrote data, against the objective.
 

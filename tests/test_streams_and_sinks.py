@@ -1,12 +1,14 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deedwork.plans import streams
 from deedwork.plans.ingest import change_feed
 from deedwork.plans.streams import EVENT_SPEC, topic_records
-from deedwork.session import scratch_path
+from deedwork.session import Tables, scratch_path
 from deedwork.sources import readers, sinks
 from deedwork.streaming import landing, late
 
@@ -40,6 +42,36 @@ def test_late_rows_of_several_batches(spark, tables):
     assert seen == newest
 
 
+@pytest.mark.parametrize(("files", "newest_first"), [(1, False), (4, False), (20, True)])
+def test_streams_keep_every_row(spark, tables, tmp_path, files, newest_first):
+    """The registered queries give the rows of one batch, whatever files the events come in."""
+    events = tables.events.orderBy(F.desc("ts") if newest_first else "ts").toPandas()
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    size = -(-len(events) // files)
+    for k in range(files):
+        path = folder / f"part-{k:03}.parquet"
+        spark.createDataFrame(events[k * size : (k + 1) * size], tables.events.schema).toPandas().to_parquet(path, coerce_timestamps="us")
+        os.utime(path, (1e9 + k, 1e9 + k))
+    split = Tables(spark, str(tmp_path), files_per_batch=1)
+    for plan in (streams.late_split, streams.stream_event_time, streams.late_classify):
+        got, want = plan(split), plan(tables)
+        assert got.count() == tables.events.count()
+        assert got.exceptAll(want).isEmpty()
+
+
+def test_repeats_above_the_watermark_land_once(spark):
+    path, side = scratch_path(spark, "timed"), scratch_path(spark, "timed-late")
+    start = dt.datetime(2024, 1, 1)
+    batches = [[(1, 0), (1, 1), (2, 10)], [(2, 9), (3, 2), (4, 30)], [(4, 29), (5, 31)], [], [(6, None)]]
+    for number, rows in enumerate(batches):
+        batch = spark.createDataFrame([(k, None if s is None else start + dt.timedelta(seconds=s)) for k, s in rows], "k int, at timestamp_ntz")
+        for _ in range(2):  # a batch that runs again changes nothing
+            late.land_on_time(batch, number, path, side, column="at", key="k", delay="PT5S")
+    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == [1, 2, 4, 5, 6]
+    assert [r["k"] for r in spark.read.parquet(side).collect()] == [3]
+
+
 def test_a_restarted_stream_lands_nothing_twice(spark, tables):
     path, checkpoint = scratch_path(spark, "once"), scratch_path(spark, "checkpoint")
     _, stream = parts_of(spark, tables.events, 3)
