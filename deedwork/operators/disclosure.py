@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,11 +83,19 @@ def with_count_status(cells: DataFrame, count: str, rule: DisclosureRule = DEFAU
     )
 
 
+def _beside(left: DataFrame, right: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """``right``'s columns beside every group of ``left``; a NULL group is a group."""
+    named = right.withColumnsRenamed({g: f"_g{i}" for i, g in enumerate(groups)})
+    test = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)])
+    return left.join(named, test, "left").drop(*[f"_g{i}" for i in range(len(groups))])
+
+
 def _contributions(df: DataFrame, groups: Sequence[str], value: str, top: int) -> DataFrame:
     """Per group: contributors, distinct values, total size, and the largest sizes ``t1..top``.
 
     Records are first counted per value, so neither a hot group nor a hot value is ever whole in
-    one task, and the bounded rank lets every task keep only its own ``top`` largest.
+    one task, and the bounded rank lets every task keep only its own ``top`` largest. A group without a known
+    value is there too, with nothing in it: that it were missing would tell as much.
     """
     wide = "decimal(38,4)"
     counts = (
@@ -95,7 +104,7 @@ def _contributions(df: DataFrame, groups: Sequence[str], value: str, top: int) -
         .agg(F.count("*").alias("_n"))
         .withColumn("_size", F.abs("_v"))
     )
-    n = F.col("_n").cast("decimal(10,0)")
+    n = F.col("_n").cast("decimal(19,0)")
     totals = counts.groupBy(*groups).agg(
         F.sum("_n").alias("records"),
         F.coalesce(F.sum(F.when(F.col("_v") != 0, F.col("_n"))), F.lit(0)).alias("contributors"),
@@ -112,7 +121,8 @@ def _contributions(df: DataFrame, groups: Sequence[str], value: str, top: int) -
         .groupBy(*groups)
         .agg(*[F.sum(F.when(F.col("_rank") <= i, F.col("_size"))).cast(wide).alias(f"t{i}") for i in range(1, top + 1)])
     )
-    return totals.join(first, list(groups))
+    every = _beside(df.select(*groups).distinct(), _beside(totals, first, groups), groups)
+    return every.fillna(0, ["records", "contributors", "values", "largest", "total", *[f"t{i}" for i in range(1, top + 1)]])
 
 
 def _dominance(rule: DisclosureRule) -> Column:
@@ -158,9 +168,9 @@ def sum_and_mean(df: DataFrame, groups: Sequence[str], value: str, rule: Disclos
     )
     per_point = gridded.groupBy(*groups, "_grid").agg(F.count("*").alias("_n"))
     grid = per_point.groupBy(*groups).agg(
-        F.count("*").alias("points"), F.sum((F.col("_grid").cast("decimal(19,0)") * F.col("_n").cast("decimal(10,0)")).cast("decimal(38,0)")).alias("grid_total")
+        F.count("*").alias("points"), F.sum((F.col("_grid").cast("decimal(19,0)") * F.col("_n").cast("decimal(19,0)")).cast("decimal(38,0)")).alias("grid_total")
     )
-    joined = status.join(rest.select(*groups, "residue_status"), list(groups)).join(grid, list(groups))
+    joined = _beside(_beside(status, rest.select(*groups, "residue_status"), groups), grid, groups)
     counted = count_status(F.col("records"), rule)
     mean = (
         F.when(counted != FREE, counted)

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from deedwork.specs import Link
 from deedwork.specs import Window as Validity
 
-SALTS = 1024
-
 
 def link_join(child: DataFrame, parent: DataFrame, link: Link, columns: dict[str, str]) -> DataFrame:
     """``child`` with the linked parent's columns (``{parent column: new name}``), NULL if none."""
@@ -99,8 +97,9 @@ def as_of_join(
     known = F.col(fact_date).isNotNull()
     for c in fact_key:
         known = known & F.col(c).isNotNull()
-    # Facts that can reach no version ride along, spread over salts of their own.
-    salt = F.when(known, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)))
+    # Facts that can reach no version ride along, spread over salts of their own, some for each shuffle partition.
+    salts = 8 * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.when(known, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*facts.columns), F.lit(salts)))
     placed = facts.select(
         *[F.col(c).alias(k) for c, k in zip(fact_key, keys)],
         F.col(fact_date).alias("_t"),
@@ -148,17 +147,19 @@ def interval_join(
     """Points with the half-open date intervals that hold them (plus any ``extra`` predicate).
 
     A range condition alone would compare every point with every interval. Each interval is
-    listed under the calendar units it touches and joined by equality on the unit.
+    listed under the calendar units it touches, as far as there are points, and joined by equality on the unit.
+    A NULL end is open; an interval that ends before it starts holds nothing.
     """
     step = F.expr(f"interval 1 {unit}")
-    listed = intervals.withColumn(
-        "_unit",
-        F.explode(F.sequence(F.date_trunc(unit, F.col(low)), F.date_trunc(unit, F.col(high)), step)),
-    )
+    ends = points.agg(F.struct(F.min(point).alias("a"), F.max(point).alias("b")).alias("span")).scalar()
+    first = F.greatest(F.coalesce(low, F.col("_span.a")), F.col("_span.a"))
+    last = F.least(F.coalesce(high, F.col("_span.b")), F.col("_span.b"))
+    units = F.when(first <= last, F.sequence(F.date_trunc(unit, first), F.date_trunc(unit, last), step))
+    listed = intervals.withColumn("_span", ends).withColumn("_unit", F.explode(units)).drop("_span")
     test = (
         (F.date_trunc(unit, F.col(point)) == F.col("_unit"))
-        & (F.col(point) >= F.col(low))
-        & (F.col(point) < F.col(high))
+        & F.coalesce(F.col(point) >= F.col(low), F.lit(True))
+        & F.coalesce(F.col(point) < F.col(high), F.lit(True))
     )
     if extra is not None:
         test = test & extra

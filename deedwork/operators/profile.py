@@ -20,8 +20,6 @@ from deedwork.operators.windows import level_spine
 from deedwork.session import materialized
 
 GRID_BITS = 16
-MOST_PAIR_COLUMNS = 32
-MOST_SPAN_BINS = 240
 MINIMUM_CELL = 10
 # Lower edges of the children-per-parent bins; the last one is open.
 CHILDREN_EDGES = (0, 1, 2, 3, 5, 10, 20)
@@ -151,8 +149,11 @@ def magnitudes(df: DataFrame, columns: Sequence[str], bits: int = GRID_BITS) ->
 # -- dates ------------------------------------------------------------------------------
 
 
-def date_span(df: DataFrame, column: str, minimum: int = MINIMUM_CELL, most: int = MOST_SPAN_BINS) -> DataFrame:
-    """``unit, start, n``: month bins when the end months hold enough rows, else year bins, else none."""
+def date_span(df: DataFrame, column: str, minimum: int = MINIMUM_CELL, unit: str | None = None) -> DataFrame:
+    """``unit, start, n``: month bins when the end months hold enough rows, else year bins, else none.
+
+    ``unit`` asks for months or years only, as many as the data spans.
+    """
     months = (
         df.where(F.col(column).isNotNull())
         .groupBy(F.trunc(column, "month").alias("month"))
@@ -170,20 +171,17 @@ def date_span(df: DataFrame, column: str, minimum: int = MINIMUM_CELL, most: int
             F.col("first").alias("first"),
             F.col("last").alias("last"),
             (F.least("a", "b") >= minimum).alias("full"),
-            (F.year("last") - F.year("first") + 1).alias("bins"),
         ).alias("y")
     )
     both = ends(months, "month").select(
         "first",
         "last",
         (F.least("a", "b") >= minimum).alias("full"),
-        ((F.year("last") - F.year("first")) * 12 + F.month("last") - F.month("first") + 1).alias("bins"),
         y.scalar().alias("y"),
     )
-    unit = F.when(F.col("full") & (F.col("bins") <= most), "month").when(
-        F.col("y.full") & (F.col("y.bins") <= most), "year"
-    )
-    chosen = both.withColumn("unit", unit).where("unit IS NOT NULL")
+    allowed = {u: F.lit(unit in (None, u)) for u in ("month", "year")}
+    taken = F.when(F.col("full") & allowed["month"], "month").when(F.col("y.full") & allowed["year"], "year")
+    chosen = both.withColumn("unit", taken).where("unit IS NOT NULL")
     spine = chosen.select(
         "unit",
         F.explode(
@@ -268,7 +266,7 @@ def pair_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     The row is first counted per combination of all columns; only the combinations are spread
     over the pairs.
     """
-    columns = list(columns)[:MOST_PAIR_COLUMNS]
+    columns = list(columns)
     whole = df.groupBy(*[F.col(c).cast("string").alias(c) for c in columns]).agg(F.count("*").alias("n"))
     pairs = F.array(
         *[

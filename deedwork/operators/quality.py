@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -135,9 +136,11 @@ def bound(id: str, columns: Sequence[str], op: str, threshold: float, severity:
     A column without data fails.
     """
     aggs = {f"n_{c}": F.count(c) for c in columns}
+    # A whole number or decimal text stays exact, so long and decimal columns are not judged in floating point.
+    limit = F.lit(threshold) if isinstance(threshold, (int, float)) else F.lit(Decimal(str(threshold)))
     for c in columns:
-        col = F.col(c).cast("double")
-        aggs[f"bad_{c}"] = F.count_if(~_COMPARE[op](col, F.lit(float(threshold))))
+        col = F.col(c)
+        aggs[f"bad_{c}"] = F.count_if(~_COMPARE[op](col, limit))
         if op in (">=", ">"):
             aggs[f"end_{c}"] = F.min(col)
         elif op in ("<=", "<"):
@@ -150,7 +153,7 @@ def bound(id: str, columns: Sequence[str], op: str, threshold: float, severity:
         else:
             ends = [a[f"end_{c}"] for c in columns]
             actual = _least(ends) if op in (">=", ">") else _greatest(ends)
-            passed = reduce(lambda x, y: x & y, [truth(_COMPARE[op](e, F.lit(float(threshold)))) for e in ends])
+            passed = reduce(lambda x, y: x & y, [truth(_COMPARE[op](e, limit)) for e in ends])
         some = reduce(lambda x, y: x & y, [a[f"n_{c}"] > 0 for c in columns])
         return {
             "covered": reduce(lambda x, y: x + y, [a[f"n_{c}"] for c in columns]),

@@ -14,11 +14,18 @@ LADDER = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 # Spellings of one physical type.
 FAMILIES = (
-    ("int", "integer"),
-    ("string", "varchar", "text", "char"),
-    ("boolean", "bool"),
+    ("double", "numeric", "hugeint", "uhugeint", "bignum", "varint", "ubigint", "uint64"),
+    ("bigint", "uinteger", "uint32"),
+    ("int", "integer", "usmallint", "uint16"),
+    ("smallint", "utinyint", "uint8", "short"),
+    ("string", "varchar", "text", "char", "bpchar", "nvarchar"),
+    ("boolean", "bool", "logical"),
     ("timestamp", "timestamp_ntz", "timestamp_ltz", "timestamptz", "datetime"),
+    ("time", "timetz"),
     ("binary", "bytes", "blob"),
+    ("bit", "bitstring"),
+    ("array", "list"),
+    ("struct", "tuple"),
 )
 
 POLICIES = ("strict", "discover_and_freeze", "evolve_safe", "evolve_all")
@@ -85,7 +92,8 @@ def _rung(c: Column) -> Column:
 
 
 def _family(c: Column) -> Column:
-    out = _base(c)
+    """The first spelling of the type's family; a container keeps what it holds, which is part of the type."""
+    out = F.regexp_replace(F.regexp_replace(_base(c), "^list<", "array<"), "^tuple<", "struct<")
     for names in FAMILIES:
         out = F.when(_base(c).isin(*names), names[0]).otherwise(out)
     return out
@@ -106,6 +114,7 @@ def schema_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
         .when(F.lower(a) == F.lower(b), None)
         .when(on_ladder & (_rung(a) < _rung(b)), "type_widened")
         .when(on_ladder & (_rung(a) > _rung(b)), "type_narrowed")
+        .when((_base(a) == "decimal") & (_base(b) == "decimal"), "type_changed")
         .when(_family(a) == _family(b), None)
         .otherwise("type_changed")
     )
@@ -186,12 +195,16 @@ def change_of(before: str | None, after: str | None) -> str | None:
         return None
 
     def base(t: str) -> str:
-        t = t.lower().split("(")[0]
+        t = t.lower().split("(")[0] if "<" not in t else t.lower()
+        for spelling, plain in (("list<", "array<"), ("tuple<", "struct<")):
+            t = t.replace(spelling, plain, 1) if t.startswith(spelling) else t
         return "int" if t == "integer" else t
 
     a, b = base(before), base(after)
     if a in LADDER and b in LADDER and a != b:
         return "type_widened" if LADDER.index(a) < LADDER.index(b) else "type_narrowed"
+    if a == b == "decimal":  # another precision or scale
+        return "type_changed"
     if a == b or any(a in names and b in names for names in FAMILIES):
         return None
     return "type_changed"

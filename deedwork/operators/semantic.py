@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,7 +100,7 @@ def query_metrics(
     """Metrics by dimensions in one aggregation.
 
     ``filters`` apply to the rows, a metric's own ``where`` only to itself. Derived metrics are
-    expressions over the other metrics' names.
+    expressions over the other metrics' names. With a ``limit``, ``truncated`` says whether groups were left out.
     """
     dims = list(dict.fromkeys(dimensions))
     unknown = [d for d in dims if d not in model.dimensions]
@@ -120,9 +121,14 @@ def query_metrics(
     for d in derived:
         out = out.withColumn(d, F.expr(find_metric(model, d).expr))
     out = out.drop(*helpers)
-    if limit is not None:
-        out = out.orderBy(*[F.desc_nulls_last(n) for n in named], *dims).limit(limit)
-    return out
+    if limit is None:
+        return out
+    # One row past the limit tells whether there were more; the window holds no more than these few rows.
+    order = [*[F.desc_nulls_last(n) for n in named], *dims]
+    few = out.orderBy(*order).limit(limit + 1)
+    whole = Window.partitionBy()
+    counted = few.select("*", F.row_number().over(whole.orderBy(*order)).alias("_nth"), (F.count("*").over(whole) > limit).alias("truncated"))
+    return counted.where(F.col("_nth") <= limit).drop("_nth")
 
 
 def daily_metric(df: DataFrame, model: SemanticModel, name: str, dimensions: Sequence[str]) -> DataFrame:
@@ -170,14 +176,30 @@ def on_time_spine(daily: DataFrame, name: str, fill=None) -> DataFrame:
 def redact(df: DataFrame, model: SemanticModel, dimensions: Sequence[str], metrics: Sequence[str], pii: set[str]) -> DataFrame:
     """Values that would show a personal column are replaced, whatever the output is called.
 
-    MIN and MAX give a value back; counts do not.
+    What counts is which columns an expression names, not how it is written: ``substr(email, 1, 20)`` shows as much as ``email``.
+    MIN and MAX give a value back, and so does what is derived from them; counts do not.
     """
     out = df
     for d in dimensions:
-        if model.dimensions[d] in pii:
+        if names_any(model.dimensions[d], pii):
             out = out.withColumn(d, F.lit(REDACTED))
     for name in metrics:
-        m = _measure(model, find_metric(model, name).measure)
-        if m.expr in pii and m.agg in ("min", "max"):
+        if _shows(model, name, pii):
             out = out.withColumn(name, F.lit(REDACTED))
     return out
+
+
+def names_any(expression: str, columns: set[str]) -> bool:
+    """Whether the expression names one of the columns, text literals aside. Case and back quotes do not matter."""
+    words = re.findall(r"\w+", re.sub(r"'(?:[^'\\]|\\.|'')*'", " ", expression).lower())
+    return not {c.lower() for c in columns}.isdisjoint(words)
+
+
+def _shows(model: SemanticModel, name: str, pii: set[str]) -> bool:
+    found = find_metric(model, name)
+    if found.kind == "derived":
+        others = [m.name for m in (*model.metrics, *model.measures) if m.name != name and names_any(found.expr, {m.name})]
+        return any(_shows(model, other, pii) for other in others)
+    parts = [found.measure, found.numerator, found.denominator]
+    measures = [_measure(model, part) for part in parts if part]
+    return any(m.agg in ("min", "max") and names_any(m.expr, pii) for m in measures)

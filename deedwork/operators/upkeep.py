@@ -23,14 +23,32 @@ def compact_files(spark: SparkSession, path: str, target: str, target_bytes: int
     """Rewrite small files into files of about ``target_bytes``; returns the file counts.
 
     The result goes to ``target``; the caller swaps the tables when it is complete, so a job that
-    dies leaves the old files as they were. Whole files are merged round-robin: no key can skew it.
+    dies leaves the old files as they were. Partition folders stay. Without any, neighbouring files are
+    merged where they are read; with them, rows are dealt out by folder, and a large folder is split into several files.
     """
-    before, size = file_sizes(spark, path).agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    parts = max(1, -(-size // target_bytes))
-    spark.read.parquet(path).repartition(int(parts)).write.mode("overwrite").parquet(target)
+    files = file_sizes(spark, path)
+    before, size = files.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    table, folders = spark.read.parquet(path), partition_columns(spark, path)
+    if folders:
+        setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+        usual = spark.conf.get(setting)
+        spark.conf.set(setting, str(target_bytes))
+        try:
+            table.hint("rebalance", *folders).write.mode("overwrite").partitionBy(*folders).parquet(target)
+        finally:
+            spark.conf.set(setting, usual)
+    else:
+        table.coalesce(int(max(1, -(-size // target_bytes)))).write.mode("overwrite").parquet(target)
     return before, file_sizes(spark, target).count()
 
 
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """The columns a table's folders are named after, from the path of any of its files."""
+    one = file_sizes(spark, path).select("file").first()
+    inner = one["file"].split(path.rstrip("/").rpartition("/")[2] + "/", 1)[1] if one else ""
+    return [part.partition("=")[0] for part in inner.split("/")[:-1] if "=" in part]
+
+
 def erase_rows(df: DataFrame, subjects: DataFrame, key: Sequence[str]) -> DataFrame:
     """The table without the subjects' rows. A NULL key is nobody's."""
     return df.join(subjects.select(*key).distinct(), list(key), "left_anti")

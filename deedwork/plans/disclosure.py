@@ -66,19 +66,21 @@ def skewed_sales(t: Tables) -> DataFrame:
         .otherwise(value)
     )
     return t.lineitem.select(
-        key.alias("supplier"), F.trunc(day("l_shipdate"), "year").alias("year"), shaped.cast("decimal(18,2)").alias("v")
+        F.when(key % 19 != 0, key).alias("supplier"),
+        F.trunc(day("l_shipdate"), "year").alias("year"),
+        F.when(key % 23 != 0, shaped.cast("decimal(18,2)")).alias("v"),
     )
 
 
-SKEWED = """x AS (SELECT l_suppkey AS supplier, date_trunc('year', l_shipdate)::DATE AS year,
-    (CASE WHEN l_suppkey % 7 = 0 AND l_linenumber = 1 THEN l_extendedprice::DECIMAL(12,2) * 1000 WHEN l_suppkey % 11 = 0 THEN 7 WHEN l_suppkey % 13 = 0 AND l_quantity < 40 THEN 0
+SKEWED = """x AS (SELECT CASE WHEN l_suppkey % 19 <> 0 THEN l_suppkey END AS supplier, date_trunc('year', l_shipdate)::DATE AS year,
+    (CASE WHEN l_suppkey % 23 = 0 THEN NULL WHEN l_suppkey % 7 = 0 AND l_linenumber = 1 THEN l_extendedprice::DECIMAL(12,2) * 1000 WHEN l_suppkey % 11 = 0 THEN 7 WHEN l_suppkey % 13 = 0 AND l_quantity < 40 THEN 0
       WHEN l_suppkey % 17 = 0 THEN floor(l_extendedprice::DECIMAL(12,2)) ELSE l_extendedprice::DECIMAL(12,2) END)::DECIMAL(18,2) AS v FROM lineitem)"""
 
 
 def judged(source: str, value: str, name: str) -> str:
     """Per group: counts, ends and the largest contributions, and the statuses that follow."""
-    return f"""{name}_r AS (SELECT supplier, year, {value}::DECIMAL(30,4) AS v, abs({value})::DECIMAL(30,4) AS a, row_number() OVER (PARTITION BY supplier, year ORDER BY abs({value}) DESC) AS rn FROM {source}),
-  {name}_g AS (SELECT supplier, year, count(*) AS n, count(*) FILTER (v <> 0) AS c, count(DISTINCT v) AS d, max(abs(v)) AS m, sum(a) AS total, sum(v) AS s, sum(a) FILTER (rn <= 1) AS t1, sum(a) FILTER (rn <= 2) AS t2 FROM {name}_r GROUP BY ALL),
+    return f"""{name}_r AS (SELECT supplier, year, {value}::DECIMAL(30,4) AS v, abs({value})::DECIMAL(30,4) AS a, row_number() OVER (PARTITION BY supplier, year ORDER BY abs({value}) DESC NULLS LAST) AS rn FROM {source}),
+  {name}_g AS (SELECT supplier, year, count(v) AS n, count(*) FILTER (v <> 0) AS c, count(DISTINCT v) AS d, coalesce(max(abs(v)), 0) AS m, coalesce(sum(a), 0) AS total, sum(v) AS s, coalesce(sum(a) FILTER (rn <= 1), 0) AS t1, coalesce(sum(a) FILTER (rn <= 2), 0) AS t2 FROM {name}_r GROUP BY ALL),
   {name}_d AS (SELECT *, CASE WHEN total = 0 THEN 'F' WHEN t1 * 10 >= total * 9 THEN 'O' WHEN t2 * 10 >= total * 9 THEN 'T' WHEN (total - t2) * 10 < t1 THEN 'M' ELSE 'F' END AS dom FROM {name}_g),
   {name} AS (SELECT *, CASE WHEN c < 10 THEN 'A' WHEN d <= 2 AND m <> 0 THEN 'C' ELSE dom END AS status FROM {name}_d)"""
 
@@ -96,7 +98,7 @@ def sdc_dominance(t: Tables) -> DataFrame:
     f"""WITH {SKEWED}, g AS (SELECT supplier, year, ((v * 100)::HUGEINT * 65536) // 100 AS g, (((v * 100)::HUGEINT * 65536) % 100) AS r FROM x), {judged('x', 'v', 'j')}, {judged('g', 'r', 'k')},
     b AS (SELECT supplier, year, count(DISTINCT g) AS dg, sum(g) AS sg FROM g GROUP BY ALL),
     z AS (SELECT j.supplier, j.year, j.n, j.s, j.status AS sum_status, sg, CASE WHEN j.n < 10 THEN 'A' WHEN j.status <> 'F' THEN j.status WHEN dg <= 2 THEN 'C' WHEN k.c = 0 THEN 'F' ELSE k.status END AS mean_status
-      FROM j JOIN k ON j.supplier = k.supplier AND j.year = k.year JOIN b ON b.supplier = j.supplier AND b.year = j.year)
+      FROM j JOIN k ON j.supplier IS NOT DISTINCT FROM k.supplier AND j.year = k.year JOIN b ON b.supplier IS NOT DISTINCT FROM j.supplier AND b.year = j.year)
     SELECT supplier, year::VARCHAR AS year, CASE WHEN n >= 10 THEN ((2 * n + 5) // 10) * 5 END AS records, sum_status, CASE WHEN sum_status = 'F' THEN s END::DOUBLE AS total, mean_status,
       CASE WHEN mean_status = 'F' THEN sg::HUGEINT::VARCHAR END AS grid_total FROM z""",
 )
@@ -116,13 +118,13 @@ def sdc_secondary(t: Tables) -> DataFrame:
 
 @query(
     "sdc_per_entity_guard",
-    """WITH v AS (SELECT o_custkey, o_orderpriority AS value, count(*) AS n FROM orders WHERE o_totalprice > 498000 GROUP BY ALL), m AS (SELECT value, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, value) AS rn FROM v),
+    """WITH v AS (SELECT o_custkey, o_orderpriority AS value, count(*) AS n FROM orders GROUP BY ALL), m AS (SELECT value, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, value) AS rn FROM v),
     p AS (SELECT value, count(*) AS n FROM m WHERE rn = 1 GROUP BY 1), r AS (SELECT value, sum(n) AS n FROM v GROUP BY 1),
     j AS (SELECT p.value, p.n, r.n AS rn FROM p FULL JOIN r ON p.value = r.value), bad AS (SELECT count(*) AS k FROM j WHERE (coalesce(n, 0) < 10) <> (coalesce(rn, 0) < 10))
     SELECT value, n, CASE WHEN (SELECT k FROM bad) > 0 THEN 'C' WHEN n < 10 THEN 'A' ELSE 'F' END AS status FROM p""",
 )
 def sdc_per_entity_guard(t: Tables) -> DataFrame:
-    rare = t.orders.where("o_totalprice > 498000").select("o_custkey", F.col("o_orderpriority").alias("value"))
+    rare = t.orders.select("o_custkey", F.col("o_orderpriority").alias("value"))
     per = disclosure.with_count_status(profile.per_entity(rare, ["o_custkey"], "value"), "n")
     rows = disclosure.with_count_status(rare.groupBy("value").agg(F.count("*").alias("n")), "n")
     return disclosure.per_entity_guard(per, rows, "value")

@@ -451,8 +451,8 @@ PRICE = "o_totalprice::DECIMAL(12,2)"
 
 @query(
     "metric_simple",
-    f"""SELECT o_orderstatus AS status, o_orderpriority AS priority, sum({PRICE})::DOUBLE AS total_revenue, count(DISTINCT o_custkey) AS customers
-    FROM orders WHERE o_orderpriority = '2-HIGH' OR o_orderpriority = '5-LOW' GROUP BY ALL ORDER BY total_revenue DESC, status, priority LIMIT 5""",
+    f"""SELECT o_orderstatus AS status, o_orderpriority AS priority, sum({PRICE})::DOUBLE AS total_revenue, count(DISTINCT o_custkey) AS customers,
+    count(*) OVER () > 5 AS truncated FROM orders WHERE o_orderpriority = '2-HIGH' OR o_orderpriority = '5-LOW' GROUP BY ALL ORDER BY total_revenue DESC, status, priority LIMIT 5""",
 )
 def metric_simple(t: Tables) -> DataFrame:
     return semantic.query_metrics(

@@ -230,18 +230,24 @@ def vector_topk(t: Tables) -> DataFrame:
 
 @query(
     "compact_files",
-    "SELECT o_orderpriority, count(*) AS rows, sum(o_totalprice::DECIMAL(12,2))::DOUBLE AS total, true AS fewer_files FROM orders GROUP BY 1",
+    """SELECT 'flat' AS layout, o_orderpriority, count(*) AS rows, sum(o_totalprice::DECIMAL(12,2))::DOUBLE AS total, true AS fewer_files, 0::BIGINT AS folders FROM orders GROUP BY ALL
+    UNION ALL SELECT 'folders', o_orderpriority, count(*), sum(o_totalprice::DECIMAL(12,2))::DOUBLE, true, (SELECT count(DISTINCT o_orderpriority) FROM orders) FROM orders GROUP BY ALL""",
 )
 def compact_files(t: Tables) -> DataFrame:
-    small, large = t.scratch("small-files"), t.scratch("large-files")
-    sinks.write(t.orders.repartition(24), small)
-    before, after = upkeep.compact_files(t.spark, small, large, 64 * 1024 * 1024)
-    return (
-        t.spark.read.parquet(large)
-        .groupBy("o_orderpriority")
-        .agg(F.count("*").alias("rows"), F.sum(money("o_totalprice")).alias("total"))
-        .withColumn("fewer_files", F.lit(after < before))
-    )
+    parts = {}
+    for layout, folders in (("flat", []), ("folders", ["o_orderpriority"])):
+        small, large = t.scratch("small-files"), t.scratch("large-files")
+        t.orders.repartition(24).write.partitionBy(*folders).parquet(small)
+        before, after = upkeep.compact_files(t.spark, small, large, 64 * 1024 * 1024)
+        kept = F.regexp_extract("file", "/(o_orderpriority=[^/]*)/", 1)
+        n = upkeep.file_sizes(t.spark, large).where(kept != "").agg(F.count_distinct(kept)).scalar()
+        parts[layout] = (
+            t.spark.read.parquet(large)
+            .groupBy("o_orderpriority")
+            .agg(F.count("*").alias("rows"), F.sum(money("o_totalprice")).alias("total"))
+            .select("o_orderpriority", "rows", "total", F.lit(after < before).alias("fewer_files"), n.alias("folders"))
+        )
+    return windows.labelled(parts, "layout")
 
 
 @query(

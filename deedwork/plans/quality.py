@@ -339,14 +339,13 @@ def rule_placeholder_exempt(t: Tables) -> DataFrame:
 
 @query(
     "rule_shared_columns",
-    """WITH j AS (SELECT l_linestatus, o_orderstatus, o_orderkey FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_totalprice > 100000)
+    """WITH j AS (SELECT l_linestatus, o_orderstatus, o_orderkey FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey)
     SELECT 'status_follows_order' AS rule_id, 'shared' AS type, count(o_orderkey) AS covered, count(CASE WHEN o_orderkey IS NOT NULL AND l_linestatus IS DISTINCT FROM o_orderstatus THEN 1 END) AS violating,
       count(CASE WHEN o_orderkey IS NOT NULL AND l_linestatus IS DISTINCT FROM o_orderstatus THEN 1 END)::DOUBLE AS actual, 'mustBe 0 rows' AS expected, false AS passed, 'error' AS severity FROM j""",
 )
 def rule_shared_columns(t: Tables) -> DataFrame:
-    parents = t.orders.where("o_totalprice > 100000")
     link = Link("line_of", ("l_orderkey",), ("o_orderkey",))
-    reached = joins.link_join(t.lineitem, parents, link, {"o_orderkey": "reached", "o_orderstatus": "parent_status"})
+    reached = joins.link_join(t.lineitem, t.orders, link, {"o_orderkey": "reached", "o_orderstatus": "parent_status"})
     rule = Rule(
         "status_follows_order",
         R.distinct_from(F.col("l_linestatus"), F.col("parent_status"), negated=True),
@@ -357,13 +356,13 @@ def rule_shared_columns(t: Tables) -> DataFrame:
 
 @query(
     "rule_shared_attribute",
-    """WITH c AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9800), s AS (SELECT DISTINCT s_nationkey AS k FROM supplier)
+    """WITH c AS (SELECT DISTINCT c_nationkey AS k FROM customer), s AS (SELECT DISTINCT s_suppkey % 40 AS k FROM supplier)
     SELECT 'only_left' AS side, k::BIGINT AS value FROM (SELECT k FROM c EXCEPT SELECT k FROM s) UNION ALL SELECT 'only_right', k FROM (SELECT k FROM s EXCEPT SELECT k FROM c)""",
 )
 def rule_shared_attribute(t: Tables) -> DataFrame:
-    """One attribute on two tables has one domain: values only one of them holds."""
-    c = t.customer.where("c_acctbal > 9800").select(F.col("c_nationkey").alias("value")).distinct()
-    s = t.supplier.select(F.col("s_nationkey").alias("value")).distinct()
+    """One attribute on two tables has one domain: values only one of them holds. The suppliers' stands for a wider one."""
+    c = t.customer.select(F.col("c_nationkey").cast("bigint").alias("value")).distinct()
+    s = t.supplier.select((F.col("s_suppkey") % 40).cast("bigint").alias("value")).distinct()
     return (
         c.join(s, "value", "left_anti")
         .withColumn("side", F.lit("only_left"))

@@ -72,10 +72,10 @@ def join_left_agg(t: Tables) -> DataFrame:
 
 @query(
     "join_right_full_cross",
-    """WITH c AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_acctbal < 0 GROUP BY 1),
-    s AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_acctbal > 3000 GROUP BY 1),
+    """WITH c AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1),
+    s AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1),
     o AS (SELECT n_regionkey, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey
-      JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 450000 GROUP BY ALL)
+      JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
     SELECT 'right' AS form, s.k::VARCHAR AS a, NULL::VARCHAR AS b, customers AS left_n, suppliers AS right_n FROM c RIGHT JOIN s ON c.k = s.k
     UNION ALL SELECT 'full', coalesce(c.k, s.k)::VARCHAR, NULL, customers, suppliers FROM c FULL JOIN s ON c.k = s.k
     UNION ALL SELECT 'cross', r_name, p, NULL, coalesce(n, 0) FROM region
@@ -84,16 +84,15 @@ def join_left_agg(t: Tables) -> DataFrame:
 )
 def join_right_full_cross(t: Tables) -> DataFrame:
     """The cross product is a table against a declared list of levels, so it is an explode."""
-    left = t.customer.where("c_acctbal < 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("left_n"))
-    right = t.supplier.where("s_acctbal > 3000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("right_n"))
+    left = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("left_n"))
+    right = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("right_n"))
     none = F.lit(None).cast("string")
 
     def shaped(df: DataFrame, form: str) -> DataFrame:
         return df.select(F.lit(form).alias("form"), F.col("k").cast("string").alias("a"), none.alias("b"), "left_n", "right_n")
 
     counted = (
-        t.orders.where("o_totalprice > 450000")
-        .groupBy("o_custkey", "o_orderpriority")
+        t.orders.groupBy("o_custkey", "o_orderpriority")
         .agg(F.count("*").alias("n"))
         .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -493,13 +492,13 @@ def topk_total_order(t: Tables) -> DataFrame:
 
 
 def nation_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
-    customers = t.customer.where("c_acctbal > 9000").select(F.col("c_nationkey").cast("bigint").alias("k"))
-    suppliers = t.supplier.where("s_acctbal > 3000").select(F.col("s_nationkey").cast("bigint").alias("k"))
+    customers = t.customer.select(F.col("c_nationkey").cast("bigint").alias("k"))
+    suppliers = t.supplier.select(F.col("s_nationkey").cast("bigint").alias("k"))
     return customers, suppliers
 
 
-NATION_SIDES = """WITH a AS (SELECT c_nationkey::BIGINT AS k FROM customer WHERE c_acctbal > 9000),
-  b AS (SELECT s_nationkey::BIGINT AS k FROM supplier WHERE s_acctbal > 3000) """
+NATION_SIDES = """WITH a AS (SELECT c_nationkey::BIGINT AS k FROM customer),
+  b AS (SELECT s_nationkey::BIGINT AS k FROM supplier) """
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -46,24 +47,25 @@ def _conf(spark: SparkSession, key: str) -> str | None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder for staged copies: ``spark.checkpoint.dir``, which every executor can reach.
-
-    Only a local session may go without it, and gets a temporary folder once.
-    """
+    """The folder for staged copies: ``spark.checkpoint.dir``, or one in the warehouse; every executor reaches both."""
     root = _conf(spark, "spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="deedwork-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the scratch folder that nothing else uses."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path that nothing else uses, under this application's own folder, which goes when the application ends."""
+    context = spark.sparkContext
+    own = f"{scratch_root(spark)}/deedwork-{context.applicationId}"
+    if getattr(context, "_deedwork_staged", None) != own:
+        context._deedwork_staged = own
+        atexit.register(_discard, context, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _discard(context, folder: str) -> None:
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -90,19 +90,24 @@ def incremental_append(df: DataFrame, path: str, cursor: str) -> int:
 def newest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the one of largest ``order``.
 
-    An aggregation rather than a ranking: tasks keep one row per key before the shuffle.
+    The rank is bounded, so each task keeps one row of a key before the shuffle.
     """
-    rest = [c for c in df.columns if c not in key]
-    newest = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return newest.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    order_by = Window.partitionBy(*key).orderBy(*[F.desc_nulls_last(c) for c in order])
+    return df.withColumn("_nth", F.row_number().over(order_by)).where("_nth = 1").drop("_nth")
 
 
 def merge(target: DataFrame, changes: DataFrame, key: Sequence[str], deleted: str | None = None) -> DataFrame:
     """Upsert: a changed key takes the change, the others stay; a change marked deleted drops it.
 
-    ``changes`` has one row per key and the target's columns (plus ``deleted``).
+    ``changes`` has one row per key and the target's columns (plus ``deleted``); a key that repeats fails the job, as it would
+    multiply the target's row.
     """
     columns = target.columns
+    # The bounded rank keeps two rows of a key at most; the second one is the failure.
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    checked = changes.withColumn("_nth", nth).where("_nth <= 2")
+    once = F.when(F.col("_nth") == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"a change repeats its key {list(key)}")).cast("boolean"))
+    changes = checked.where(once).drop("_nth")
     old = target.select(F.struct(*columns).alias("_old"), *[F.col(k).alias(f"_a_{k}") for k in key])
     flag = F.col(deleted) if deleted else F.lit(False)
     new = changes.select(F.struct(*columns).alias("_new"), flag.alias("_gone"), *[F.col(k).alias(f"_b_{k}") for k in key])

@@ -136,6 +136,15 @@ def test_change_feed_in_micro_batches_is_the_feed_at_once(spark, tables):
     assert state["table"].exceptAll(want).isEmpty() and want.exceptAll(state["table"]).isEmpty()
 
 
+def test_a_change_that_repeats_its_key_is_refused(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    with pytest.raises(Exception, match="repeats its key"):
+        sinks.merge(target, twice, ["k"]).collect()
+    once = sinks.merge(target, twice.where("v = 'y'"), ["k"])
+    assert sorted(map(tuple, once.collect())) == [(1, "y"), (2, "b")]
+
+
 def test_writes_that_are_refused(spark):
     df = spark.range(3).withColumn("p", F.when(F.col("id") > 0, F.col("id")))
     with pytest.raises(sinks.SinkError):
