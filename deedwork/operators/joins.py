@@ -74,71 +74,45 @@ def as_of_join(
     That is the version that starts last on or before the date, if it is the only one with that
     start and its end is not yet reached. Every fact comes back once, with NULLs when none is.
 
-    Facts and version starts are ordered together, so no fact meets all versions of its entity.
-    The order is cut by calendar slice: each (entity, slice) opens with the last version before
-    it, so an entity with a third of the rows still spreads over as many tasks as it has slices.
+    Neither facts nor attributes are ordered. Only the distinct (entity, date) of the facts and the distinct (entity, start) of the versions
+    are: each date takes the latest start up to it, and the one version with that start is then looked up by equality. However many
+    facts an entity has, it has no more rows in the order than dates, and these are cut by calendar slice: each
+    (entity, slice) opens with the latest start before it.
     """
-    live = live_versions(versions, window)
-    end = F.col(window.end) if window.end else F.lit(None).cast(live.schema[window.start].dataType)
-    open_ = _is_open(window) if window.end else F.lit(True)
-    body = F.struct(end.alias("end"), open_.alias("open"), *attributes)
     keys = [f"_k{i}" for i in range(len(fact_key))]
-    starts = (
-        live.groupBy(*[F.col(c).alias(k) for c, k in zip(version_key, keys)], F.col(window.start).alias("_t"))
-        .agg(F.count("*").alias("n"), F.min(body).alias("body"))
-        .select(*keys, "_t", F.struct(F.col("n"), F.col("body")).alias("_version"))
-    )
-    sliced = F.date_trunc(slice_unit, F.col("_t")).alias("_slice")
-    last = (
-        starts.groupBy(*keys, sliced)
-        .agg(F.max_by("_version", "_t").alias("_last"))
-        .select(*keys, "_slice", "_last")
-    )
-    known = F.col(fact_date).isNotNull()
-    for c in fact_key:
-        known = known & F.col(c).isNotNull()
-    # Facts that can reach no version ride along, spread over salts of their own, some for each shuffle partition.
-    salts = 8 * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.when(known, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*facts.columns), F.lit(salts)))
-    placed = facts.select(
-        *[F.col(c).alias(k) for c, k in zip(fact_key, keys)],
-        F.col(fact_date).alias("_t"),
-        F.struct(*facts.columns).alias("_row"),
-        salt.alias("_salt"),
-    )
-    # What each (entity, slice) opens with: the last version of an earlier slice.
-    spots = placed.where("_salt = 0").select(*keys, sliced).distinct()
-    openings = (
-        spots.unionByName(last, allowMissingColumns=True)
-        .groupBy(*keys, "_slice")
-        .agg(F.max("_last").alias("_last"))
-        .withColumn(
-            "_version",
-            F.last("_last", ignorenulls=True).over(
-                Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
-        .where("_version IS NOT NULL")
-        .select(*keys, "_slice", "_version")
-    )
-    line = (
-        placed.withColumn("_slice", sliced)
-        .unionByName(starts.withColumn("_slice", sliced), allowMissingColumns=True)
-        .unionByName(openings, allowMissingColumns=True)
-        .withColumn("_salt", F.coalesce("_salt", F.lit(0)))
-    )
-    # An opening has no time and sorts first; a version sorts before the facts of its own day.
-    order = Window.partitionBy(*keys, "_slice", "_salt").orderBy(
-        F.col("_t").asc_nulls_first(), F.col("_row").isNotNull()
+    held = live_versions(versions, window)
+    end = F.col(window.end) if window.end else F.lit(None).cast(held.schema[window.start].dataType)
+    open_ = _is_open(window) if window.end else F.lit(True)
+    held = held.select(
+        *[F.col(c).alias(k) for c, k in zip(version_key, keys)],
+        F.col(window.start).alias("_start"),
+        end.alias("_end"),
+        open_.alias("_open"),
+        *[F.col(a).alias(f"_a{i}") for i, a in enumerate(attributes)],
     )
-    reached = line.withColumn(
-        "_version",
-        F.last("_version", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-    ).where("_row IS NOT NULL")
-    limit = F.col("_version.body.end")
-    alive = F.col("_version.body.open") | (F.col("_t") <= limit if window.closed else F.col("_t") < limit)
-    valid = F.coalesce((F.col("_version.n") == 1) & alive, F.lit(False))
-    return reached.select("_row.*", *[F.when(valid, F.col(f"_version.body.{a}")).alias(a) for a in attributes])
+    by_start = held.groupBy(*keys, "_start").agg(F.count(F.lit(1)).alias("_n"))
+    only = held.join(by_start.where("_n = 1").drop("_n"), [*keys, "_start"], "left_semi")
+
+    asked = facts.select(*[F.col(c).alias(k) for c, k in zip(fact_key, keys)], F.col(fact_date).alias("_t"))
+    asked = asked.dropna(subset=[*keys, "_t"]).distinct()
+    nothing = F.lit(None).cast(held.schema["_start"].dataType).alias("_start")
+    both = asked.select(*keys, "_t", nothing).unionByName(by_start.select(*keys, F.col("_start").alias("_t"), "_start"))
+    both = both.withColumn("_slice", F.date_trunc(slice_unit, F.col("_t")))
+    # What each (entity, slice) opens with: the latest start of an earlier slice.
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    opening = both.groupBy(*keys, "_slice").agg(F.max("_start").alias("_latest")).select(*keys, "_slice", F.max("_latest").over(before).alias("_opening"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = both.select(*keys, "_t", "_slice", "_start", F.max("_start").over(inside).alias("_inside")).where("_start IS NULL")
+    reached = reached.join(opening, [*keys, "_slice"]).select(*keys, "_t", F.coalesce("_inside", "_opening").alias("_start"))
+
+    alive = F.col("_open") | (F.col("_t") <= F.col("_end") if window.closed else F.col("_t") < F.col("_end"))
+    valid = reached.join(only, [*keys, "_start"]).where(alive)
+    valid = valid.select(*keys, "_t", *[F.col(f"_a{i}") for i in range(len(attributes))])
+    on = F.col(fact_date) == F.col("_t")
+    for c, k in zip(fact_key, keys):
+        on = on & (F.col(c) == F.col(k))
+    rows = facts.select("*").join(valid, on, "left")
+    return rows.select(*facts.columns, *[F.col(f"_a{i}").alias(a) for i, a in enumerate(attributes)])
 
 
 def interval_join(

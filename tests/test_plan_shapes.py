@@ -24,3 +24,9 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_noise_is_the_only_work_in_python(spark):
     assert plan(spark, "dp_noisy_counts").count("MapInPandas") == 1
+
+
+@pytest.mark.parametrize("name", ["join_as_of_version", "as_of_governed"])
+def test_as_of_joins_hash_and_move_no_whole_rows(spark, name):
+    text = plan(spark, name)
+    assert "SortAggregate" not in text and "_row" not in text
