@@ -11,6 +11,7 @@ from deedwork.operators import windows
 from deedwork.plans.registry import query
 from deedwork.session import Tables
 from deedwork.sources import readers, sinks
+from deedwork.streaming import landing
 
 LINES = "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, l_returnflag FROM lineitem"
 ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate::VARCHAR AS o_orderdate, o_orderpriority FROM orders"
@@ -226,8 +227,16 @@ def load_incremental_append(t: Tables) -> DataFrame:
     "SELECT user_id, event_id, ts::VARCHAR AS ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 )
 def load_incremental_dedup(t: Tables) -> DataFrame:
-    events = t.events.select("user_id", "event_id", "ts", "event_type")
-    return sinks.newest_per_key(events, ["user_id"], ["ts", "event_id"])
+    """Two loads into a stored table of one row a user; the second one, run again, changes nothing."""
+    path, events = t.scratch("newest"), t.events.select("user_id", "event_id", "ts", "event_type")
+
+    def newest(rows: DataFrame):
+        return lambda before: sinks.newest_per_key(rows if before is None else before.unionByName(rows), ["user_id"], ["ts", "event_id"])
+
+    sinks.load(t.spark, path, 1, newest(events.where("ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'")))
+    for _ in range(2):
+        sinks.load(t.spark, path, 2, newest(events.where("ts >= TIMESTAMP_NTZ '2024-01-14 00:00:00'")))
+    return sinks.stored(t.spark, path)
 
 
 ORDER_ROW = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
@@ -243,7 +252,11 @@ def load_incremental_merge(t: Tables) -> DataFrame:
     changes = rows.where("o_orderkey % 5 = 0").withColumns(
         {"o_orderstatus": F.lit("M"), "o_totalprice": F.col("o_totalprice") + 100}
     )
-    return sinks.merge(rows.where("o_orderkey % 3 <> 0"), changes, ["o_orderkey"])
+    path = t.scratch("merged")
+    sinks.load(t.spark, path, 1, lambda _: rows.where("o_orderkey % 3 <> 0"))
+    for _ in range(2):
+        sinks.load(t.spark, path, 2, lambda before: sinks.merge(before, changes, ["o_orderkey"]))
+    return sinks.stored(t.spark, path)
 
 
 def change_feed(t: Tables) -> DataFrame:
@@ -271,8 +284,18 @@ def change_feed(t: Tables) -> DataFrame:
     WHERE o_orderkey % 28 = 0 OR o_orderkey % 7 <> 0""",
 )
 def load_cdc_apply(t: Tables) -> DataFrame:
-    target = t.orders.select(*ORDER_ROW).where("o_orderkey % 3 <> 0")
-    return sinks.apply_changes(target, change_feed(t), ["o_orderkey"], sequence="seq", operation="op")
+    """A change feed as a stream: each micro-batch is a load of the stored table."""
+    path, files, feed = t.scratch("fed"), t.scratch("feed"), change_feed(t)
+    held = t.orders.select(*ORDER_ROW).where("o_orderkey % 3 <> 0").withColumns({"op": F.lit("insert"), "seq": F.lit(0).cast("bigint")})
+    sinks.load(t.spark, path, 0, lambda _: held)
+    feed.repartition(3).write.parquet(files)
+    stream = t.spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(files)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        sinks.load(batch.sparkSession, path, batch_id + 1, lambda before: sinks.fed(before, batch, ["o_orderkey"], "seq"))
+
+    landing.run_available(stream, t.scratch("checkpoint"), each)
+    return sinks.stored(t.spark, path).where("op <> 'delete'").drop("op", "seq")
 
 
 @query(

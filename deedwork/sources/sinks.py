@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -123,6 +123,28 @@ def apply_changes(target: DataFrame, feed: DataFrame, key: Sequence[str], *, seq
     return merge(target, last, key, deleted="_deleted")
 
 
+def stored(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete version of a stored table (older than ``before``), or ``None``."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version=*/_SUCCESS")
+    marks = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []
+    versions = [int(m.getPath().getParent().getName().partition("=")[2]) for m in marks]
+    kept = [v for v in versions if before is None or v < before]
+    return spark.read.parquet(f"{path.rstrip('/')}/version={max(kept)}") if kept else None
+
+
+def load(spark: SparkSession, path: str, load_id: int, change: Callable[[DataFrame | None], DataFrame]) -> int:
+    """Write version ``load_id`` of a stored table from the version before it.
+
+    Readers see a version once it is complete. A load that is run again starts from the same version, so it writes the same.
+    """
+    return write(change(stored(spark, path, before=load_id)), f"{path.rstrip('/')}/version={load_id}")
+
+
+def fed(before: DataFrame | None, feed: DataFrame, key: Sequence[str], sequence: str) -> DataFrame:
+    """The last change of each key so far. Deletes stay as rows, so changes may come late, twice or out of order."""
+    return newest_per_key(feed if before is None else before.unionByName(feed), key, [sequence])
+
+
 def smaller_cursor(old: Column, new: Column) -> Column:
     """Whether the cursor went back: compared as numbers when both are, else as ISO text."""
     a, b = old.try_cast("decimal(38,6)"), new.try_cast("decimal(38,6)")
