@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deedwork.session import materialized
+
 METRICS = ("cosine", "l2", "inner_product", "l1")
-MOST_QUERIES = 10_000
+BLOCK_QUERIES = 1024
 
 
 def chunk_rows(df: DataFrame, key: str, columns: Sequence[str], size: int, model: str | None = None) -> DataFrame:
@@ -51,16 +53,16 @@ def closeness(a: Column, b: Column, metric: str) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metrics: Sequence[str] = METRICS) -> DataFrame:
     """The ``k`` nearest vectors of every query, exactly: ``query_id, metric, rank, vec_id, distance``.
 
-    ``vectors``: vec_id, embedding. ``queries``: query_id, embedding; a batch of them, at most
-    ``MOST_QUERIES``, which is checked. The batch rides along as one value, every vector is read
-    once, and a task keeps only its own ``k`` nearest per query before the shuffle.
+    ``vectors``: vec_id, embedding. ``queries``: query_id, embedding, any number of them. They are written in blocks of at most
+    ``BLOCK_QUERIES``; every vector meets every block, a join that is broadcast or split according to the blocks' size, and a task
+    keeps only its own ``k`` nearest per query before the shuffle.
     """
-    asked = queries.limit(MOST_QUERIES + 1).count()
-    if asked > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one batch")
     double = F.col("embedding").cast("array<double>")
-    batch = queries.agg(F.collect_list(F.struct("query_id", double.alias("q"))).alias("b")).scalar()
-    pairs = vectors.select("vec_id", double.alias("v"), F.explode(batch).alias("q"))
+    numbered = queries.select(F.floor(F.monotonically_increasing_id() / BLOCK_QUERIES).alias("block"), F.struct("query_id", double.alias("q")).alias("q"))
+    blocks = materialized(numbered.groupBy("block").agg(F.collect_list("q").alias("b")), "query-blocks")
+    every = blocks.agg(F.collect_set("block").alias("ids")).scalar()
+    met = vectors.select("vec_id", double.alias("v"), F.explode(every).alias("block")).join(blocks, "block")
+    pairs = met.select("vec_id", "v", F.explode("b").alias("q"))
     scored = pairs.select(
         "vec_id",
         F.col("q.query_id").alias("query_id"),
