@@ -45,9 +45,12 @@ def line_dedup(
     """
     read = fold(docs, {"id": id_col, "text": text_col}).withColumn("key", F.xxhash64("text"))
     marked = read.select("id", "key", _keys(_lines(F.col("text")), least_chars).alias("k"))
-    apart = F.array_distinct(F.transform("k", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+    # Distinct by sorting: a set of pairs would be searched in turn, which a text of many lines cannot afford.
+    hashes = F.array_sort(F.transform("k", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+    ordered = marked.select("id", hashes.alias("s"))
+    apart = F.filter("s", lambda x, i: (i == 0) | (x != F.get("s", i - 1)))
     counted = (
-        marked.select("id", F.explode(apart).alias("x"))
+        ordered.select("id", F.explode(apart).alias("x"))
         .groupBy(F.col("x.a").alias("a"), F.col("x.b").alias("b"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
     )

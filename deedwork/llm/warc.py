@@ -225,7 +225,8 @@ def archive_pages(
     are responses too; a row without an id is written as a response of record -1. An empty table writes nothing.
     """
     spark: SparkSession = pages.sparkSession
-    folder = folder or scratch_path(spark, "archives")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder or scratch_path(spark, "archives"))
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     rows = fold(pages, {"record": id_col, "url": url_col, "html": payload_col})
     rows = rows.select("record", "url", _payload(F.col("html")).alias("payload")).withColumn("sha1", F.sha1("payload"))
     shared = rows.select("record", "sha1", F.octet_length("payload").alias("n")).where(F.col("n") >= least_shared_bytes)
