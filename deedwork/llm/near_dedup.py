@@ -7,8 +7,12 @@ those that only share a vocabulary. Documents that agree in any of ``SKETCHES``
 Candidates are verified by an alignment of their shingles within the band that the threshold leaves: matched in order / all distinct >= 0.8.
 
 Equal word sequences are one node from the start. The nodes of a bucket are compared with one of them, what links becomes one class, and
-two more rounds compare the classes left in a bucket with other members. Then every pair of nodes in a bucket that are still in different classes is
-compared, so no candidate link is lost; a group of near copies has by then become one class and forms no pairs.
+two more rounds compare the classes left in a bucket with other members. Then every pair of nodes in a bucket that are still in different classes
+is considered, so no candidate link is lost.
+
+What is considered is first held against a bound that never errs: in a bitmap of ``MARK_BITS`` parities, one shingle that only one of two documents
+has flips one bit, so two bitmaps differ in no more bits than the documents differ in shingles. Pairs beyond the threshold by this count alone never
+leave the join; a group of documents that are alike, but not alike enough, makes comparisons of a few machine words and no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deedwork.llm.common import fold, materialized, whole_row
@@ -29,6 +33,7 @@ from deedwork.session import ship_package
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 PICKS = 5
+MARK_BITS = 1024
 SKETCHES = 32
 STAR_ROUNDS = 3
 _LAST_ID = (1 << 63) - 1
@@ -131,10 +136,33 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc": part["doc"].to_numpy(), "key": part["key"].to_numpy()}).join(out)
 
 
+MARKS = tuple(f"m{k}" for k in range(MARK_BITS // 64))
+
+
+def marks_of(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles at each of ``MARK_BITS`` places, packed into words."""
+    places = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % MARK_BITS, minlength=MARK_BITS)
+    return np.packbits((places & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sequence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        words = [np.array([_hash_of[w] >> 32 for w in words_of(text)], dtype="<u4").tobytes() for text in batch["text"]]
-        yield pd.DataFrame({"node": batch["node"].to_numpy(), "words": words})
+        words = [np.array([_hash_of[w] >> 32 for w in words_of(text)], dtype="<u4") for text in batch["text"]]
+        shingles = [shingles_of(w.astype(np.uint64)) for w in words]
+        out = pd.DataFrame({"node": batch["node"].to_numpy(), "n": [len(s) for s in shingles], "words": [w.tobytes() for w in words]})
+        marks = np.array([marks_of(s) for s in shingles], dtype=np.int64).reshape(-1, len(MARKS))
+        yield out.join(pd.DataFrame(marks, columns=MARKS))
+
+
+def _marked(sequences: DataFrame, as_: str) -> DataFrame:
+    """The nodes with their sizes and bitmaps, all names ending in ``as_``."""
+    return sequences.select(*(F.col(c).alias(f"{c}_{as_}") for c in ("node", "n", *MARKS)))
+
+
+def _may_link(least: float) -> Column:
+    """Whether two marked nodes, ``u`` and ``v``, can differ in few enough shingles."""
+    flipped = [F.bit_count(F.col(f"{m}_u").bitwiseXOR(F.col(f"{m}_v"))) for m in MARKS]
+    return sum(flipped[1:], flipped[0]) <= (F.col("n_u") + F.col("n_v")) * ((1 - least) / (1 + least)) + 1e-6
 
 
 def _verify(least: float):
@@ -159,6 +187,8 @@ def _verify(least: float):
 
 
 def _links(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    marked = pairs.join(_marked(sequences, "u"), F.col("u") == F.col("node_u")).join(_marked(sequences, "v"), F.col("v") == F.col("node_v"))
+    pairs = marked.where(_may_link(least)).select("u", "v")
     both = pairs.join(sequences.select(F.col("node").alias("u"), F.col("words").alias("a")), "u")
     both = both.join(sequences.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
     return both.select("u", "v", "a", "b").mapInPandas(_verify(least), "u long, v long")
@@ -171,7 +201,7 @@ def _classes(buckets: DataFrame, sequences: DataFrame, least: float) -> DataFram
         left = buckets.withColumn("label", F.col("node"))
         if labels is not None:
             known = labels.withColumnRenamed("label", "known")
-            left = buckets.join(known, "node", "left").select("bucket", "node", "n", F.coalesce("known", "node").alias("label"))
+            left = buckets.join(known, "node", "left").select("bucket", "node", F.coalesce("known", "node").alias("label"))
             open_ = left.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
             left = materialized(left.join(open_, "bucket", "left_semi"), "open-buckets")
             if left.isEmpty():
@@ -182,10 +212,13 @@ def _classes(buckets: DataFrame, sequences: DataFrame, least: float) -> DataFram
             stars = left.withColumn("rank", rank).groupBy("bucket").agg(F.min_by("node", "rank").alias("u"), F.min_by("label", "rank").alias("l"))
             pairs = left.join(stars, "bucket").where("label <> l").select(F.col("node").alias("v"), "u")
         else:
-            other = left.select("bucket", F.col("node").alias("u"), F.col("label").alias("l"), F.col("n").alias("m"))
-            close = (F.least("n", "m") >= least * (F.least("n", "m") + F.greatest("n", "m")) / (1 + least) - 1e-9) & (F.col("label") != F.col("l"))
-            pairs = left.join(other, (left["bucket"] == other["bucket"]) & (F.col("node") < F.col("u")) & close)
-            pairs = pairs.select(F.col("node").alias("v"), "u")
+            one, other = (
+                left.select(F.col("bucket").alias(f"bucket_{x}"), F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+                .join(_marked(sequences, x), F.col(x) == F.col(f"node_{x}"))
+                for x in "uv"
+            )
+            apart = (F.col("u") < F.col("v")) & (F.col("label_u") != F.col("label_v"))
+            pairs = one.join(other, (F.col("bucket_u") == F.col("bucket_v")) & apart & _may_link(least)).select("u", "v")
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         found = materialized(_links(pairs, sequences, least), "near-links")
         links = found if links is None else links.unionByName(found)
@@ -211,12 +244,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialized(nodes, "nodes")
 
     spread = rows.where("size(bands) > 0").join(nodes, [*same, "doc", "key"])
-    spread = spread.select("node", (F.col("n") - SHINGLE_WORDS + 1).alias("n"), F.explode(F.array_distinct("bands")).alias("bucket")).distinct()
+    spread = spread.select("node", F.explode(F.array_distinct("bands")).alias("bucket")).distinct()
     full = spread.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket")
     buckets = materialized(spread.join(full, "bucket", "left_semi"), "buckets")
     asked = buckets.select("node").distinct().join(nodes, "node").select("node", F.col("doc").alias("d"), F.col("key").alias("k"))
+    marks = ", ".join(f"{m} long" for m in MARKS)
     texts = keyed.join(asked, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k"))).select("node", "text")
-    sequences = materialized(texts.mapInPandas(_sequence, "node long, words binary").dropDuplicates(["node"]), "word-sequences")
+    sequences = materialized(texts.mapInPandas(_sequence, f"node long, n int, words binary, {marks}").dropDuplicates(["node"]), "word-sequences")
     labels = _classes(buckets, sequences, least)
 
     named = nodes.join(labels, "node", "left").select(*same, "doc", F.coalesce("label", "node").alias("label"))

@@ -188,3 +188,14 @@ def test_pipeline_by_brute_force(spark):
     current = spark.read.parquet(f"{SMALL}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, current.limit(0), SMALL).columns == current.columns
+
+
+def test_marks_never_count_more_than_the_difference():
+    rng = np.random.default_rng(2)
+    for size in (5, 60, 3000):
+        a = rng.integers(0, 40, size, dtype=np.uint64)
+        b = a.copy()
+        b[rng.integers(0, size, size // 20 + 1)] += np.uint64(100)
+        x, y = near_dedup.shingles_of(a), near_dedup.shingles_of(b)
+        flipped = sum(int(v).bit_count() for v in (near_dedup.marks_of(x) ^ near_dedup.marks_of(y)).view(np.uint64))
+        assert flipped <= len(set(x.tolist()) ^ set(y.tolist()))
