@@ -193,7 +193,8 @@ def score(
     known = fold(labels, {"label_id": id_col, "label": label_col}).where("label in (0, 1)").select("label_id", F.col("label").cast("int"))
     free = fold(docs.where(~F.coalesce(held_out, F.lit(False))), {"id": id_col, "text": text_col})
     curve = F.pmod(F.xxhash64(F.lit("curve"), F.col("id").cast("string")), F.lit(SLICES)) == 0
-    taught = free.where(~curve).join(known, F.col("id") == F.col("label_id")).select("label", "text")
+    # Labels grow with the corpus, so texts meet them by a shuffle at every size.
+    taught = free.where(~curve).join(known.hint("merge"), F.col("id") == F.col("label_id")).select("label", "text")
     counts = taught.mapInPandas(_count, "gram string, ordinary long, toxic long").groupBy("gram")
     counts = counts.agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     most = counts.orderBy((F.col("ordinary") + F.col("toxic")).desc(), "gram").limit(MOST_GRAMS)
