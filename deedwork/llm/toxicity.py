@@ -4,9 +4,10 @@ Words are spelled by two character models, one of toxic and one of ordinary docu
 own counts; what it saves goes to one backoff model that both share, whose counts are the distinct contexts a character sequence continues. A rare
 expression is therefore told by what is known of its parts, and one unknown to both classes speaks for neither.
 
-A word's evidence is the difference of its log-likelihoods. A document is as toxic as its ``STRONGEST`` most telling words on average, a
-normalisation under which the length of the text has no weight. A logistic curve makes it a score; it is fitted to a histogram of the training
-documents whose id hashes into one of ``SLICES`` slices, which are not counted, so that it sees the evidence of new documents.
+A word's evidence is the difference of its log-likelihoods, toxic less ordinary. All words of a document count, in two length-normalised ways: the mean
+evidence of a character, and the peak, the logarithm of the mean likelihood ratio of a word, which one telling word among N raises by its evidence less
+log N; it is read on the scale of ``asinh``. A logistic curve of both makes a score; it is fitted to a histogram of the training documents whose id
+hashes into one of ``SLICES`` slices, which are not counted, so that it sees the evidence of new documents.
 
 Counts cover all other labelled training rows. They are summed by task before they are shuffled; what is broadcast is bounded by ``MOST_GRAMS``, the most
 frequent sequences, and the shared backoff stands in for the others.
@@ -30,11 +31,12 @@ from deedwork.session import ship_package
 
 ORDER = 4
 DISCOUNT = 0.75
-STRONGEST = 3
 SLICES = 6
 MOST_GRAMS = 1_000_000
-BIN = 0.25
-BINS = 200
+MEAN_BIN, MEAN_BINS = 0.0025, 800
+PEAK_BIN, PEAK_BINS = 0.05, 400
+MEAN_SCALE = 20.0
+PEAK_SCALE = 5.0
 _MEMO_WORDS = 500_000
 _START, _END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -113,12 +115,14 @@ class Models:
                 self.words[word] = known
         return known
 
-    def text(self, text: str | None) -> float:
-        told = np.fromiter(map(self.word, _words(text)), dtype=np.float64)
-        if not len(told):
-            return 0.0
-        k = min(STRONGEST, len(told))
-        return float(np.partition(told, len(told) - k)[len(told) - k :].sum() / STRONGEST)
+    def text(self, text: str | None) -> tuple[float, float]:
+        """Mean evidence of a character, each word's end being one, and the peak."""
+        words = _words(text)
+        if not words:
+            return 0.0, 0.0
+        told = np.fromiter(map(self.word, words), dtype=np.float64, count=len(words))
+        top = told.max()
+        return float(told.sum() / (sum(map(len, words)) + len(words))), float(np.arcsinh(PEAK_SCALE * (top + np.log(np.exp(told - top).mean()))))
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,28 +155,29 @@ def _scorer(shared, name: str):
             _MODELS[name] = Models(shared.value)
         model = _MODELS[name]
         for batch in batches:
-            raw = [model.text(text) for text in batch.pop("text")]
-            yield batch.assign(raw=raw)
+            told = [model.text(text) for text in batch.pop("text")]
+            yield batch.assign(mean=[mean for mean, _ in told], peak=[peak for _, peak in told])
 
     return run
 
 
-def _logistic(bins: list[tuple[int, int, int]]) -> tuple[float, float]:
-    """(slope, offset) of P(toxic | raw) from (bin, ordinary, toxic), by Newton's method with a little shrinkage."""
-    x = np.array([b * BIN for b, _, _ in bins])
-    total, hits = np.array([o + t for _, o, t in bins], float), np.array([t for _, _, t in bins], float)
+def _logistic(bins: list[tuple[int, int, int, int]]) -> tuple[float, float, float]:
+    """(slope of the mean, slope of the peak, offset) of P(toxic) from (mean bin, peak bin, ordinary, toxic), by Newton's method with a little shrinkage."""
+    table = np.array(bins, dtype=np.float64).reshape(-1, 4)
+    total, hits = table[:, 2] + table[:, 3], table[:, 3]
     if not hits.sum() or hits.sum() == total.sum():
-        return 1.0, -2.0
-    features, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
-    for _ in range(50):
+        return 1.0, 1.0, -2.0
+    scale = np.array([MEAN_SCALE, 1.0, 1.0])
+    features, w = np.column_stack([table[:, :2] * [MEAN_BIN, PEAK_BIN], np.ones(len(table))]) * scale, np.zeros(3)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
         slope = features.T @ (hits - total * p) - 1e-3 * w
-        bend = (features * (total * p * (1 - p))[:, None]).T @ features + 1e-3 * np.eye(2)
+        bend = (features * (total * p * (1 - p))[:, None]).T @ features + 1e-3 * np.eye(3)
         step = np.linalg.solve(bend, slope)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(max(w[0], 1e-3)), float(w[1])
+    return tuple((w * scale).tolist())
 
 
 def score(
@@ -183,7 +188,7 @@ def score(
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> DataFrame:
-    """One row per input row: ``id_col``, ``score`` (0 to 1), ``predicted`` (1 from 0.5 on) and ``evidence``, the raw value.
+    """One row per input row: ``id_col``, ``score`` (0 to 1), ``predicted`` (1 from 0.5 on) and ``evidence``, the mean of a character.
 
     ``held_out`` is a condition on the columns of ``docs``; those rows teach nothing. A null or empty text has no evidence, value 0; a label
     other than 0 and 1, null included, is not learned; repeated rows count as often as they occur. Without labels, evidence is 0 everywhere.
@@ -202,12 +207,15 @@ def score(
 
     read = fold(docs.withColumn("__held", F.coalesce(held_out, F.lit(False))), {"id": id_col, "held": "__held", "text": text_col})
     id_type = read.schema["id"].dataType.simpleString()
-    raw = read.mapInPandas(_scorer(shared, uuid.uuid4().hex), f"id {id_type}, held boolean, raw double")
+    raw = read.mapInPandas(_scorer(shared, uuid.uuid4().hex), f"id {id_type}, held boolean, mean double, peak double")
     raw = materialized(raw, "toxic-evidence")
-    place = F.least(F.greatest(F.round(F.col("raw") / BIN), F.lit(-BINS)), F.lit(BINS)).cast("int").alias("bin")
-    bins = raw.where(~F.col("held") & curve).join(known, F.col("id") == F.col("label_id")).groupBy(place)
-    bins = bins.agg(F.sum(1 - F.col("label")).alias("ordinary"), F.sum("label").alias("toxic")).orderBy("bin").collect()
-    slope, offset = _logistic([tuple(b) for b in bins])
-    value = 1 / (1 + F.exp(-(F.col("raw") * slope + offset)))
-    out = raw.select(F.col("id").alias(id_col), value.alias("score"), F.col("raw").alias("evidence"))
+    places = [
+        F.least(F.greatest(F.round(F.col(name) / width), F.lit(-most)), F.lit(most)).cast("int").alias(f"{name}_bin")
+        for name, width, most in (("mean", MEAN_BIN, MEAN_BINS), ("peak", PEAK_BIN, PEAK_BINS))
+    ]
+    bins = raw.where(~F.col("held") & curve).join(known, F.col("id") == F.col("label_id")).groupBy(*places)
+    bins = bins.agg(F.sum(1 - F.col("label")).alias("ordinary"), F.sum("label").alias("toxic")).orderBy("mean_bin", "peak_bin").collect()
+    of_mean, of_peak, offset = _logistic([tuple(b) for b in bins])
+    value = 1 / (1 + F.exp(-(F.col("mean") * of_mean + F.col("peak") * of_peak + offset)))
+    out = raw.select(F.col("id").alias(id_col), value.alias("score"), F.col("mean").alias("evidence"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -81,6 +81,23 @@ def test_toxic_documents_are_told_when_held_out(spark):
     assert toxicity.score(docs.limit(0), known, F.lit(False)).count() == 0
 
 
+def test_all_words_tell_of_a_document_whatever_its_length(spark):
+    models = toxicity.Models([(g, *n) for g, n in {"\x02a": (9, 1), "a\x03": (1, 1), "\x02b": (1, 9), "b\x03": (1, 1)}.items()])
+    for word in "ab":
+        assert models.text(word) == pytest.approx(models.text(" ".join([word] * 50)))
+    assert models.text("b") > models.text("b" + " a" * 5) > models.text("b" + " a" * 50)
+    # Toxicity that lies in no single word: each is only somewhat more frequent in one class.
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    tilt = np.where(np.arange(60) < 30, 2.0, 1.0)
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(100, 600), p=(w := tilt[:: 1 if i % 2 else -1]) / w.sum()))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    told = [r.predicted == r.doc_id % 2 for r in toxicity.score(docs, labels, held).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(told) >= 0.95 * len(told)
+
+
 def test_backoff_is_a_distribution():
     counts = Counter()
     for word in ("aba", "abb", "b"):
