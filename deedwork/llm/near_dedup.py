@@ -2,7 +2,10 @@
 
 A document is the sequence of its five-word shingles, each labelled with its occurrence number. One sketch takes the ``PICKS`` shingles with the
 least hashes under one hash function and keeps them in text order, so that it agrees for documents that are close in edit distance and not for
-those that only share a vocabulary. Documents that agree in any of ``SKETCHES`` sketches are candidates: at similarity 0.8 all but a few in a million.
+those that only share a vocabulary. Documents that agree in any of ``SKETCHES`` sketches are candidates. Sampling from few shingles is less sure than
+from many, so texts of up to ``EXACT_SHINGLES`` shingles also meet by exact keys: of ``n`` shingles in one order for all texts, two that match in
+``m`` have three in common among their first ``n - m + 3``. Two texts of up to that size are always candidates if they match in 0.8 or more; of larger
+pairs at 0.8 the sketches miss 1.2 in 100,000 at 30 shingles in either and 3 in a million in the limit.
 
 Candidates are verified by an alignment of their shingles within the band that the threshold leaves: matched in order / all distinct >= 0.8.
 
@@ -17,8 +20,11 @@ leave the join; a group of documents that are alike, but not alike enough, makes
 
 from __future__ import annotations
 
+import functools
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -35,6 +41,8 @@ SIMILARITY = 0.8
 PICKS = 5
 MARK_BITS = 1024
 SKETCHES = 32
+EXACT_SHINGLES = 25
+EXACT_PICKS = 3
 STAR_ROUNDS = 3
 _LAST_ID = (1 << 63) - 1
 _MEMO_WORDS = 400_000
@@ -100,6 +108,28 @@ def sketches_of(shingles: np.ndarray, sketches: int = SKETCHES, picks: int = PIC
     return out
 
 
+@functools.lru_cache(maxsize=256)
+def _choices(size: int, picks: int) -> np.ndarray:
+    return np.array(list(combinations(range(size), picks)), dtype=np.int64)
+
+
+def exact_keys_of(shingles: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Keys of which two texts of up to ``EXACT_SHINGLES`` shingles share one, whenever they match in ``least``; none for a longer text."""
+    n = len(shingles)
+    if not 0 < n <= EXACT_SHINGLES:
+        return np.zeros(0, np.uint64)
+    need = math.ceil(least * n - 1e-9)
+    low, high = (min(EXACT_PICKS, x) for x in (math.ceil(least * need - 1e-9), need))
+    ranked, out = np.sort(shingles), []
+    for picks in range(low, high + 1):  # the sizes that the texts it may match take
+        chosen = ranked[_choices(n - need + picks, picks)]
+        told = np.full(len(chosen), picks, np.uint64)
+        for k in range(picks):
+            told = _mixed(told * _ODD + chosen[:, k])
+        out.append(told)
+    return np.concatenate(out)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Shingles matched in order over all distinct ones; 0 as soon as it is sure to stay below ``least``."""
     need = least * (len(a) + len(b)) / (1 + least)
@@ -122,18 +152,22 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return matched / (len(a) + len(b) - matched)
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for start in range(0, len(batch), 512):
-            part, rows = batch.iloc[start : start + 512], []
-            for text in part["text"]:
-                words = words_of(text)
-                same = xxhash.xxh3_128_intdigest(b" ".join(words))
-                hashes = np.fromiter(map(_hash_of.__getitem__, words), dtype=np.uint64, count=len(words))
-                bands = sketches_of(shingles_of(hashes)).view(np.int64)
-                rows.append(((same >> 64) - (1 << 63), (same & ((1 << 64) - 1)) - (1 << 63), len(words), bands))
-            out = pd.DataFrame(rows, columns=["high", "low", "n", "bands"])
-            yield pd.DataFrame({"doc": part["doc"].to_numpy(), "key": part["key"].to_numpy()}).join(out)
+def _sketch(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 512):
+                part, rows = batch.iloc[start : start + 512], []
+                for text in part["text"]:
+                    words = words_of(text)
+                    same = xxhash.xxh3_128_intdigest(b" ".join(words))
+                    hashes = np.fromiter(map(_hash_of.__getitem__, words), dtype=np.uint64, count=len(words))
+                    shingles = shingles_of(hashes)
+                    bands = np.concatenate([sketches_of(shingles), exact_keys_of(shingles, least)]).view(np.int64)
+                    rows.append(((same >> 64) - (1 << 63), (same & ((1 << 64) - 1)) - (1 << 63), len(words), bands))
+                out = pd.DataFrame(rows, columns=["high", "low", "n", "bands"])
+                yield pd.DataFrame({"doc": part["doc"].to_numpy(), "key": part["key"].to_numpy()}).join(out)
+
+    return run
 
 
 MARKS = tuple(f"m{k}" for k in range(MARK_BITS // 64))
@@ -237,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = fold(docs, {"id": id_col, "text": text_col})
     keyed = read.select("id", F.coalesce(F.col("id").cast("bigint"), F.lit(_LAST_ID)).alias("doc"), F.hash("text").alias("key"), "text")
     schema = "doc long, key int, high long, low long, n int, bands array<long>"
-    rows = materialized(keyed.select("doc", "key", "text").mapInPandas(_sketch, schema), "sketches")
+    rows = materialized(keyed.select("doc", "key", "text").mapInPandas(_sketch(least), schema), "sketches")
     same = ["high", "low", "n"]
     first = rows.where("n > 0").groupBy(*same).agg(F.min(F.struct("doc", "key")).alias("f"))
     nodes = first.select(*same, "f.doc", "f.key", F.monotonically_increasing_id().alias("node"))

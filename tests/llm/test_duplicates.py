@@ -74,6 +74,28 @@ def test_near_duplicates_are_all_found(docs_of):
     assert sorted(r.doc_id for r in stays.collect()) == sorted(set(want.values()))
 
 
+def test_short_near_duplicates_are_all_found(docs_of):
+    rng, pairs = random.Random(6), []
+    for k in range(300):  # 8 v 9, 9 v 10 and 10 v 11 words, up to 28 v 29
+        words = [f"w{k}x{j}" for j in range(rng.choice([9, 10, 11, rng.randint(12, 29)]))]
+        pairs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(rng.choice([words[1:], words[:-1]])))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs_of(pairs)).collect()}
+    assert got == classes(pairs) and all(got[2 * k + 1] == 2 * k for k in range(300))
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.9])
+def test_short_texts_that_match_share_a_key(least):
+    rng, linked = random.Random(7), 0
+    for _ in range(4000):
+        whole = [rng.randrange(1 << 62) for _ in range(rng.randint(1, 40))]
+        cut = rng.random() * 0.4
+        a, b = (near_dedup._mixed(np.array([x for x in whole if rng.random() > cut], dtype=np.uint64)) for _ in "ab")
+        if max(len(a), len(b)) <= near_dedup.EXACT_SHINGLES and near_dedup.aligned(a, b, least) >= least:
+            linked += 1
+            assert len(np.intersect1d(near_dedup.exact_keys_of(a, least), near_dedup.exact_keys_of(b, least)))
+    assert linked > 100
+
+
 def test_near_duplicates_odd_rows(docs_of):
     text = "one two three four five six seven eight"
     docs = docs_of([(3, text), (3, text), (None, text), (None, ""), (5, "other"), (5, text.upper())])
