@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from deedwork.session import materialized
 
-__all__ = ["ascii_lower", "fold", "materialized", "whole_row"]
+__all__ = ["ascii_lower", "fold", "materialized", "text_key", "whole_row"]
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -24,6 +24,11 @@ def fold(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that tell texts under one id apart; empty for null."""
+    return F.coalesce(F.unhex(F.md5(text)), F.unhex(F.lit("")))
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of ``df`` as one, ``row``, to carry them through a join under names that cannot clash."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")

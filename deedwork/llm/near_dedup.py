@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedwork.llm.common import fold, materialized, whole_row
+from deedwork.llm.common import fold, materialized, text_key, whole_row
 from deedwork.llm.components import components
 from deedwork.session import ship_package
 
@@ -261,7 +261,7 @@ def _classes(buckets: DataFrame, sequences: DataFrame, least: float) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row per input row: ``id_col``, ``class_id``, ``class_size`` and ``key``, a hash of the text.
+    """One row per input row: ``id_col``, ``class_id``, ``class_size`` and ``key``, a 128-bit hash of the text.
 
     ``class_id`` is the smallest id among all documents that links connect. Equal word sequences, repeated rows among them, are linked; a text of
     fewer than five words has no other links, one without words (null, empty) no links at all: it is its own class. A null id comes after
@@ -269,8 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ship_package(docs.sparkSession)
     read = fold(docs, {"id": id_col, "text": text_col})
-    keyed = read.select("id", F.coalesce(F.col("id").cast("bigint"), F.lit(_LAST_ID)).alias("doc"), F.hash("text").alias("key"), "text")
-    schema = "doc long, key int, high long, low long, n int, bands array<long>"
+    keyed = read.select("id", F.coalesce(F.col("id").cast("bigint"), F.lit(_LAST_ID)).alias("doc"), text_key(F.col("text")).alias("key"), "text")
+    schema = "doc long, key binary, high long, low long, n int, bands array<long>"
     rows = materialized(keyed.select("doc", "key", "text").mapInPandas(_sketch(least), schema), "sketches")
     same = ["high", "low", "n"]
     first = rows.where("n > 0").groupBy(*same).agg(F.min(F.struct("doc", "key")).alias("f"))
@@ -305,6 +305,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` with the smallest id of each class, one of those that repeat it, with all their columns."""
     told = near_duplicates(docs, id_col, text_col, least).where(F.col(id_col).eqNullSafe(F.col("class_id")))
     told = told.select(F.col(id_col).alias("id"), "key").distinct()
-    keyed = docs.select(whole_row(docs), F.col(f"`{id_col}`").alias("row_id"), F.hash(F.col(f"`{text_col}`")).alias("row_key"))
+    keyed = docs.select(whole_row(docs), F.col(f"`{id_col}`").alias("row_id"), text_key(F.col(f"`{text_col}`")).alias("row_key"))
     stays = keyed.join(told, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")))
     return stays.dropDuplicates(["row_id", "row_key"]).select("row.*")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deedwork.llm.common import fold, materialized
+from deedwork.llm.common import fold, materialized, text_key
 from deedwork.session import ship_package
 
 WINDOW_WORDS = 50
@@ -153,7 +153,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRA
     """Spans of words [a, b) of ``docs`` (``doc``, ``key``, ``text``) whose windows also start in a smaller ``doc``; they may overlap."""
     least = docs.select("doc", "text").mapInPandas(_cut(window, gram, False), "least long, doc long")
     shared = least.groupBy("least").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("least")
-    cut = "least long, doc long, key int, content long, size int, at int"
+    cut = "least long, doc long, key binary, content long, size int, at int"
     blocks = docs.mapInPandas(_cut(window, gram, True), cut).join(shared, "least", "left_semi")
     blocks = materialized(blocks, "shared-blocks")
 
@@ -169,7 +169,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRA
     ends = blocks.join(first.join(several, "least", "left_semi").select(*same, F.col("first").alias("doc")), [*same, "doc"])
     ends = ends.groupBy(F.col("doc").alias("d"), F.col("key").alias("k")).agg(F.collect_set(F.struct("at", "size")).alias("blocks"))
     texts = docs.join(ends, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k"))).select("doc", "key", "text", "blocks")
-    windows = materialized(texts.mapInPandas(_windows(window), "doc long, key int, at int, a long, b long"), "boundary-windows")
+    windows = materialized(texts.mapInPandas(_windows(window), "doc long, key binary, at int, a long, b long"), "boundary-windows")
     lowest = windows.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("a", "b", "low")
     checked = windows.join(lowest, ["a", "b"]).where("low < doc")
     checked = checked.select("doc", "key", F.col("at").alias("a"), F.expr(f"at + {window}").alias("b"))
@@ -186,7 +186,7 @@ def substring_dedup(
     """
     ship_package(docs.sparkSession)
     read = fold(docs, {"id": id_col, "text": text_col})
-    doc, key = F.coalesce(F.col("id").cast("bigint"), F.lit(_LAST_ID)), F.hash("text")
+    doc, key = F.coalesce(F.col("id").cast("bigint"), F.lit(_LAST_ID)), text_key(F.col("text"))
     keyed = read.select("id", doc.alias("doc"), key.alias("key"), "text")
     spans = duplicate_spans(keyed.select("doc", "key", "text"), window, gram)
     spans = spans.groupBy(F.col("doc").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))

@@ -96,6 +96,17 @@ def test_short_texts_that_match_share_a_key(least):
     assert linked > 100
 
 
+def test_texts_whose_short_hashes_meet_stay_apart(spark, docs_of):
+    # Two texts under one id with the same 32-bit hash, looked for among many.
+    made_up = spark.range(400_000).select(F.concat(F.lit("one two three four five "), "id").alias("text")).withColumn("h", F.hash("text"))
+    one, two = made_up.groupBy("h").agg(F.collect_list("text").alias("t")).where("size(t) > 1").orderBy("h").first().t[:2]
+    pairs = [(None, one), (None, two)]
+    kept = near_dedup.keep_first(docs_of(pairs), least=0.9).collect()
+    assert sorted(r.text for r in kept) == sorted(t for _, t in pairs)
+    spans = substring_dedup.substring_dedup(docs_of([(1, one), *pairs]), window=6, gram=3).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in spans) == [("1", 0), ("None", 0), ("None", 6)]
+
+
 def test_near_duplicates_odd_rows(docs_of):
     text = "one two three four five six seven eight"
     docs = docs_of([(3, text), (3, text), (None, text), (None, ""), (5, "other"), (5, text.upper())])
