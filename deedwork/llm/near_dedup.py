@@ -260,13 +260,8 @@ def _classes(buckets: DataFrame, sequences: DataFrame, least: float) -> DataFram
     return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row per input row: ``id_col``, ``class_id``, ``class_size`` and ``key``, a 128-bit hash of the text.
-
-    ``class_id`` is the smallest id among all documents that links connect. Equal word sequences, repeated rows among them, are linked; a text of
-    fewer than five words has no other links, one without words (null, empty) no links at all: it is its own class. A null id comes after
-    all others and names no class but its own. An empty table gives an empty result.
-    """
+def _members(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """One row per input row: ``doc``, ``key`` and ``label``, the same for all rows of a class and null for texts without words."""
     ship_package(docs.sparkSession)
     read = fold(docs, {"id": id_col, "text": text_col})
     keyed = read.select("id", F.coalesce(F.col("id").cast("bigint"), F.lit(_LAST_ID)).alias("doc"), text_key(F.col("text")).alias("key"), "text")
@@ -289,7 +284,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = nodes.join(labels, "node", "left").select(*same, "doc", F.coalesce("label", "node").alias("label"))
     members = rows.join(named.drop("doc"), same, "left")
-    members = materialized(members.select("doc", "key", "label"), "members")
+    return materialized(members.select("doc", "key", "label"), "members")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row per input row: ``id_col``, ``class_id``, ``class_size`` and ``key``, a 128-bit hash of the text.
+
+    ``class_id`` is the smallest id among all documents that links connect. Equal word sequences, repeated rows among them, are linked; a text of
+    fewer than five words has no other links, one without words (null, empty) no links at all: it is its own class. A null id comes after
+    all others and names no class but its own. An empty table gives an empty result.
+    """
+    members = _members(docs, id_col, text_col, least)
     classes = members.where("label is not null").groupBy("label").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     out = members.join(classes, "label", "left")
     own = F.col("label").isNull()
@@ -302,9 +307,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each class, one of those that repeat it, with all their columns."""
-    told = near_duplicates(docs, id_col, text_col, least).where(F.col(id_col).eqNullSafe(F.col("class_id")))
-    told = told.select(F.col(id_col).alias("id"), "key").distinct()
-    keyed = docs.select(whole_row(docs), F.col(f"`{id_col}`").alias("row_id"), text_key(F.col(f"`{text_col}`")).alias("row_key"))
-    stays = keyed.join(told, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")))
+    """One row of ``docs`` for each class, one with its smallest id, with all columns. Texts without words stay, one for each id."""
+    members = _members(docs, id_col, text_col, least)
+    first = members.where("label is not null").groupBy("label").agg(F.min(F.struct("doc", "key")).alias("f")).select("f.doc", "f.key")
+    told = first.unionByName(members.where("label is null").select("doc", "key").distinct())
+    row_id = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_LAST_ID))
+    keyed = docs.select(whole_row(docs), row_id.alias("row_id"), text_key(F.col(f"`{text_col}`")).alias("row_key"))
+    stays = keyed.join(told, (F.col("row_id") == F.col("doc")) & (F.col("row_key") == F.col("key")))
     return stays.dropDuplicates(["row_id", "row_key"]).select("row.*")

@@ -107,6 +107,15 @@ def test_texts_whose_short_hashes_meet_stay_apart(spark, docs_of):
     assert sorted((str(r.doc_id), r.n_removed) for r in spans) == [("1", 0), ("None", 0), ("None", 6)]
 
 
+def test_one_row_of_a_class_stays_whatever_its_ids(docs_of):
+    words = [f"w{k}" for k in range(40)]
+    pairs = [(None, " ".join(words)), (None, " ".join(words[1:])), (None, " ".join(words).upper()), (None, "other")]
+    again = [f"v{k}" for k in range(40)]
+    pairs += [(7, " ".join(again)), (7, " ".join(again[:-1])), (8, " ".join(again)), (None, None), (3, "")]
+    kept = near_dedup.keep_first(docs_of(pairs)).collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:1].lower()) for r in kept) == [("3", ""), ("7", "v"), ("None", ""), ("None", "o"), ("None", "w")]
+
+
 def test_near_duplicates_odd_rows(docs_of):
     text = "one two three four five six seven eight"
     docs = docs_of([(3, text), (3, text), (None, text), (None, ""), (5, "other"), (5, text.upper())])
