@@ -9,15 +9,15 @@ evidence of a character, and the peak, the logarithm of the mean likelihood rati
 log N; it is read on the scale of ``asinh``. A logistic curve of both makes a score; it is fitted to a histogram of the training documents whose id
 hashes into one of ``SLICES`` slices, which are not counted, so that it sees the evidence of new documents.
 
-Counts cover all other labelled training rows. They are summed by task before they are shuffled; what is broadcast is bounded by ``MOST_GRAMS``, the most
-frequent sequences, and the shared backoff stands in for the others.
+Counts cover all other labelled training rows and none is left out. They, the backoff and the evidence of a sequence are tables. Texts are written as
+blocks of word counts; each block asks for its distinct sequences once and meets their evidence by a shuffle.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import uuid
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -32,12 +32,13 @@ from deedwork.session import ship_package
 ORDER = 4
 DISCOUNT = 0.75
 SLICES = 6
-MOST_GRAMS = 1_000_000
 MEAN_BIN, MEAN_BINS = 0.0025, 800
 PEAK_BIN, PEAK_BINS = 0.05, 400
 MEAN_SCALE = 20.0
 PEAK_SCALE = 5.0
+BLOCK_CHARACTERS = 4_000_000
 _MEMO_WORDS = 500_000
+_MEMO_GRAMS = 1_000_000
 _START, _END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -52,8 +53,15 @@ def _spelled(word: str) -> Iterator[str]:
     return (marked[max(0, end - ORDER) : end] for end in range(2, len(marked) + 1))
 
 
+def _weighed(told: np.ndarray, times: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
+    """Mean and peak of words with this evidence, so many times each."""
+    top = told.max()
+    ratio = top + np.log((times * np.exp(told - top)).sum() / times.sum())
+    return float((times * told).sum() / (times * (lengths + 1)).sum()), float(np.arcsinh(PEAK_SCALE * ratio))
+
+
 class Models:
-    """Both classes and their shared backoff; ``counts``: (gram, ordinary count, toxic count)."""
+    """Both classes and their shared backoff, in memory; ``counts``: (gram, ordinary count, toxic count). The tables below say the same at any size."""
 
     def __init__(self, counts: list[tuple[str, int, int]]):
         self.own = [{g: n[c] for g, *n in counts if n[c]} for c in (0, 1)]
@@ -90,7 +98,7 @@ class Models:
         known = self.backoff.get(gram)
         if known is None:
             known = self._mixed(gram, self.shared.get(gram, 0), self.shared_left.get(gram[:-1]), self._shared(gram[1:]))
-            if len(self.backoff) > MOST_GRAMS:
+            if len(self.backoff) > _MEMO_GRAMS:
                 self.backoff.clear()
             self.backoff[gram] = known
         return known
@@ -100,7 +108,7 @@ class Models:
         if known is None:
             shorter = self._shared(gram[1:])
             ordinary, toxic = (self._mixed(gram, self.own[c].get(gram, 0), self.left[c].get(gram[:-1]), shorter) for c in (0, 1))
-            if len(self.grams) > MOST_GRAMS:
+            if len(self.grams) > _MEMO_GRAMS:
                 self.grams.clear()
             known = self.grams[gram] = math.log(toxic / ordinary)
         return known
@@ -121,8 +129,7 @@ class Models:
         if not words:
             return 0.0, 0.0
         told = np.fromiter(map(self.word, words), dtype=np.float64, count=len(words))
-        top = told.max()
-        return float(told.sum() / (sum(map(len, words)) + len(words))), float(np.arcsinh(PEAK_SCALE * (top + np.log(np.exp(told - top).mean()))))
+        return _weighed(told, np.ones(len(words)), np.fromiter(map(len, words), dtype=np.float64, count=len(words)))
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,20 +152,95 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield grams()
 
 
-_MODELS: dict[str, Models] = {}
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in blocks: ids, the distinct words, and for each row its number of words, their places among these and how often each occurs."""
 
+    def block(part: pd.DataFrame) -> pd.DataFrame:
+        place: dict[str, int] = {}
+        ends, steps, times = [], [], []
+        for text in part["text"]:
+            at = np.array([place.setdefault(word, len(place)) for word in _words(text)], dtype=np.int64)
+            known, n = np.unique(at, return_counts=True)
+            ends.append(len(known))
+            steps.append(np.diff(known, prepend=0))
+            times.append(n)
+        packed = [zlib.compress(np.concatenate(x).astype("<u4").tobytes(), 1) for x in (steps, times)]
+        words = zlib.compress("\n".join(place).encode("utf-8", "surrogatepass"), 1)
+        row = {"ids": part["id"].tolist(), "held": part["held"].tolist(), "sizes": ends, "words": words, "steps": packed[0], "times": packed[1]}
+        return pd.DataFrame([row])
+
+    for batch in batches:
+        turns = batch["text"].str.len().fillna(0).cumsum().floordiv(BLOCK_CHARACTERS)
+        for _, part in batch.groupby(turns.to_numpy()):
+            yield block(part)
 
-def _scorer(shared, name: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _MODELS:
-            _MODELS.clear()
-            _MODELS[name] = Models(shared.value)
-        model = _MODELS[name]
-        for batch in batches:
-            told = [model.text(text) for text in batch.pop("text")]
-            yield batch.assign(mean=[mean for mean, _ in told], peak=[peak for _, peak in told])
 
-    return run
+def _unpacked(words: bytes) -> list[str]:
+    text = zlib.decompress(words).decode("utf-8", "surrogatepass")
+    return text.split("\n") if text else []
+
+
+def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for block, words in zip(batch["block"], batch["words"], strict=True):
+            yield pd.DataFrame({"block": block, "gram": sorted({g for word in _unpacked(words) for g in _spelled(word)})}).astype({"gram": str})
+
+
+def _judge(blocks: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
+    known = dict(zip(grams["gram"], grams["told"], strict=True))
+    rows = []
+    for r in blocks.itertuples():
+        words = _unpacked(r.words)
+        told = np.array([sum(known[g] for g in _spelled(word)) for word in words])
+        lengths = np.array([len(word) for word in words], dtype=np.float64)
+        steps, times = (np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in (r.steps, r.times))
+        end = 0
+        for row_id, held, size in zip(r.ids, r.held, r.sizes, strict=True):
+            start, end = end, end + size
+            at = np.cumsum(steps[start:end])
+            rows.append((row_id, held, *(_weighed(told[at], times[start:end], lengths[at]) if size else (0.0, 0.0))))
+    return pd.DataFrame(rows, columns=["id", "held", "mean", "peak"])
+
+
+_CONTEXT, _SHORTER = "substring(gram, 1, length(gram) - 1)", "substring(gram, 2)"
+
+
+def _mixed(n: str, total: str, kinds: str, shorter: str) -> str:
+    return f"if(coalesce({kinds}, 0) = 0, {shorter}, (greatest(coalesce({n}, 0) - {DISCOUNT}D, 0D) + {DISCOUNT}D * {kinds} * {shorter}) / {total})"
+
+
+def evidence_of(counts: DataFrame, grams: DataFrame) -> DataFrame:
+    """``gram`` and ``told``, log P(toxic) - log P(ordinary) of its last character, of the distinct ``grams``; ``counts``: gram, ordinary, toxic."""
+    level, parts = counts.select("gram"), []
+    for _ in range(ORDER - 1):
+        parts.append(level.where("length(gram) > 1").selectExpr(f"{_SHORTER} as gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+        level = parts[-1].select("gram")
+    shared = parts[0]
+    for part in parts[1:]:
+        shared = shared.unionByName(part)
+    shared = materialized(shared.groupBy("gram").agg(F.sum("n").alias("n")), "toxic-backoff")
+    characters = 1 + shared.where("length(gram) = 1").count()
+    left = shared.groupBy(F.expr(_CONTEXT).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+
+    ends = [grams.selectExpr(f"substring(gram, {k}) as gram").where("gram <> ''") for k in range(2, ORDER + 1)]
+    every = ends[0]
+    for more in ends[1:]:
+        every = every.unionByName(more)
+    every = every.distinct().join(shared, "gram", "left").withColumn("context", F.expr(_CONTEXT)).join(left, "context", "left")
+    every = materialized(every.select("gram", "n", "total", "kinds"), "toxic-suffixes")
+    backoff = last = every.where("length(gram) = 1").selectExpr("gram", f"{_mixed('n', 'total', 'kinds', f'{1 / characters!r}D')} as p")
+    for size in range(2, ORDER):
+        longer = every.where(f"length(gram) = {size}").withColumn("end", F.expr(_SHORTER))
+        last = longer.join(last.selectExpr("gram as end", "p as shorter"), "end").selectExpr("gram", f"{_mixed('n', 'total', 'kinds', 'shorter')} as p")
+        backoff = backoff.unionByName(last)
+    backoff = materialized(backoff, "toxic-shorter")
+
+    sums = [f(c).alias(f"{c}_{what}") for c in ("ordinary", "toxic") for what, f in (("total", F.sum), ("kinds", lambda c: F.count_if(F.col(c) > 0)))]
+    own = counts.groupBy(F.expr(_CONTEXT).alias("context")).agg(*sums)
+    both = grams.selectExpr("gram", f"{_CONTEXT} as context", f"{_SHORTER} as end").join(backoff.selectExpr("gram as end", "p as shorter"), "end")
+    both = both.join(counts, "gram", "left").join(own, "context", "left")
+    toxic, ordinary = (_mixed(c, f"{c}_total", f"{c}_kinds", "shorter") for c in ("toxic", "ordinary"))
+    return both.selectExpr("gram", f"ln(({toxic}) / ({ordinary})) as told")
 
 
 def _logistic(bins: list[tuple[int, int, int, int]]) -> tuple[float, float, float]:
@@ -202,13 +284,18 @@ def score(
     taught = free.where(~curve).join(known.hint("merge"), F.col("id") == F.col("label_id")).select("label", "text")
     counts = taught.mapInPandas(_count, "gram string, ordinary long, toxic long").groupBy("gram")
     counts = counts.agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    most = counts.orderBy((F.col("ordinary") + F.col("toxic")).desc(), "gram").limit(MOST_GRAMS)
-    shared = spark.sparkContext.broadcast([tuple(r) for r in most.collect()])
+    counts = materialized(counts, "toxic-counts")
 
     read = fold(docs.withColumn("__held", F.coalesce(held_out, F.lit(False))), {"id": id_col, "held": "__held", "text": text_col})
-    id_type = read.schema["id"].dataType.simpleString()
-    raw = read.mapInPandas(_scorer(shared, uuid.uuid4().hex), f"id {id_type}, held boolean, mean double, peak double")
-    raw = materialized(raw, "toxic-evidence")
+    id_type = read.schema["id"].dataType
+    texts = read.select(F.col("id").cast("string").alias("id"), "held", "text")
+    packed = "ids array<string>, held array<boolean>, sizes array<int>, words binary, steps binary, times binary"
+    blocks = texts.mapInPandas(_blocks, packed).withColumn("block", F.monotonically_increasing_id())
+    blocks = materialized(blocks, "toxic-blocks")
+    asked = materialized(blocks.select("block", "words").mapInPandas(_asked, "block long, gram string"), "toxic-asked")
+    told = asked.join(evidence_of(counts, asked.select("gram").distinct()), "gram")
+    judged = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_judge, "id string, held boolean, mean double, peak double")
+    raw = materialized(judged.withColumn("id", F.col("id").cast(id_type)), "toxic-evidence")
     places = [
         F.least(F.greatest(F.round(F.col(name) / width), F.lit(-most)), F.lit(most)).cast("int").alias(f"{name}_bin")
         for name, width, most in (("mean", MEAN_BIN, MEAN_BINS), ("peak", PEAK_BIN, PEAK_BINS))

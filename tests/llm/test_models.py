@@ -98,6 +98,24 @@ def test_all_words_tell_of_a_document_whatever_its_length(spark):
     assert sum(told) >= 0.95 * len(told)
 
 
+def test_every_sequence_counts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 50, raising=False)  # a bound that once cut the counts
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdeé日"), rng.integers(1, 8))) for _ in range(rng.integers(0, 30)))) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (None, "abc xyz"), ((1 << 62) + 1, "cab")], "doc_id long, text string").repartition(3)
+    labels = {i: int(i % 3 == 0) for i, _ in rows}
+    slices = spark.range(200).where(F.pmod(F.xxhash64(F.lit("curve"), F.col("id").cast("string")), F.lit(toxicity.SLICES)) == 0)
+    curve = {r.id for r in slices.collect()}
+    counts = defaultdict(lambda: [0, 0])
+    for i, text in rows:
+        for gram in (g for word in toxicity._words(text) if i not in curve for g in toxicity._spelled(word)):
+            counts[gram][labels[i]] += 1
+    models = toxicity.Models([(g, *n) for g, n in counts.items()])
+    got = toxicity.score(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), F.lit(False)).collect()
+    want = {i: models.text(text)[0] for i, text in [*rows, (None, "abc xyz"), ((1 << 62) + 1, "cab")]}
+    assert len(got) == len(want) and {r.doc_id: r.evidence for r in got} == pytest.approx(want)
+
+
 def test_backoff_is_a_distribution():
     counts = Counter()
     for word in ("aba", "abb", "b"):
