@@ -6,7 +6,7 @@ reach beyond the white space before the current word. Statistics are frozen afte
 each task works a word out once. The language with the shortest code wins.
 
 Trees are fitted on a bounded sample: ``SAMPLE_DOCS`` labelled documents a language, those with the smallest hashes among the ones of at most
-``SAMPLE_BYTES`` bytes.
+``SAMPLE_BYTES`` bytes and, where a language has too few of these, among its longer ones.
 """
 
 from __future__ import annotations
@@ -130,11 +130,12 @@ def _scorer(shared, name: str):
 def train(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list:
     """Counts of the context trees from a bounded sample of the rows that are labelled and not held out."""
     rows = docs.where(F.col(f"`{lang_col}`").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
-    rows = fold(rows, {"id": id_col, "text": text_col, "lang": lang_col}).where(F.octet_length("text") <= SAMPLE_BYTES)
-    order = [F.xxhash64(F.col("id").cast("string")), F.col("id")]
-    picked = rows.select("id", "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-    picked = picked.where(F.col("k") <= SAMPLE_DOCS).select(F.col("id").alias("picked_id"), F.col("lang").alias("picked_lang"))
-    same = F.col("id").eqNullSafe(F.col("picked_id")) & (F.col("lang") == F.col("picked_lang"))
+    rows = fold(rows, {"id": id_col, "text": text_col, "lang": lang_col}).where(F.col("text").isNotNull())
+    rows = rows.withColumn("long", F.octet_length("text") > SAMPLE_BYTES)
+    order = [F.col("long"), F.xxhash64(F.col("id").cast("string")), F.col("id")]
+    picked = rows.select("id", "lang", "long").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    picked = picked.where(F.col("k") <= SAMPLE_DOCS).select(F.col("id").alias("picked_id"), F.col("lang").alias("picked_lang"), F.col("long").alias("picked_long"))
+    same = F.col("id").eqNullSafe(F.col("picked_id")) & (F.col("lang") == F.col("picked_lang")) & (F.col("long") == F.col("picked_long"))
     sample = rows.join(picked.distinct(), same, "left_semi").select("lang", "text")
     counts = sample.mapInPandas(_count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return [(r["lang"], bytes(r["gram"]), r["n"]) for r in counts.collect()]

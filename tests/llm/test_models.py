@@ -55,6 +55,13 @@ def test_language_odd_cases(spark, docs_of):
     assert {r.lang_pred for r in language_id.identify(docs, F.lit(True)).collect()} == {"und"}
 
 
+def test_a_language_of_long_documents_only_is_learned(spark):
+    rows = [(i, "the plain words of a tale " * 3, "en") for i in range(5)] + [(i, "das schöne wörterbuch " * 3000, "de") for i in range(5, 10)]
+    docs = spark.createDataFrame([*rows, (20, "schöne wörterbuch", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, F.lit(False)).collect()}
+    assert got == {i: lang or "de" for i, _, lang in rows} | {20: "de"}
+
+
 def test_toxic_documents_are_told_when_held_out(spark):
     insults = "idiot moron trash".split()
     plain = "the quick brown fox jumps over a lazy dog near some river bank".split()
