@@ -173,7 +173,7 @@ LUHN_SQL = """CASE WHEN length(regexp_replace(v, '[^0-9]', '', 'g')) >= 12 AND l
     + """]) AS label FROM v) SELECT place, label, count(*) AS n FROM l WHERE label IS NOT NULL GROUP BY ALL""",
 )
 def pii_value_scan(t: Tables) -> DataFrame:
-    """Labels of whole cells, and of every word of the texts. Whole tables, no sample."""
+    """Labels of all cells of documents.source, documents.text and pages.url, and of every word of documents.text; other columns are not read."""
     words = F.filter(F.split("text", r"\s+"), pii.could_be_labelled)
     documents = t.documents.select(
         F.explode(
