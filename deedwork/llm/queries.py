@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from deedwork.llm import (
     decontamination,
     exact_dedup,
+    filter_audit,
     language_id,
     line_dedup,
     near_dedup,
@@ -163,3 +164,42 @@ def _op5(t):
 @query("op4_near_dedup")
 def _op4(t):
     return near_dedup.near_duplicates(t.documents).drop("key")
+
+
+@query(
+    "op12_filter_audit",
+    r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+    f AS (SELECT doc_id, part,
+                 CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+                 + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                 + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+                 + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                 + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS m FROM d),
+    c AS (SELECT part, m, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE bad) AS b
+          FROM f LEFT JOIN l USING (doc_id) GROUP BY part, m),
+    x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(k, bit)),
+    o AS (SELECT x1.k || x2.k || x3.k || x4.k || x5.k AS filter_order, [x1.bit, x2.bit, x3.bit, x4.bit, x5.bit] AS bits
+          FROM x x1, x x2, x x3, x x4, x x5
+          WHERE x1.bit + x2.bit + x3.bit + x4.bit + x5.bit = 31 AND len(list_distinct([x1.k, x2.k, x3.k, x4.k, x5.k])) = 5),
+    s AS (SELECT filter_order, i AS step, bits[i] AS bit, CAST(coalesce(list_sum(bits[1 : i - 1]), 0) AS INTEGER) AS before
+          FROM o, range(1, 6) AS t(i)),
+    r AS (SELECT part, filter_order, step, bit,
+                 sum(CASE WHEN m & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+                 sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN n ELSE 0 END) AS removed,
+                 sum(CASE WHEN m & before <> 0 AND m & bit <> 0 THEN n ELSE 0 END) AS redundant,
+                 sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails,
+                 sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN g ELSE 0 END) AS good_lost,
+                 sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN b ELSE 0 END) AS toxic_lost
+          FROM c, s GROUP BY part, filter_order, step, bit)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+           CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+           CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+    FROM r
+    """,
+)
+def _op12(t):
+    return filter_audit.audit(t.documents, t.labels)
