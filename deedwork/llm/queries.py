@@ -15,6 +15,7 @@ from deedwork.llm import (
     packing,
     sharding,
     substring_dedup,
+    token_files,
     toxicity,
     warc,
 )
@@ -203,3 +204,9 @@ def _op4(t):
 )
 def _op12(t):
     return filter_audit.audit(t.documents, t.labels)
+
+
+@query("op11_token_files")
+def _op11(t):
+    index = token_files.write_tokens(t.documents, str(public_tokenizers.path("word_bpe_49k.json")))
+    return token_files.read_documents(index)
