@@ -13,6 +13,7 @@ from deedwork.llm import (
     line_dedup,
     near_dedup,
     packing,
+    periodic_runs,
     sharding,
     substring_dedup,
     token_files,
@@ -210,3 +211,19 @@ def _op12(t):
 def _op11(t):
     index = token_files.write_tokens(t.documents, str(public_tokenizers.path("word_bpe_49k.json")))
     return token_files.read_documents(index)
+
+
+@query("op13_periodic_runs")
+def _op13(t):
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_runs(t.documents))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "start",
+        "length",
+        "period",
+        F.floor(1000 * F.col("length") / F.col("period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
