@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deedwork.session import materialized, ship_package
 
-__all__ = ["ascii_lower", "fold", "join_groups", "materialized", "place", "python_ready", "text_key", "whole_row"]
+__all__ = ["ascii_lower", "fold", "join_groups", "materialized", "place", "python_ready", "split_words", "text_key", "whole_row"]
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_BYTES = 16 << 20
@@ -28,6 +31,13 @@ def place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and "://" not in path else path)
 
 
+def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words between ASCII white space of all texts in a row, and how many each text has; none for null."""
+    trimmed = pc.ascii_trim_whitespace(text)
+    listed = pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), None, trimmed))
+    return listed.flatten(), pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z lower-cased and every other character as it was."""
     plain = F.length(text) == F.octet_length(text)

@@ -1,8 +1,8 @@
 """Filter interaction audit on a sparse document-term matrix.
 
-Texts are read once, as blocks: the words of a block are numbered within it, and each document is a run of (word, count) pairs. The distinct words of all
-blocks make one dictionary, in word order and numbered without a gap; each block meets the numbers of its words by a shuffle and becomes a shard of the
-matrix in compressed sparse rows. The sum of a row is the number of words of a document, its stored entries are the distinct ones; both decide the
+Texts are read once, as blocks: the words of a block are numbered within it, and each document is a run of (word, count) pairs. The words of all blocks
+meet in one shuffle, where equal words get one number, without a gap over all partitions: the dictionary. The numbers go back to the blocks, and each block
+becomes a shard of the matrix in compressed sparse rows. The sum of a row is the number of words of a document, its stored entries are the distinct ones; both decide the
 filters on words. The flags of the other filters lie beside the rows.
 
 A document is then no more than the set of filters that it fails. Documents are counted by part and set, at most 2^filters numbers a part, and every
@@ -23,22 +23,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deedwork.llm.common import fold, join_groups, materialized, python_ready
+from deedwork.llm.common import fold, join_groups, materialized, python_ready, split_words
 
 LEAST_WORDS = 200
 LEAST_DISTINCT_PERCENT = 50
 MOST_CAPITALS_PERCENT = 2
 MARKS = b"#$%&*|"
+BLOCK_BYTES = 10 << 20
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _META = "ids array<{id}>, parts array<string>, points array<long>, capitals array<long>, marked array<boolean>, digests array<binary>"
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def _packed(values: np.ndarray) -> bytes:
     return zlib.compress(values.astype("<u4").tobytes(), 1)
 
@@ -71,18 +66,22 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         text = batch.column("text")
-        numbers, sizes, steps, times, capitals, marked, digests = _Numbers(), [], [], [], [], [], []
+        words, sizes = split_words(text)
+        coded = words.dictionary_encode()
+        keys = np.repeat(np.arange(len(sizes)), sizes) << 32 | coded.indices.to_numpy()
+        keys.sort()
+        first = np.flatnonzero(np.append(np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]))
+        doc, at = keys[first] >> 32, keys[first] & 0xFFFFFFFF
+        steps = np.diff(at, prepend=0)
+        begins = np.flatnonzero(np.diff(doc, prepend=-1))
+        steps[begins] = at[begins]
+        capitals, marked, digests = [], [], []
         for raw in text.cast(pa.binary()):
             raw = raw.as_py() or b""
-            words = raw.split()
-            at, n = np.unique(np.fromiter(map(numbers.__getitem__, words), np.int32, count=len(words)), return_counts=True)
-            sizes.append(len(at))
-            steps.append(np.diff(at, prepend=0))
-            times.append(n)
             capitals.append(len(raw) - len(raw.translate(None, _CAPITALS)))
             marked.append(len(raw) != len(raw.translate(None, MARKS)))
             digests.append(hashlib.sha256(raw).digest())
-        more = [("sizes", pa.list_(pa.int32())), ("terms", pa.binary()), ("times", pa.binary()), ("words", pa.binary())]
+        more = [("sizes", pa.list_(pa.int32())), ("terms", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.binary()))]
         yield _row(
             _block_schema(batch.column("id").type, *more),
             ids=batch.column("id"),
@@ -91,10 +90,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             capitals=pa.array(capitals, pa.int64()),
             marked=pa.array(marked),
             digests=pa.array(digests, pa.binary()),
-            sizes=pa.array(sizes, pa.int32()),
-            terms=_packed(np.concatenate(steps)),
-            times=_packed(np.concatenate(times)),
-            words=zlib.compress(b"\n".join(numbers), 1),
+            sizes=pa.array(np.bincount(doc, minlength=len(sizes)), pa.int32()),
+            terms=_packed(steps),
+            times=_packed(np.diff(np.append(first, len(keys)))),
+            words=coded.dictionary,
         )
 
 
@@ -102,16 +101,30 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of each block: their numbers in it and how often they occur."""
     for batch in batches:
         for k in range(batch.num_rows):
-            block, sizes, terms, times, words = (batch.column(c)[k].as_py() for c in ("block", "sizes", "terms", "times", "words"))
-            raw = zlib.decompress(words)
-            if not raw:
+            block, sizes, terms, times = (batch.column(c)[k].as_py() for c in ("block", "sizes", "terms", "times"))
+            words = batch.column("words")[k].values
+            if not len(words):
                 continue
-            words = raw.split(b"\n")
             at = _cumulated(_unpacked(terms), np.array(sizes, np.int64))
             docs = np.bincount(at, minlength=len(words))
             total = np.bincount(at, weights=_unpacked(times), minlength=len(words)).astype(np.int64)
-            columns = [pa.array(np.full(len(words), block)), pa.array(np.arange(len(words))), pa.array(words, pa.binary()), pa.array(docs), pa.array(total)]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "local", "word", "n_docs", "n_words"])
+            columns = [np.full(len(words), block), np.arange(len(words), dtype=np.int32), docs.astype(np.int32), total]
+            yield pa.RecordBatch.from_arrays([words, *map(pa.array, columns)], ["word", "block", "local", "n_docs", "n_words"])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by word, with ``at``: how many other words come before theirs."""
+    last, done = None, -1
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = batch.column("word")
+        new = np.ones(batch.num_rows, np.int64)
+        new[1:] = pc.not_equal(words.slice(1), words.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+        new[0] = words[0].as_py() != last
+        at = done + np.cumsum(new)
+        last, done = words[-1].as_py(), int(at[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], [*batch.schema.names, "at"])
 
 
 def _cumulated(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -124,23 +137,26 @@ def _cumulated(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return sums - np.repeat(before, sizes)
 
 
-def _shards(block: pa.Table, numbers: pa.Table) -> pa.Table:
+def _shards(index_type: str):
     """The sparse rows of one block; ``indices`` rise within a row."""
-    rows = []
-    own = {name: block.column(name).combine_chunks() for name in block.column_names}
-    to = np.empty(numbers.num_rows, np.int64)
-    to[numbers.column("local").to_numpy()] = numbers.column("term").to_numpy()
-    for k in range(block.num_rows):
-        sizes = own["sizes"][k].values.to_numpy().astype(np.int64)
-        at, times = to[_cumulated(_unpacked(own["terms"][k].as_py()), sizes)], _unpacked(own["times"][k].as_py())
-        order = np.lexsort((at, np.repeat(np.arange(len(sizes)), sizes)))
-        meta = {c: own[c][k].values for c in ("ids", "parts", "points", "capitals", "marked", "digests")}
-        indptr = np.concatenate([[0], np.cumsum(sizes)])
-        parts = {"shard": own["block"][k].as_py(), "indptr": indptr.astype("<i8").tobytes()}
-        parts |= {"indices": at[order].astype("<i8").tobytes(), "data": times[order].astype("<u4").tobytes()}
-        more = [("shard", pa.int64()), *((c, pa.binary()) for c in ("indptr", "indices", "data"))]
-        rows.append(_row(_block_schema(meta["ids"].type, *more), **meta, **parts))
-    return pa.Table.from_batches(rows)
+
+    def run(block: pa.Table, numbers: pa.Table) -> pa.Table:
+        rows = []
+        own = {name: block.column(name).combine_chunks() for name in block.column_names}
+        to = np.empty(numbers.num_rows, np.int64)
+        to[numbers.column("local").to_numpy()] = numbers.column("term").to_numpy()
+        for k in range(block.num_rows):
+            sizes = own["sizes"][k].values.to_numpy().astype(np.int64)
+            at, times = to[_cumulated(_unpacked(own["terms"][k].as_py()), sizes)], _unpacked(own["times"][k].as_py())
+            order = np.argsort(np.repeat(np.arange(len(sizes)), sizes) << 40 | at)
+            meta = {c: own[c][k].values for c in ("ids", "parts", "points", "capitals", "marked", "digests")}
+            parts = {"shard": own["block"][k].as_py(), "indptr": np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes()}
+            parts |= {"indices": at[order].astype(index_type).tobytes(), "data": times[order].astype("<u4").tobytes()}
+            more = [("shard", pa.int64()), *((c, pa.binary()) for c in ("indptr", "indices", "data"))]
+            rows.append(_row(_block_schema(meta["ids"].type, *more), **meta, **parts))
+        return pa.Table.from_batches(rows)
+
+    return run
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,33 +171,34 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The dictionary (``word``, ``term``, ``n_docs``, ``n_words``) and the shards of the document-term matrix, both stored.
+    """The dictionary (``word``, ``term``, ``n_docs``, ``n_words``), read off a stored table, and the stored shards of the document-term matrix.
 
-    A shard holds ``indptr`` and ``indices`` (64 bits, little-endian) and ``data`` (32 bits), and lists beside its rows: ``ids``, ``parts``, ``points`` (code
+    A shard holds ``indptr`` (64 bits, little-endian), ``indices`` (32 bits, or 64 if the dictionary needs them) and ``data`` (32 bits), and lists beside its rows: ``ids``, ``parts``, ``points`` (code
     points), ``capitals`` (A-Z), ``marked`` (holds one of ``MARKS``) and ``digests`` (SHA-256). Words are the runs without ASCII white space, as they
     are; a null or empty text is an empty row. Repeated rows are rows of their own; an empty table has no shards and no words.
     """
-    python_ready(docs.sparkSession)
+    python_ready(docs.sparkSession, BLOCK_BYTES)
     read = fold(docs, {"id": id_col, "part": part_col, "text": text_col}).withColumn("part", F.col("part").cast("string"))
     meta = _META.format(id=read.schema["id"].dataType.simpleString())
-    blocks = read.mapInArrow(_blocks, f"{meta}, sizes array<int>, terms binary, times binary, words binary")
+    blocks = read.mapInArrow(_blocks, f"{meta}, sizes array<int>, terms binary, times binary, words array<binary>")
     blocks = materialized(blocks.withColumn("block", F.monotonically_increasing_id()), "matrix-blocks")
-    words = blocks.select("block", "sizes", "terms", "times", "words").mapInArrow(_words, "block long, local long, word binary, n_docs long, n_words long")
-    words = materialized(words, "block-words")
-
-    dictionary = words.groupBy("word").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_words").alias("n_words"))
-    dictionary = dictionary.repartitionByRange("word").sortWithinPartitions("word")
-    dictionary = dictionary.select("*", F.spark_partition_id().alias("slice"), (F.monotonically_increasing_id() % (1 << 33)).alias("at"))
-    dictionary = materialized(dictionary, "sorted-words")
+    words = blocks.select("block", "sizes", "terms", "times", "words").mapInArrow(_words, "word binary, block long, local int, n_docs int, n_words long")
+    words = words.repartition("word").sortWithinPartitions("word")
+    words = words.mapInArrow(_numbered, "word binary, block long, local int, n_docs int, n_words long, at int")
+    words = materialized(words.withColumn("slice", F.spark_partition_id()), "numbered-words")
     # One number for each slice of the dictionary is ordered, no more.
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = dictionary.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).select("slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    dictionary = dictionary.join(F.broadcast(slices), "slice").select("word", (F.col("base") + F.col("at")).alias("term"), "n_docs", "n_words")
-    dictionary = materialized(dictionary, "dictionary")
-
-    numbers = words.select("block", "local", "word").join(dictionary.select("word", "term"), "word").select("block", "local", "term")
+    slices = words.groupBy("slice").agg((F.max("at") + 1).cast("bigint").alias("n"))
+    slices = materialized(slices.select("slice", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "dictionary-slices")
+    terms = words.join(F.broadcast(slices), "slice").withColumn("term", F.col("base") + F.col("at"))
+    dictionary = terms.groupBy("word", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_words").alias("n_words"))
+
+    size = slices.agg(F.sum("n")).first()[0] or 0
+    if size >> 40:
+        raise ValueError("more words than 40 bits can number")
+    numbers = terms.select("block", "local", "term")
     shards = blocks.drop("words").groupBy("block").cogroup(numbers.groupBy("block"))
-    shards = shards.applyInArrow(_shards, f"{meta}, shard long, indptr binary, indices binary, data binary")
+    shards = shards.applyInArrow(_shards("<u8" if size >> 32 else "<u4"), f"{meta}, shard long, indptr binary, indices binary, data binary")
     return dictionary, materialized(shards, "term-matrix")
 
 
