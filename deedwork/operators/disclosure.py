@@ -9,12 +9,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
+from math import comb, prod
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deedwork.operators.profile import GRID_BITS, on_grid
 from deedwork.operators.windows import beside_group
+from deedwork.session import materialized
 
 FREE, SMALL, WITHHELD, BY_ONE, BY_TWO, CONCENTRATED, SECONDARY = "F", "A", "C", "O", "T", "M", "D"
 
@@ -223,21 +226,113 @@ def fact_states(df: DataFrame, facts: dict[str, tuple[Column | None, Column]]) -
     return df.groupBy(*states).agg(F.count("*").alias("n"))
 
 
-def differencing(states: DataFrame, facts: Sequence[str], rule: DisclosureRule = DEFAULT) -> DataFrame:
-    """``fact, smallest, status``: a fact that pins a small cell with another one is withheld.
+#: So many combinations of states at most are held against the state table.
+MOST_COMBINATIONS = 1 << 22
+LEVEL_KEYS = 256
 
-    Every pair of facts is crossed on the state table. A non-empty cell below the threshold could be
-    had by subtracting their published counts.
+
+def possible_states(spark: SparkSession, facts: dict[str, tuple[Column | None, Column]], domains: dict[str, tuple[str, Sequence]]) -> list[tuple[tuple[str, ...], DataFrame]]:
+    """Which combinations of states the facts allow: they are looked at together on every combination of the values in ``domains``.
+
+    ``domains`` gives for each column its type and values that stand for all it can hold, null among them where it may be. Too many combinations are refused;
+    facts may then be given to ``differencing`` as groups of their own, looked at one by one.
     """
-    pairs = [(a, b) for i, a in enumerate(facts) for b in facts[i + 1 :]]
-    each = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.concat_ws("/", F.col(a), F.col(b)).alias("cell"))
-            for a, b in pairs
-        ]
-    )
-    cells = states.select(F.explode(each).alias("p"), "n").groupBy("p.a", "p.b", "p.cell").agg(F.sum("n").alias("n"))
-    sides = cells.select(F.explode(F.array("a", "b")).alias("fact"), "n")
-    return sides.groupBy("fact").agg(F.min("n").alias("smallest")).select(
-        "fact", "smallest", F.when(F.col("smallest") < rule.minimum_cell, WITHHELD).otherwise(FREE).alias("status")
-    )
+    if prod(len(values) for _, values in domains.values()) > MOST_COMBINATIONS:
+        raise ValueError(f"more than {MOST_COMBINATIONS} combinations of values")
+    grid = spark.range(1)
+    for name, (kind, values) in domains.items():
+        grid = grid.withColumn(name, F.explode(F.array(*(F.lit(v).cast(kind) for v in values))))
+    return [(tuple(facts), fact_states(grid, facts).drop("n"))]
+
+
+def free_states(spark: SparkSession, facts: dict[str, tuple[Column | None, Column]]) -> list[tuple[tuple[str, ...], DataFrame]]:
+    """Facts that allow every combination: each can hold or fail, and not cover a row if it has a condition."""
+    out = []
+    for name, (when, _) in facts.items():
+        states = ["holds", "fails"] + ["not_covered"] * (when is not None)
+        out.append(((name,), spark.createDataFrame([(s,) for s in states], f"`{name}` string")))
+    return out
+
+
+def _combinations(possible: Sequence[tuple[tuple[str, ...], DataFrame]], shown: Sequence[str]) -> DataFrame | None:
+    """Every combination of ``shown`` that the groups of facts allow: the lists of the groups, one exploded after the other."""
+    out, size = None, 1
+    for names, allowed in possible:
+        keep = [n for n in names if n in shown]
+        if not keep:
+            continue
+        states = [tuple(r) for r in allowed.select(*keep).distinct().limit(MOST_COMBINATIONS // size + 1).collect()]
+        size *= len(states)
+        if size > MOST_COMBINATIONS:
+            raise ValueError(f"more than {MOST_COMBINATIONS} combinations of states")
+        if out is None:
+            out = allowed.select(*keep).distinct()
+        else:
+            rows = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(keep, row, strict=True))) for row in states))
+            out = out.select("*", F.explode(rows).alias("_s")).select("*", *(F.col(f"_s.{n}").alias(n) for n in keep)).drop("_s")
+    return out.select(*shown) if out is not None else None
+
+
+def _differences(targets: DataFrame, cells: DataFrame, shown: Sequence[str], held: int) -> set[str]:
+    """The facts in which the combinations of ``targets`` differ from the nearest ones that rows are in.
+
+    The lattice is climbed by the number of facts that are left out, ``LEVEL_KEYS`` ways to leave some out at a time. Two combinations agree there if they have one
+    key, so they are counted by key and no pair is formed; only those that no fewer facts tell apart are looked at further up. ``held``: how often a target is among
+    ``cells`` itself.
+    """
+    found: set[str] = set()
+
+    def keys(rows: DataFrame, ways: Sequence[tuple[str, ...]]) -> DataFrame:
+        each = (f"struct({k} as way, array({', '.join(repr('') if n in out else f'`{n}`' for n in shown)}) as key)" for k, out in enumerate(ways))
+        return rows.selectExpr(*(f"`{n}`" for n in shown), f"explode(array({', '.join(each)})) as _e").select(*shown, "_e.way", "_e.key")
+
+    size = 0
+    while size < len(shown):
+        ways: list[tuple[str, ...]] = []
+        while size < len(shown) and (not ways or len(ways) + comb(len(shown), size + 1) <= LEVEL_KEYS):
+            size += 1
+            ways += combinations(shown, size)
+        sizes = F.expr(f"array({', '.join(str(len(w)) for w in ways)})")
+        beside = keys(cells, ways).groupBy("way", "key").agg(F.count("*").alias("cells")).where(F.col("cells") > held)
+        near = keys(targets, ways).join(beside.select("way", "key"), ["way", "key"]).withColumn("size", F.get(sizes, F.col("way")))
+        near = near.groupBy(*shown).agg(F.min("size").alias("least"), F.collect_list(F.struct("size", "way")).alias("near"))
+        nearest = near.select(*shown, F.expr("transform(filter(near, x -> x.size = least), x -> x.way)").alias("ways"))
+        for row in nearest.select(F.explode("ways").alias("way")).distinct().collect():
+            found.update(ways[row["way"]])
+        if size < len(shown):
+            targets = materialized(targets.join(nearest.select(*shown), list(shown), "left_anti"), "far-cells")
+            if targets.isEmpty():
+                break
+    return found
+
+
+def differencing(
+    states: DataFrame,
+    facts: Sequence[str],
+    rule: DisclosureRule = DEFAULT,
+    possible: Sequence[tuple[tuple[str, ...], DataFrame]] = (),
+) -> DataFrame:
+    """``fact, round, status``: which of the published facts must be withheld so that no combination of their states shows few records.
+
+    ``states`` (``fact_states``) has the records of each combination. The counts of facts, their unions and their crossings are sums over combinations, so
+    sums and differences of them may show any single one. A combination with fewer records than the threshold is hidden by withholding the facts in which it
+    differs from the nearest ones with records: it then merges with these. With fewer facts there are other combinations, so this is repeated until none is
+    small. Only then, where zeros are disclosive, combinations in ``possible`` (groups of facts with the states they allow together) that no record is in are
+    treated alike. A fact that is not in ``facts`` is not published and merged from the start. What is withheld does not depend on the order of the facts.
+    """
+    shown, withheld, turn = list(facts), {}, 0
+    states = materialized(states.select(*facts, "n"), "fact-states")
+    while shown:
+        cells = states.groupBy(*shown).agg(F.sum("n").alias("n"))
+        small = cells.where((F.col("n") > 0) & (F.col("n") < rule.minimum_cell)).select(*shown)
+        filled = cells.where("n > 0").select(*shown)
+        gone = _differences(small, filled, shown, 1)
+        if not gone and rule.zeros_disclosive and (every := _combinations(possible, shown)) is not None:
+            gone = _differences(every.join(filled, shown, "left_anti"), filled, shown, 0)
+        if not gone:
+            break
+        turn += 1
+        withheld |= dict.fromkeys(gone, turn)
+        shown = [n for n in shown if n not in gone]
+    rows = [(n, withheld.get(n), WITHHELD if n in withheld else FREE) for n in facts]
+    return states.sparkSession.createDataFrame(rows, "fact string, round int, status string")

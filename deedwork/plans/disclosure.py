@@ -9,7 +9,7 @@ from deedwork.functions.values import day, money
 from deedwork.operators import disclosure, profile
 from deedwork.plans.quality import SALES, sales
 from deedwork.plans.registry import query
-from deedwork.session import Tables
+from deedwork.session import Tables, materialized
 
 # Daily orders per priority: small cells, zero cells excluded.
 CELLS = """cells AS (SELECT o_orderpriority AS grp, date_trunc('week', o_orderdate)::DATE AS week, count(*) AS n FROM orders GROUP BY ALL),
@@ -130,33 +130,66 @@ def sdc_per_entity_guard(t: Tables) -> DataFrame:
     return disclosure.per_entity_guard(per, rows, "value")
 
 
+#: What stands for every value that the facts tell apart.
+SALE_DOMAINS = {
+    "amount": ("decimal(12,2)", ("0.00", "1.00", "450000.00", "499000.00")),
+    "status": ("string", ("O", "F", "P")),
+    "custkey": ("bigint", (1, None)),
+}
+
+
+FACT_NAMES = ("positive", "large", "open", "large_or_open", "open_known", "very_large")
+
+
 def sale_facts() -> dict:
     amount, status = F.col("amount"), F.col("status")
     return {
         "positive": (None, amount > 0),
         "large": (None, amount >= 450000),
+        "open": (None, status == "O"),
+        "large_or_open": (None, (amount >= 450000) | (status == "O")),
         "open_known": (status == "O", F.col("custkey").isNotNull()),
         "very_large": (status == "F", amount >= 499000),
     }
 
 
-STATES = """, st AS (SELECT CASE WHEN amount > 0 THEN 'holds' ELSE 'fails' END AS positive, CASE WHEN amount >= 450000 THEN 'holds' ELSE 'fails' END AS large,
-    CASE WHEN status = 'O' THEN CASE WHEN custkey IS NOT NULL THEN 'holds' ELSE 'fails' END ELSE 'not_covered' END AS open_known,
-    CASE WHEN status = 'F' THEN CASE WHEN amount >= 499000 THEN 'holds' ELSE 'fails' END ELSE 'not_covered' END AS very_large FROM sales)"""
-FACT_NAMES = ("positive", "large", "open_known", "very_large")
+_STATES = """CASE WHEN amount > 0 THEN 1 ELSE 0 END AS s0, CASE WHEN amount >= 450000 THEN 1 ELSE 0 END AS s1, CASE WHEN status = 'O' THEN 1 ELSE 0 END AS s2,
+    CASE WHEN amount >= 450000 OR status = 'O' THEN 1 ELSE 0 END AS s3, CASE WHEN status <> 'O' THEN 2 WHEN custkey IS NOT NULL THEN 1 ELSE 0 END AS s4,
+    CASE WHEN status <> 'F' THEN 2 WHEN amount >= 499000 THEN 1 ELSE 0 END AS s5"""
+_FACTS = range(len(FACT_NAMES))
+_SHOWN = ", ".join(f"CASE WHEN mask & {1 << k} > 0 THEN s{k} ELSE 9 END AS s{k}" for k in _FACTS)
+_KEYS = ", ".join(f"s{k}" for k in _FACTS)
 
 
+# For every set of facts, the facts that its small or empty combinations differ in from the nearest ones; then the way from all facts down.
 @query(
     "sdc_differencing",
-    SALES
-    + STATES
-    + ", c AS ("
-    + " UNION ALL ".join(
-        f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n FROM st GROUP BY {a}, {b}"
-        for i, a in enumerate(FACT_NAMES)
-        for b in FACT_NAMES[i + 1 :]
-    )
-    + "), f AS (SELECT a AS fact, n FROM c UNION ALL SELECT b, n FROM c) SELECT fact, min(n) AS smallest, CASE WHEN min(n) < 10 THEN 'C' ELSE 'F' END AS status FROM f GROUP BY fact",
+    f"""{SALES.replace("WITH ", "WITH RECURSIVE ", 1)}, st AS (SELECT {_STATES} FROM sales),
+    base AS (SELECT {_KEYS}, count(*) AS n FROM st GROUP BY ALL),
+    grid AS (SELECT amount, status, custkey FROM (VALUES (0), (1), (450000), (499000)) a(amount), (VALUES ('O'), ('F'), ('P')) b(status), (VALUES (1), (NULL)) c(custkey)),
+    allowed AS (SELECT DISTINCT {_KEYS} FROM (SELECT {_STATES} FROM grid)),
+    masks AS (SELECT unnest(range(1, {1 << len(_FACTS)})) AS mask),
+    cells AS (SELECT mask, {_SHOWN}, sum(n) AS n FROM base, masks GROUP BY ALL),
+    empty AS (SELECT DISTINCT mask, {_SHOWN} FROM allowed, masks EXCEPT SELECT mask, {_KEYS} FROM cells),
+    target AS (SELECT mask, false AS zero, {_KEYS} FROM cells WHERE n < 10 UNION ALL SELECT mask, true, {_KEYS} FROM empty),
+    apart AS (SELECT t.*, {" + ".join(f"CASE WHEN t.s{k} <> c.s{k} THEN {1 << k} ELSE 0 END" for k in _FACTS)} AS bits FROM target t JOIN cells c USING (mask)),
+    nearest AS (SELECT *, rank() OVER (PARTITION BY mask, zero, {_KEYS} ORDER BY bit_count(bits)) AS k FROM apart WHERE bits > 0),
+    gone AS (SELECT mask, zero, bit_or(bits) AS bits FROM nearest WHERE k = 1 GROUP BY mask, zero),
+    rules AS (SELECT unnest([true, false]) AS zeros),
+    step AS (SELECT zeros, m.mask, coalesce(a.bits, CASE WHEN zeros THEN b.bits END) AS bits
+        FROM rules, masks m LEFT JOIN gone a ON a.mask = m.mask AND NOT a.zero LEFT JOIN gone b ON b.mask = m.mask AND b.zero),
+    walk AS (SELECT zeros, {(1 << len(_FACTS)) - 1} AS mask, 1 AS round FROM rules
+        UNION ALL SELECT w.zeros, w.mask & ~s.bits, w.round + 1 FROM walk w JOIN step s USING (zeros, mask) WHERE s.bits IS NOT NULL),
+    names AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {1 << k})" for k, n in enumerate(FACT_NAMES))}) v(fact, bit))
+    SELECT zeros AS zeros_disclosive, fact, min(round) FILTER (WHERE mask & bit = 0) - 1 AS round, CASE WHEN bool_and(mask & bit > 0) THEN 'F' ELSE 'C' END AS status
+    FROM walk, names GROUP BY zeros, fact""",
 )
 def sdc_differencing(t: Tables) -> DataFrame:
-    return disclosure.differencing(disclosure.fact_states(sales(t), sale_facts()), FACT_NAMES)
+    facts = sale_facts()
+    states = materialized(disclosure.fact_states(sales(t), facts), "sale-states")
+    possible = disclosure.possible_states(t.spark, facts, SALE_DOMAINS)
+    told = [
+        disclosure.differencing(states, FACT_NAMES, disclosure.DisclosureRule(zeros_disclosive=zeros), possible).withColumn("zeros_disclosive", F.lit(zeros))
+        for zeros in (True, False)
+    ]
+    return told[0].unionByName(told[1])
