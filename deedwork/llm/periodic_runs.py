@@ -17,10 +17,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedwork.llm.common import fold, python_ready
+from deedwork.llm.common import fold, python_ready, split_words
 
 LEAST_WORDS = 6
 LEAST_PERIODS = 4
@@ -29,12 +30,6 @@ _EXPANDED = 2_000_000
 _OPEN = np.iinfo(np.int32).max
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def _suffix_array(words: np.ndarray, doc: np.ndarray, ends: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, document by document, and the LCP of neighbours; beyond ``need`` words suffixes stay tied, with an open LCP."""
     n = len(words)
@@ -190,42 +185,40 @@ def runs_of(documents: list[np.ndarray], least_words: int = LEAST_WORDS, least_p
     return found
 
 
-def _collapsed(words: list[bytes], runs: list[tuple[int, int, int]]) -> bytes:
-    if not runs:
-        return b" ".join(words)
-    steps = np.zeros(len(words) + 1, np.int64)
-    for start, length, period in runs:
-        steps[start + period] += 1
-        steps[start + length] -= 1
-    return b" ".join([words[k] for k in np.flatnonzero(np.cumsum(steps[:-1]) == 0).tolist()])
-
-
 _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
 
 def _find(least_words: int, least_periods: int):
-    def group(ids: pa.Array, split: list[list[bytes]]) -> pa.RecordBatch:
-        numbers = _Numbers()
-        numbered = [np.fromiter(map(numbers.__getitem__, words), np.int32, count=len(words)) for words in split]
-        runs = runs_of(numbered, least_words, least_periods)
-        kept = pa.array([_collapsed(words, r) for words, r in zip(split, runs, strict=True)], pa.binary()).cast(pa.string())
-        listed = pa.array([[dict(zip(("start", "length", "period"), r, strict=True)) for r in rs] for rs in runs], _RUNS)
-        top = [max(rs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2])) if rs else (None,) * 3 for rs in runs]
+    def group(ids: pa.Array, words: pa.Array, coded: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        ends = np.cumsum(sizes)
+        runs = runs_of([coded[end - size : end] for size, end in zip(sizes.tolist(), ends.tolist(), strict=True)], least_words, least_periods)
+        covered = np.zeros(len(words) + 1, np.int64)
+        for end, size, own in zip(ends.tolist(), sizes.tolist(), runs, strict=True):
+            for start, length, period in own:
+                covered[end - size + start + period] += 1
+                covered[end - size + start + length] -= 1
+        kept = np.cumsum(covered[:-1]) == 0
+        offsets = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends])]
+        collapsed = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.filter(pa.array(kept))), " ")
+        listed = pa.array([[dict(zip(("start", "length", "period"), r, strict=True)) for r in own] for own in runs], _RUNS)
+        top = [max(own, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2])) if own else (None,) * 3 for own in runs]
         best = [pa.array([r[k] for r in top], pa.int64()) for k in range(3)]
-        n_words = pa.array(list(map(len, split)), pa.int64())
-        return pa.RecordBatch.from_arrays([ids, n_words, *best, listed, kept], ["id", "n_words", "start", "length", "period", "runs", "collapsed"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(sizes), *best, listed, collapsed], ["id", "n_words", "start", "length", "period", "runs", "collapsed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split, held, first = [], 0, 0
-            for k, text in enumerate(batch.column("text").cast(pa.binary())):
-                split.append((text.as_py() or b"").split())
-                held += len(split[-1])
-                if held >= GROUP_WORDS:
-                    yield group(batch.column("id").slice(first, k + 1 - first), split)
-                    split, held, first = [], 0, k + 1
-            if split:
-                yield group(batch.column("id").slice(first), split)
+            if not batch.num_rows:
+                continue
+            words, sizes = split_words(batch.column("text"))
+            coded = words.dictionary_encode().indices.to_numpy()
+            ends = np.cumsum(sizes)
+            first = 0
+            while first < len(sizes):
+                before = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + GROUP_WORDS, "right")))
+                upto = int(ends[last - 1])
+                yield group(batch.column("id").slice(first, last - first), words.slice(before, upto - before), coded[before:upto], sizes[first:last])
+                first = last
 
     return run
 
