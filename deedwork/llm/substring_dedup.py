@@ -18,38 +18,27 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deedwork.llm.common import fold, materialized, text_key
-from deedwork.session import ship_package
+from deedwork.llm.common import fold, materialized, python_ready, split_words, text_key
 
 WINDOW_WORDS = 50
 GRAM_WORDS = 10
+BATCH_BYTES = 8 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_MEMO_WORDS = 400_000
 _LAST_ID = (1 << 63) - 1
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < _MEMO_WORDS:
-            self[word] = value
-        return value
-
-
-_hash_of = _WordHashes()
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hash_of.__getitem__, words), dtype=np.uint64, count=len(words))
+def _hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all texts in a row, and how many each text has."""
+    words, sizes = split_words(text)
+    coded = words.dictionary_encode()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, count=len(coded.dictionary))
+    return known[coded.indices.to_numpy()], sizes
 
 
 @functools.lru_cache(maxsize=2)
@@ -63,7 +52,7 @@ class _Rolling:
     """Hashes of any run of words, from sums of word hashes times powers."""
 
     def __init__(self, hashes: np.ndarray, base: int = _BASES[0]):
-        up, self.down = _powers(base, 1 << max(15, len(hashes).bit_length()))
+        up, self.down = _powers(base, 1 << max(18, len(hashes).bit_length()))
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
 
     def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -88,73 +77,115 @@ def _least(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def blocks_of(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(least hash, content hash, number of windows, first word) of each block."""
+def blocks_of(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, least hash, content hash, number of windows, first word) of each block of texts of so many words each."""
+    ends = np.cumsum(sizes)
     if len(hashes) < window:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return (np.zeros(0, np.int64),) * 5
     rolling = _Rolling(hashes)
     least = _least(_mixed(rolling.every(gram)), window - gram + 1)
-    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    sizes = np.diff(np.append(starts, len(least)))
-    content = rolling.runs(starts, starts + sizes + window - 1)
-    return least[starts].view(np.int64), content.view(np.int64), sizes, starts
+    text = np.repeat(np.arange(len(sizes)), sizes)[: len(least)]
+    inside = np.flatnonzero(np.arange(len(least)) + window <= ends[text])  # windows within one text
+    if not len(inside):
+        return (np.zeros(0, np.int64),) * 5
+    new = np.ones(len(inside), bool)
+    new[1:] = (np.diff(inside) > 1) | (least[inside[1:]] != least[inside[:-1]])
+    first = np.flatnonzero(new)
+    starts, count = inside[first], np.diff(np.append(first, len(inside)))
+    content = rolling.runs(starts, starts + count + window - 1)
+    return text[starts], least[starts].view(np.int64), content.view(np.int64), count, starts - (ends - sizes)[text[starts]]
+
+
+def _first_of(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """The rows whose document and text this task has not seen yet."""
+    keys = list(zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), strict=True))
+    new = []
+    for key in keys:
+        new.append(key not in seen)
+        seen.add(key)
+    return batch if all(new) else batch.filter(pa.array(new, pa.bool_()))
 
 
 def _cut(window: int, gram: int, whole: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
-            for first in range(0, len(batch), 512):
-                part = batch.iloc[first : first + 512]
-                found = [blocks_of(_hashes(words_of(text)), window, gram) for text in part["text"]]
-                counts = [len(x[0]) for x in found]
-                least, content, sizes, starts = (np.concatenate(x) for x in zip(*found, strict=True))
-                out = {"least": least, "doc": np.repeat(part["doc"].to_numpy(), counts)}
-                if whole:
-                    out |= {"key": np.repeat(part["key"].to_numpy(), counts), "content": content, "size": sizes, "at": starts}
-                yield pd.DataFrame(out)
+            batch = _first_of(batch, seen)
+            text, least, content, count, at = blocks_of(*_hashes(batch.column("text")), window, gram)
+            out = {"least": pa.array(least), "doc": batch.column("doc").take(pa.array(text))}
+            if whole:
+                out |= {"key": batch.column("key").take(pa.array(text)), "content": pa.array(content)}
+                out |= {"size": pa.array(count.astype(np.int32)), "at": pa.array(at.astype(np.int32))}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
 
 
 def _windows(window: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
-            for doc, key, text, blocks in zip(batch["doc"], batch["key"], batch["text"], batch["blocks"], strict=True):
-                hashes = _hashes(words_of(text))
-                at = np.concatenate([np.arange(b["at"], b["at"] + b["size"]) for b in blocks])
-                a, b = (_Rolling(hashes, base).runs(at, at + window).view(np.int64) for base in _BASES)
-                yield pd.DataFrame({"doc": doc, "key": key, "at": at, "a": a, "b": b})
+            batch = _first_of(batch, seen)
+            if not batch.num_rows:
+                continue
+            hashes, sizes = _hashes(batch.column("text"))
+            begins = np.cumsum(sizes) - sizes
+            blocks = np.diff(batch.column("blocks_at").offsets.to_numpy())
+            text = np.repeat(np.arange(len(sizes)), blocks)
+            at, count = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("blocks_at", "blocks_size"))
+            first = np.cumsum(count) - count
+            at = np.repeat(at - first, count) + np.arange(count.sum())
+            text = np.repeat(text, count)
+            place = begins[text] + at
+            a, b = (_Rolling(hashes, base).runs(place, place + window).view(np.int64) for base in _BASES)
+            row = pa.array(text)
+            columns = [batch.column("doc").take(row), batch.column("key").take(row), pa.array(at.astype(np.int32)), pa.array(a), pa.array(b)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "at", "a", "b"])
 
     return run
 
 
-def _remove(id_col: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text, spans in zip(batch["text"], batch["spans"], strict=True):
-                words = words_of(text)
-                kept = words
-                if spans is not None:
-                    steps = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(steps, [s["a"] for s in spans], 1)
-                    np.add.at(steps, [s["b"] for s in spans], -1)
-                    kept = [words[k] for k in np.flatnonzero(np.cumsum(steps[:-1]) == 0)]
-                rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
-            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
-            out.insert(0, id_col, batch["id"].array)
-            yield out
-
-    return run
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans that meet or overlap as one."""
+    for batch in batches:
+        firsts, lasts = [], []
+        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            a, b = a.values.to_numpy(), b.values.to_numpy()
+            order = np.argsort(a, kind="stable")
+            a, reach = a[order], np.maximum.accumulate(b[order])
+            new = np.append(True, a[1:] > reach[:-1])
+            firsts.append(a[new])
+            lasts.append(reach[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)])
+        columns = [batch.column("doc"), batch.column("key"), *(pa.array(x, pa.list_(pa.int32())) for x in (firsts, lasts))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "a", "b"])
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words, sizes = split_words(batch.column("text"))
+        ends = np.cumsum(sizes)
+        steps = np.zeros(len(words) + 1, np.int64)
+        for name, step in (("a", 1), ("b", -1)):
+            counts = pc.fill_null(pc.list_value_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+            place = np.repeat(ends - sizes, counts) + batch.column(name).flatten().to_numpy()
+            np.add.at(steps, place, step)
+        kept = np.cumsum(steps[:-1]) == 0
+        before = np.concatenate([[0], np.cumsum(kept)])
+        offsets = before[np.concatenate([[0], ends])]
+        left = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.filter(pa.array(kept))), " ")
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(sizes - np.diff(offsets)), left], ["id", "n_words", "n_removed", "kept"])
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
-    """Spans of words [a, b) of ``docs`` (``doc``, ``key``, ``text``) whose windows also start in a smaller ``doc``; they may overlap."""
-    least = docs.select("doc", "text").mapInPandas(_cut(window, gram, False), "least long, doc long")
+    """Spans of words of ``docs`` (``doc``, ``key``, ``text``) whose windows also start in a smaller ``doc``.
+
+    One row for each ``doc`` and ``key`` with any: ``a`` and ``b``, where its spans begin and end, in order and apart. Rows that repeat both are looked at once in a task.
+    """
+    python_ready(docs.sparkSession, BATCH_BYTES)
+    least = docs.mapInArrow(_cut(window, gram, False), "least long, doc long")
     shared = least.groupBy("least").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("least")
     cut = "least long, doc long, key binary, content long, size int, at int"
-    blocks = docs.mapInPandas(_cut(window, gram, True), cut).join(shared, "least", "left_semi")
+    blocks = docs.mapInArrow(_cut(window, gram, True), cut).join(shared, "least", "left_semi")
     blocks = materialized(blocks, "shared-blocks")
 
     same = ["least", "content", "size"]
@@ -168,12 +199,15 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRA
     several = several.where("n > 1 and low < high").select("least")
     ends = blocks.join(first.join(several, "least", "left_semi").select(*same, F.col("first").alias("doc")), [*same, "doc"])
     ends = ends.groupBy(F.col("doc").alias("d"), F.col("key").alias("k")).agg(F.collect_set(F.struct("at", "size")).alias("blocks"))
-    texts = docs.join(ends, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k"))).select("doc", "key", "text", "blocks")
-    windows = materialized(texts.mapInPandas(_windows(window), "doc long, key binary, at int, a long, b long"), "boundary-windows")
+    ends = ends.select("d", "k", F.col("blocks.at").alias("blocks_at"), F.col("blocks.size").alias("blocks_size"))
+    texts = docs.join(ends, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k"))).select("doc", "key", "text", "blocks_at", "blocks_size")
+    windows = materialized(texts.mapInArrow(_windows(window), "doc long, key binary, at int, a long, b long"), "boundary-windows")
     lowest = windows.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("a", "b", "low")
     checked = windows.join(lowest, ["a", "b"]).where("low < doc")
     checked = checked.select("doc", "key", F.col("at").alias("a"), F.expr(f"at + {window}").alias("b"))
-    return whole.unionByName(checked)
+    spans = whole.unionByName(checked).groupBy("doc", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = spans.select("doc", "key", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
+    return materialized(spans.mapInArrow(_merged, "doc long, key binary, a array<int>, b array<int>"), "duplicate-spans")
 
 
 def substring_dedup(
@@ -184,12 +218,11 @@ def substring_dedup(
     Words are separated by ASCII white space and otherwise unchanged. A text of fewer than ``window`` words, null and empty ones included,
     loses nothing. A row without an id comes after all others; rows that repeat an id are one document to each other, so neither loses what they share.
     """
-    ship_package(docs.sparkSession)
     read = fold(docs, {"id": id_col, "text": text_col})
     doc, key = F.coalesce(F.col("id").cast("bigint"), F.lit(_LAST_ID)), text_key(F.col("text"))
     keyed = read.select("id", doc.alias("doc"), key.alias("key"), "text")
-    spans = duplicate_spans(keyed.select("doc", "key", "text"), window, gram)
-    spans = spans.groupBy(F.col("doc").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    both = keyed.join(spans, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k")), "left").select("id", "text", "spans")
+    spans = duplicate_spans(keyed.select("doc", "key", "text"), window, gram).withColumnsRenamed({"doc": "d", "key": "k"})
+    both = keyed.join(spans, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k")), "left").select("id", "text", "a", "b")
     id_type = read.schema["id"].dataType.simpleString()
-    return both.mapInPandas(_remove(id_col), f"`{id_col}` {id_type}, n_words long, n_removed long, kept string")
+    out = both.mapInArrow(_remove, f"id {id_type}, n_words long, n_removed long, kept string")
+    return out.withColumnRenamed("id", id_col)

@@ -183,6 +183,17 @@ def test_repeated_passages_odd_rows(docs_of):
     assert substring_dedup.substring_dedup(docs_of([])).count() == 0
 
 
+def test_many_equal_rows_under_one_null_id(spark):
+    """Rows that repeat id and text are one document to each other, and their spans are gathered once."""
+    text = " ".join(f"w{k % 97}x{k}" for k in range(400))
+    rows = spark.range(5000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(text).alias("text"))
+    docs = rows.unionByName(spark.createDataFrame([(7, text + " end")], "doc_id long, text string"))
+    spans = substring_dedup.duplicate_spans(docs.select(F.coalesce("doc_id", F.lit(9)).alias("doc"), F.unhex(F.md5("text")).alias("key"), "text")).collect()
+    assert [(r["doc"], r["a"], r["b"]) for r in spans] == [(9, [0], [400])]
+    told = substring_dedup.substring_dedup(docs).groupBy("doc_id", "n_words", "n_removed", "kept").count().collect()
+    assert sorted((r["n_words"], r["n_removed"], r["count"]) for r in told) == [(400, 400, 5000), (401, 0, 1)]
+
+
 def test_archives_are_an_exact_round_trip(spark, tmp_path):
     big = "payload é\r\n\r\nWARC/1.1\r\n" * 30_000
     rows = [(1, "http://a", "same"), (5, None, "same"), (3, "http://b/ x\n", "same"), (7, "", None), (8, "u", ""), (9, "u", big), (10, "u", "one")]
