@@ -10,6 +10,7 @@ from deedwork.functions.values import day, money
 from deedwork.operators import windows
 from deedwork.plans.registry import query
 from deedwork.session import Tables
+from deedwork.sources.buckets import BucketedTable
 from deedwork.sources import readers, sinks
 from deedwork.streaming import landing
 
@@ -228,15 +229,15 @@ def load_incremental_append(t: Tables) -> DataFrame:
 )
 def load_incremental_dedup(t: Tables) -> DataFrame:
     """Two loads into a stored table of one row a user; the second one, run again, changes nothing."""
-    path, events = t.scratch("newest"), t.events.select("user_id", "event_id", "ts", "event_type")
+    table, events = BucketedTable(t.spark, t.scratch("newest"), ["user_id"], 8), t.events.select("user_id", "event_id", "ts", "event_type")
 
-    def newest(rows: DataFrame):
-        return lambda before: sinks.newest_per_key(rows if before is None else before.unionByName(rows), ["user_id"], ["ts", "event_id"])
+    def newest(old: DataFrame | None, rows: DataFrame) -> DataFrame:
+        return sinks.newest_per_key(rows if old is None else old.unionByName(rows), ["user_id"], ["ts", "event_id"])
 
-    sinks.load(t.spark, path, 1, newest(events.where("ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'")))
+    table.load(1, events.where("ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'"), newest)
     for _ in range(2):
-        sinks.load(t.spark, path, 2, newest(events.where("ts >= TIMESTAMP_NTZ '2024-01-14 00:00:00'")))
-    return sinks.stored(t.spark, path)
+        table.load(2, events.where("ts >= TIMESTAMP_NTZ '2024-01-14 00:00:00'"), newest)
+    return table.read()
 
 
 ORDER_ROW = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
@@ -252,11 +253,11 @@ def load_incremental_merge(t: Tables) -> DataFrame:
     changes = rows.where("o_orderkey % 5 = 0").withColumns(
         {"o_orderstatus": F.lit("M"), "o_totalprice": F.col("o_totalprice") + 100}
     )
-    path = t.scratch("merged")
-    sinks.load(t.spark, path, 1, lambda _: rows.where("o_orderkey % 3 <> 0"))
+    table = BucketedTable(t.spark, t.scratch("merged"), ["o_orderkey"], 8)
+    table.load(1, rows.where("o_orderkey % 3 <> 0"), lambda _, new: new)
     for _ in range(2):
-        sinks.load(t.spark, path, 2, lambda before: sinks.merge(before, changes, ["o_orderkey"]))
-    return sinks.stored(t.spark, path)
+        table.load(2, changes, lambda old, new: sinks.merge(old, new, ["o_orderkey"]))
+    return table.read()
 
 
 def change_feed(t: Tables) -> DataFrame:
@@ -284,18 +285,16 @@ def change_feed(t: Tables) -> DataFrame:
     WHERE o_orderkey % 28 = 0 OR o_orderkey % 7 <> 0""",
 )
 def load_cdc_apply(t: Tables) -> DataFrame:
-    """A change feed as a stream: each micro-batch is a load of the stored table."""
-    path, files, feed = t.scratch("fed"), t.scratch("feed"), change_feed(t)
+    """A change feed as a stream: each micro-batch is a load of the buckets it touches; at its end the deletes are forgotten."""
+    table, files, feed = BucketedTable(t.spark, t.scratch("fed"), ["o_orderkey"], 8), t.scratch("feed"), change_feed(t)
     held = t.orders.select(*ORDER_ROW).where("o_orderkey % 3 <> 0").withColumns({"op": F.lit("insert"), "seq": F.lit(0).cast("bigint")})
-    sinks.load(t.spark, path, 0, lambda _: held)
+    table.load(0, held, lambda _, rows: rows)
     feed.repartition(3).write.parquet(files)
     stream = t.spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(files)
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        sinks.load(batch.sparkSession, path, batch_id + 1, lambda before: sinks.fed(before, batch, ["o_orderkey"], "seq"))
-
-    landing.run_available(stream, t.scratch("checkpoint"), each)
-    return sinks.stored(t.spark, path).where("op <> 'delete'").drop("op", "seq")
+    landing.run_available(stream, t.scratch("checkpoint"), lambda batch, batch_id: table.feed(batch_id + 1, batch, "seq"))
+    last = table.versions()[-1]
+    table.settle(last + 1, table.read().agg(F.max("seq")).first()[0], "seq", "op")
+    return table.read().drop("op", "seq")
 
 
 @query(

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deedwork.functions.values import day, money
-from deedwork.operators import profile, quality, slices
+from deedwork.operators import profile, quality, sketches, slices
 from deedwork.plans.quality import BANDS, SALES, order_rules, sales
 from deedwork.plans.registry import query
 from deedwork.plans.relational import ORDER_PRIORITIES
-from deedwork.session import Tables
+from deedwork.session import Tables, materialized
 
 PRICE_EDGES = (0, 1000, 50000, 100000, 200000, 300000, 400000, 500000, 1000000)
 DAY_EDGES = (-3000, -1000, -365, -30, 0, 30, 365, 1000, 3000)
@@ -48,6 +48,34 @@ def profile_columns(t: Tables) -> DataFrame:
     return profile.column_profile(sales(t))
 
 
+def sketched(t: Tables, rows: DataFrame, by: str, name: str) -> DataFrame:
+    """The merged sketches of two loads of the table; the second load is run again, which changes nothing."""
+    path = t.scratch(name)
+    for load in (0, 1, 1):
+        sketches.store(rows.where(F.pmod(F.col(by), F.lit(2)) == load), path, load)
+    return sketches.stored(t.spark, path)
+
+
+SALE_COLUMNS = ("o_orderkey", "custkey", "placed", "amount", "status", "priority", '"at"')
+
+
+@query(
+    "profile_columns_approx",
+    SALES
+    + " UNION ALL ".join(
+        f"""SELECT '{c.strip('"')}' AS column_name, count(*) AS rows, (count(*) - count({c}))::DOUBLE / count(*)::DOUBLE AS null_rate, count(DISTINCT {c}) AS distinct_count, true AS within FROM sales"""
+        for c in SALE_COLUMNS
+    ),
+)
+def profile_columns_approx(t: Tables) -> DataFrame:
+    """Whether the distinct counts of merged sketches are within their bound of the exact ones beside them."""
+    rows = sales(t)
+    told = sketches.profile(sketched(t, rows, "o_orderkey", "column-sketches")).withColumnRenamed("distinct_count", "approx")
+    exact = profile.column_profile(rows, samples=0).select("column_name", "distinct_count")
+    close = F.abs(F.col("approx") - F.col("distinct_count")) <= F.ceil(F.col("distinct_count") * sketches.distinct_error())
+    return told.join(exact, "column_name").select("column_name", "rows", "null_rate", "distinct_count", close.alias("within"))
+
+
 @query(
     "profile_level_hist",
     "SELECT v AS level, count(o_orderkey) AS n FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW'), ('6-NEVER')) AS l(v) LEFT JOIN orders ON o_orderpriority = v GROUP BY v",
@@ -91,6 +119,21 @@ def profile_quantiles(t: Tables) -> DataFrame:
     return slices.quantile_values(prices, "price", QUANTILES)
 
 
+@query(
+    "profile_quantiles_approx",
+    "SELECT level, (SELECT count(l_extendedprice) FROM lineitem) AS n, true AS within FROM (VALUES ('min'), ('p05'), ('p25'), ('p50'), ('p75'), ('max')) AS q(level)",
+)
+def profile_quantiles_approx(t: Tables) -> DataFrame:
+    """Whether the ranks of quantiles from merged sketches, counted in the table itself, are within twice the bound."""
+    rows = t.lineitem.select("l_orderkey", F.col("l_extendedprice").alias("price"))
+    merged = sketched(t, rows, "l_orderkey", "price-sketches").where("column_name = 'price'")
+    found = materialized(sketches.quantiles(merged, "price", QUANTILES), "sketch-quantiles")
+    bound = 2 * sketches.rank_error()
+    close = (F.col("below") - bound <= F.col("share")) & (F.col("share") <= F.col("upto") + bound)
+    told = sketches.ranks(rows, F.col("price"), found).select("level", close.alias("within"))
+    return found.select("level", "n").join(told, "level")
+
+
 @query(
     "profile_date_span",
     """WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS start, count(*) AS n FROM orders GROUP BY 1), y AS (SELECT date_trunc('year', start)::DATE AS start, sum(n)::BIGINT AS n FROM m GROUP BY 1),
