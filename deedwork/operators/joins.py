@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deedwork.session import materialized
 from deedwork.specs import Link
 from deedwork.specs import Window as Validity
 
@@ -115,29 +116,75 @@ def as_of_join(
     return rows.select(*facts.columns, *[F.col(f"_a{i}").alias(a) for i, a in enumerate(attributes)])
 
 
+def _tick(c: Column, unit: str) -> Column:
+    """The number of the calendar unit that a date or time lies in."""
+    if unit in ("month", "quarter", "year"):
+        months = F.year(c).cast("bigint") * 12 + F.month(c) - 1
+        return F.floor(months / {"month": 1, "quarter": 3, "year": 12}[unit])
+    seconds = {"week": 604800, "day": 86400, "hour": 3600, "minute": 60, "second": 1}[unit]
+    return F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz")) / seconds)
+
+
+def _cover(first: Column, last: Column, levels: int) -> Column:
+    """The aligned blocks (level, number) of 2^level units that make up [first, last], at most two a level; none if it is empty.
+
+    From the smallest blocks up: an odd first and an even last one have no larger block that stays inside.
+    """
+    start = F.struct(first.alias("a"), last.alias("b"), F.array().cast("array<struct<level:int,block:bigint>>").alias("out"))
+
+    def step(s: Column, level: Column) -> Column:
+        def block(at: Column, taken: Column) -> Column:
+            one = F.array(F.struct(level.cast("int").alias("level"), at.alias("block")))
+            return F.when(taken, one).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))
+
+        left = (s["a"] <= s["b"]) & (s["a"] % 2 == 1)
+        right = (s["a"] <= s["b"]) & (s["b"] % 2 == 0) & ~(left & (s["a"] == s["b"]))
+        a = F.floor((s["a"] + left.cast("bigint")) / 2)
+        b = F.floor((s["b"] - right.cast("bigint")) / 2)
+        return F.struct(
+            F.when(s["a"] <= s["b"], a).otherwise(s["a"]).alias("a"),
+            F.when(s["a"] <= s["b"], b).otherwise(s["b"]).alias("b"),
+            F.concat(s["out"], block(s["a"], left), block(s["b"], right)).alias("out"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda s: s["out"])
+
+
+def interval_cover(intervals: DataFrame, low: str, high: str, unit: str, span: tuple) -> DataFrame:
+    """``intervals`` listed under the aligned blocks of units that cover them, ``_level`` and ``_block``, as far as ``span`` (its first and last date) goes.
+
+    At most two blocks a level, so a long interval at a fine unit is a few dozen rows. A NULL end is open.
+    """
+    ends = intervals.sparkSession.range(1).select(*(_tick(F.lit(x), unit).alias(n) for x, n in zip(span, "ab"))).first()
+    units = ends["b"] - ends["a"]
+    first = F.greatest(F.coalesce(_tick(F.col(low), unit) - ends["a"], F.lit(0)), F.lit(0)).cast("bigint")
+    last = F.least(F.coalesce(_tick(F.col(high), unit) - ends["a"], F.lit(units)), F.lit(units)).cast("bigint")
+    cover = _cover(first, last, max(1, units.bit_length()))
+    return intervals.withColumn("_c", F.explode(cover)).select(*intervals.columns, F.col("_c.level").alias("_level"), F.col("_c.block").alias("_block"))
+
+
 def interval_join(
     points: DataFrame, intervals: DataFrame, *, point: str, low: str, high: str, unit: str, extra: Column | None = None
 ) -> DataFrame:
     """Points with the half-open date intervals that hold them (plus any ``extra`` predicate).
 
-    A range condition alone would compare every point with every interval. Each interval is
-    listed under the calendar units it touches, as far as there are points, and joined by equality on the unit.
-    A NULL end is open; an interval that ends before it starts holds nothing.
+    A range condition alone would compare every point with every interval. Calendar units are paired up into blocks of 2, 4, 8, ... units; an interval is listed
+    under the few blocks that make it up, and a point asks for the one block of each level in use that it lies in: equality on (level, block), each pair met once.
+    A NULL end is open; an interval that ends before it starts holds nothing, and neither does a NULL point lie in any.
     """
-    step = F.expr(f"interval 1 {unit}")
-    ends = points.agg(F.struct(F.min(point).alias("a"), F.max(point).alias("b")).alias("span")).scalar()
-    first = F.greatest(F.coalesce(low, F.col("_span.a")), F.col("_span.a"))
-    last = F.least(F.coalesce(high, F.col("_span.b")), F.col("_span.b"))
-    units = F.when(first <= last, F.sequence(F.date_trunc(unit, first), F.date_trunc(unit, last), step))
-    listed = intervals.withColumn("_span", ends).withColumn("_unit", F.explode(units)).drop("_span")
-    test = (
-        (F.date_trunc(unit, F.col(point)) == F.col("_unit"))
-        & F.coalesce(F.col(point) >= F.col(low), F.lit(True))
-        & F.coalesce(F.col(point) < F.col(high), F.lit(True))
-    )
+    span = points.agg(F.min(point).alias("a"), F.max(point).alias("b")).first()
+    if span["a"] is None:
+        return points.join(intervals, F.lit(False))
+    listed = materialized(interval_cover(intervals, low, high, unit, (span["a"], span["b"])), "interval-cover")
+    levels = sorted(r[0] for r in listed.select("_level").distinct().collect())  # at most 63
+    place = _tick(F.col(point), unit) - _tick(F.lit(span["a"]), unit)
+    asked = F.array(*(F.struct(F.lit(j).alias("l"), F.shiftright(place.cast("bigint"), j).alias("b")) for j in levels)) if levels else F.array().cast("array<struct<l:int,b:bigint>>")
+    each = points.select("*", F.explode(asked).alias("_ask"))
+    test = (F.col("_ask.l") == F.col("_level")) & (F.col("_ask.b") == F.col("_block"))
+    test = test & F.coalesce(F.col(point) >= F.col(low), F.lit(True)) & F.coalesce(F.col(point) < F.col(high), F.lit(True))
     if extra is not None:
         test = test & extra
-    return points.join(listed, test).drop("_unit")
+    return each.join(listed, test).drop("_ask", "_level", "_block")
 
 
 def orphans(child: DataFrame, parent: DataFrame, column: str, to: str) -> DataFrame:

@@ -78,6 +78,36 @@ def test_interval_join_is_the_range_condition(spark):
     assert Counter((r["p"], r["i"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("unit", ["day", "week", "quarter", "hour"])
+def test_interval_join_with_long_and_open_intervals(spark, unit):
+    rng = random.Random(unit)
+    at = [dt.datetime(1970, 1, 1) + dt.timedelta(hours=rng.randrange(0, 24 * 40_000), minutes=rng.choice([0, 0, 59])) for _ in range(150)]
+    points = [(i, rng.choice([None, *at[:2]]) if i % 40 == 0 else t) for i, t in enumerate(at)]
+    ends = [*at, dt.datetime(1950, 1, 1), dt.datetime(2150, 1, 1)]
+    intervals = [(i, rng.choice([None, *ends]), rng.choice([None, *ends])) for i in range(60)] + [(99, None, None), (98, at[3], at[3]), (97, at[4], at[4] + dt.timedelta(minutes=1))]
+    got = joins.interval_join(
+        spark.createDataFrame(points, "p int, at timestamp_ntz"),
+        spark.createDataFrame(intervals, "i int, low timestamp_ntz, high timestamp_ntz"),
+        point="at",
+        low="low",
+        high="high",
+        unit=unit,
+        extra=F.col("p") % 3 != 1,
+    )
+    assert got.columns == ["p", "at", "i", "low", "high"]
+    want = Counter((p, i) for p, t in points for i, a, b in intervals if t and (a is None or a <= t) and (b is None or t < b) and p % 3 != 1)
+    assert Counter((r["p"], r["i"]) for r in got.collect()) == want
+
+
+def test_a_long_interval_is_a_few_dozen_blocks(spark):
+    rows = spark.createDataFrame([(1, DAY, DAY.replace(year=2124)), (2, None, None), (3, DAY, DAY), (4, days(9), days(8))], "i int, low date, high date")
+    listed = joins.interval_cover(rows, "low", "high", "day", (DAY, dt.date(2124, 1, 1))).collect()
+    n = Counter(r["i"] for r in listed)
+    assert n[1] <= 34 and n[2] <= 34 and n[3] == 1 and n[4] == 0
+    units = sorted(x for r in listed if r["i"] == 1 for x in range(r["_block"] << r["_level"], (r["_block"] + 1) << r["_level"]))
+    assert units == list(range((dt.date(2124, 1, 1) - DAY).days + 1))
+
+
 def test_a_link_that_fans_out_is_refused(spark):
     parents = spark.createDataFrame([(1,), (1,), (None,), (None,)], "id int")
     with pytest.raises(ValueError, match="repeats"):
