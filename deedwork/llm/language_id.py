@@ -2,8 +2,9 @@
 
 Each language has a variable-order tree of byte contexts. The code length of a byte is that of its longest known context, an escape (method C:
 as likely as the number of distinct followers) leading to the next shorter one and at last to the uniform byte. A context holds up to ``ORDER`` bytes and does not
-reach beyond the white space before the current word. Statistics are frozen after training, so the code length of a text is the sum over its words:
-each task works a word out once. The language with the shortest code wins.
+reach beyond the white space before the current word. Statistics are frozen after training, so the code length of a text is the sum over its words, and
+that of a word the sum over its bytes: each batch works a distinct word out once, and each task a distinct run of bytes. White space and the ends of words are
+not coded. The language with the shortest code wins.
 
 Trees are fitted on a bounded sample: ``SAMPLE_DOCS`` labelled documents a language, those with the smallest hashes among the ones of at most
 ``SAMPLE_BYTES`` bytes and, where a language has too few of these, among its longer ones.
@@ -19,19 +20,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deedwork.llm.common import fold
-from deedwork.session import ship_package
+from deedwork.llm.common import fold, materialized, python_ready, split_words
 
 ORDER = 4
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 1 << 15
 UNKNOWN = "und"
-_MEMO_WORDS = 300_000
-_LONG_WORD = 64
-_LETTER = re.compile(r"[^\W\d_]")
+_MEMO_GRAMS = 1_000_000
+_BYTES = (1 << 8 * (ORDER + 1)) - 1
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _WORD_CHARACTER.finditer(text))
 
 
 class ContextTrees:
@@ -47,9 +52,8 @@ class ContextTrees:
             total = self.totals[at[lang]].setdefault(gram[:-1], [0, 0])
             total[0] += n
             total[1] += 1
-        self.grams: dict[bytes, list[float]] = {}
-        self.words: dict[bytes, int] = {}
-        self.table = np.zeros((_MEMO_WORDS, len(self.languages)))
+        self.numbers: dict[int, int] = {}
+        self.table = np.zeros((0, len(self.languages)))
 
     def _bits(self, k: int, gram: bytes) -> float:
         bits, seen, totals = 0.0, self.seen[k], self.totals[k]
@@ -62,39 +66,51 @@ class ContextTrees:
             gram = gram[1:]
         return bits + 8.0
 
-    def word(self, word: bytes) -> np.ndarray:
-        """Code lengths in bits, one for each language."""
-        padded, grams, bits = b" " + word, self.grams, np.zeros(len(self.languages))
-        if len(grams) > 1_000_000:
-            grams.clear()
-        for end in range(2, len(padded) + 1):
-            gram = padded[max(0, end - ORDER - 1) : end]
-            lengths = grams.get(gram)
-            if lengths is None:
-                lengths = grams[gram] = np.array([self._bits(k, gram) for k in range(len(self.languages))])
-            bits += lengths
-        return bits
-
-    def text(self, text: str) -> np.ndarray:
-        rows, rest = [], np.zeros(len(self.languages))
-        for word in text.encode("utf-8", "surrogatepass").split():
-            row = self.words.get(word)
-            if row is None:
-                bits = self.word(word)
-                if len(word) > _LONG_WORD or len(self.words) == _MEMO_WORDS:
-                    rest += bits
-                    continue
-                row = self.words[word] = len(self.words)
-                self.table[row] = bits
-            rows.append(row)
-        return rest + self.table[np.array(rows, dtype=np.int64)].sum(axis=0)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not text or not _LETTER.search(text):
-            return UNKNOWN, 0.0
-        bits = self.text(text)
-        best = int(np.argmin(bits))
-        return self.languages[best], float(1.0 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
+    def _grams(self, keys: np.ndarray) -> np.ndarray:
+        """Code lengths of the last bytes of grams, one column for each language; a key holds a gram's length above its bytes."""
+        if len(self.numbers) > _MEMO_GRAMS:
+            self.numbers, self.table = {}, self.table[:0]
+        listed = keys.tolist()
+        new = [key for key in listed if key not in self.numbers]
+        if new:
+            self.numbers.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+            grams = [(key & _BYTES).to_bytes(ORDER + 1, "big")[ORDER + 1 - (key >> 8 * (ORDER + 1)) :] for key in new]
+            self.table = np.concatenate([self.table, np.array([[self._bits(k, gram) for k in range(len(self.languages))] for gram in grams])])
+        return self.table[np.fromiter(map(self.numbers.__getitem__, listed), np.int64, count=len(listed))]
+
+    def words(self, words: pa.Array) -> np.ndarray:
+        """Code lengths in bits of words, one column for each language."""
+        if not len(words):
+            return np.zeros((0, len(self.languages)))
+        listed = words.cast(pa.binary()).to_pylist()
+        sizes = np.fromiter(map(len, listed), np.int64, count=len(listed)) + 1
+        flat = np.frombuffer(b" " + b" ".join(listed), np.uint8).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        before = np.arange(len(flat)) - np.repeat(starts, sizes)
+        keys, length = np.zeros(len(flat), np.int64), np.minimum(before, ORDER) + 1
+        for back in range(ORDER + 1):
+            within = before >= back
+            keys[within] |= flat[np.flatnonzero(within) - back] << 8 * back
+        keys |= length << 8 * (ORDER + 1)
+        coded = pa.array(keys[before > 0]).dictionary_encode()
+        bits, place = self._grams(coded.dictionary.to_numpy()), coded.indices.to_numpy()
+        return np.stack([np.add.reduceat(bits[place, k], starts - np.arange(len(starts))) for k in range(len(self.languages))], axis=1)
+
+    def texts(self, texts: pa.Array) -> np.ndarray:
+        words, sizes = split_words(texts)
+        coded = words.dictionary_encode()
+        bits = self.words(coded.dictionary)
+        doc, at = np.repeat(np.arange(len(sizes)), sizes), coded.indices.to_numpy()
+        return np.stack([np.bincount(doc, weights=bits[at, k], minlength=len(sizes)) for k in range(len(self.languages))], axis=1)
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        told = np.array([bool(t) and has_letter(t) for t in texts.to_pylist()], bool)
+        if not self.languages or not told.any():
+            return [UNKNOWN] * len(told), np.zeros(len(told))
+        bits = self.texts(texts)
+        best = bits.argmin(axis=1)
+        score = 1.0 / np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000.0)).sum(axis=1)
+        return [self.languages[k] if known else UNKNOWN for k, known in zip(best.tolist(), told.tolist(), strict=True)], np.where(told, score, 0.0)
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,15 +130,17 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _MODELS: dict[str, ContextTrees] = {}
 
 
-def _scorer(shared, name: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scorer(shared, name: str, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _MODELS:  # one model for each Python worker
             _MODELS.clear()
             _MODELS[name] = ContextTrees(shared.value)
-        model = _MODELS[name]
         for batch in batches:
-            told = [model.predict(text) for text in batch.pop("text")]
-            yield batch.assign(lang_pred=[lang for lang, _ in told], score=[score for _, score in told])
+            if batch.num_rows:
+                lang, score = _MODELS[name].predict(batch.column(text_at))
+                kept = [name for name in batch.schema.names if name != "text"]
+                columns = [batch.column(c) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
 
     return run
 
@@ -135,8 +153,10 @@ def train(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     order = [F.col("long"), F.xxhash64(F.col("id").cast("string")), F.col("id")]
     picked = rows.select("id", "lang", "long").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     picked = picked.where(F.col("k") <= SAMPLE_DOCS).select(F.col("id").alias("picked_id"), F.col("lang").alias("picked_lang"), F.col("long").alias("picked_long"))
+    # SAMPLE_DOCS ids a language: small enough to go to the texts, which stay where they are.
+    picked = F.broadcast(materialized(picked.distinct(), "language-sample"))
     same = F.col("id").eqNullSafe(F.col("picked_id")) & (F.col("lang") == F.col("picked_lang")) & (F.col("long") == F.col("picked_long"))
-    sample = rows.join(picked.distinct(), same, "left_semi").select("lang", "text")
+    sample = rows.join(picked, same, "left_semi").select("lang", "text")
     counts = sample.mapInPandas(_count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return [(r["lang"], bytes(r["gram"]), r["n"]) for r in counts.collect()]
 
@@ -150,10 +170,12 @@ def identify(
     text if no row is labelled. Ties go to the first language by name. Repeated rows are predicted alike; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    python_ready(spark)
     shared = spark.sparkContext.broadcast(train(docs, held_out, id_col, text_col, lang_col))
     columns = {f"kept_{k}": c for k, c in enumerate(dict.fromkeys((id_col, *keep)))}
-    read = fold(docs, columns | {"text": text_col})
+    own = [k for k, c in enumerate(columns.values()) if c == text_col]
+    # A text that is kept anyway goes to Python once.
+    read = fold(docs, columns | ({} if own else {"text": text_col}))
     out = ", ".join(f"{c} {read.schema[c].dataType.simpleString()}" for c in columns)
-    scored = read.mapInPandas(_scorer(shared, uuid.uuid4().hex), f"{out}, lang_pred string, score double")
+    scored = read.mapInArrow(_scorer(shared, uuid.uuid4().hex, own[0] if own else len(columns)), f"{out}, lang_pred string, score double")
     return scored.select(*(F.col(ours).alias(theirs) for ours, theirs in columns.items()), "lang_pred", "score")
