@@ -16,31 +16,24 @@ VALUE_SHAPES = {
     "url": r"^(?i)https?://",
 }
 
-# What the words of a column name say. A name is cut into words where its letters and digits end; an entry is one word, or several written
-# together: "home_phone", "date of birth" and "zip-code" hold "phone", "dateofbirth" and "zipcode". The classes' names are fixed values.
-_NAMED_PERSON = ("first", "last", "full", "given", "family", "sur", "middle", "maiden", "nick", "contact", "person")
-_NUMBERED_CARD = ("card", "creditcard", "debitcard", "cc")
+# What columns with such data are called. A name is cut into words where its letters and digits end; an entry is a word, or up to three words written
+# together: "home_phone", "date of birth" and "zip-code" hold "phone", "dateofbirth" and "zipcode". The classes' names are fixed values, the lists are ours.
 NAME_WORDS = {
-    "address": {"address", "addr", "street", "postcode", "postalcode", "zip", "zipcode", "pobox"},
-    "credentials": {"password", "passwd", "pwd", "pass", "secret", "token", "credential", "credentials", "authorization"}
-    | {"apikey", "accesskey", "privatekey", "sessionid"},
-    "dob": {"dob", "birthday", "birthdate", "birthyear", "dateofbirth", "dateofdeath"},
-    "email": {"email", "mail", "mailto"},
-    "geo": {"latitude", "longitude", "lat", "lng", "long", "gpslocation", "gpscoords", "geolocation"},
-    "ip_address": {"ip", "ipv4", "ipv6", "ipaddr", "ipaddress", "xforwardedfor"},
-    "mac_address": {"macaddr", "macaddress"},
-    "medical": {"mrn", "medicalrecord", "patientid", "diagnosis", "icd", "icd10", "hipaa", "npi", "dea"},
-    "name": {f"{which}name" for which in _NAMED_PERSON} | {"fname", "lname"},
-    "national_id": {"passport", "nationalid", "taxid", "voterid", "tin", "itin", "ein", "nin", "nino"}
-    | {"aadhaar", "aadhar", "cpf", "cnpj", "dni"}
-    | {f"{who}{paper}" for who in ("driver", "drivers", "driving") for paper in ("license", "licence")},
-    "payment_card": {"creditcard", "debitcard", "iban", "cvv", "cvc", "bankaccount"}
-    | {f"{card}{number}" for card in _NUMBERED_CARD for number in ("number", "num", "no")}
-    | {"accountnumber"},
-    "phone": {"phone", "telephone", "mobile", "cellphone", "fax"},
-    "special_category": {"race", "ethnicity", "religion", "gender", "sexualorientation", "maritalstatus"},
-    "ssn": {"ssn", "socialsecurity"},
-    "username": {"username", "login", "accountname", "handle"},
+    "address": {"address", "housenumber", "streetname", "street", "apartment", "postcode", "postalcode", "zipcode", "zip", "residence"},
+    "credentials": {"password", "passphrase", "passcode", "pincode", "secret", "token", "apikey", "privatekey", "credentials", "otp"},
+    "dob": {"dob", "birthday", "birthdate", "dateofbirth", "birthyear", "yearofbirth", "birthmonth", "placeofbirth"},
+    "email": {"email", "emailaddress", "mailaddress", "mailbox"},
+    "geo": {"latitude", "longitude", "lat", "lon", "lng", "geohash", "coordinates", "geolocation"},
+    "ip_address": {"ip", "ipaddress", "clientip", "remoteip", "sourceip", "ipv4", "ipv6"},
+    "mac_address": {"mac", "macaddress", "hardwareaddress"},
+    "medical": {"diagnosis", "prescription", "medication", "allergy", "allergies", "bloodtype", "patientid", "patientnumber", "healthrecord"},
+    "name": {"firstname", "lastname", "fullname", "surname", "forename", "givenname", "familyname", "middlename", "birthname", "nickname", "customername", "displayname"},
+    "national_id": {"nationalid", "identitycard", "passport", "passportnumber", "taxid", "taxnumber", "driverslicense", "drivinglicence", "residencepermit"},
+    "payment_card": {"cardnumber", "creditcard", "debitcard", "cardholder", "cvc", "cvv", "iban", "bankaccount", "accountnumber"},
+    "phone": {"phone", "phonenumber", "telephone", "tel", "mobile", "mobilenumber", "cellphone", "fax"},
+    "special_category": {"gender", "ethnicity", "religion", "disability", "sexualorientation", "politicalparty", "tradeunion", "maritalstatus"},
+    "ssn": {"ssn", "socialsecurity", "socialsecuritynumber"},
+    "username": {"username", "loginname", "login", "userhandle", "screenname"},
 }
 _MOST_WORDS = 3
 # The more specific class on the left takes the general one on the right out.

@@ -162,10 +162,19 @@ LUHN_SQL = """CASE WHEN length(regexp_replace(v, '[^0-9]', '', 'g')) >= 12 AND l
     lambda d, i: CASE WHEN i % 2 = 1 THEN d::INTEGER WHEN d::INTEGER > 4 THEN d::INTEGER * 2 - 9 ELSE d::INTEGER * 2 END)) % 10 = 0 THEN 'credit_card' END"""
 
 
+# Every text column of the tables with texts, and the words of those that hold prose.
+PII_CELLS = (("documents", "text"), ("documents", "lang"), ("documents", "source"), ("pages", "url"), ("pages", "html"), ("conversations", "role"), ("conversations", "text"))
+PII_PROSE = (("documents", "text"), ("pages", "html"), ("conversations", "text"))
+
+
 @query(
     "pii_value_scan",
-    r"""WITH v AS (SELECT 'documents.text word' AS place, unnest(regexp_split_to_array(text, '\s+')) AS v FROM documents UNION ALL SELECT 'documents.source', source FROM documents
-      UNION ALL SELECT 'documents.text', text FROM documents UNION ALL SELECT 'pages.url', url FROM pages),
+    "WITH v AS ("
+    + " UNION ALL ".join(
+        [f"SELECT '{t}.{c}' AS place, {c} AS v FROM {t}" for t, c in PII_CELLS]
+        + [rf"SELECT '{t}.{c} word', unnest(regexp_split_to_array({c}, '\s+')) FROM {t}" for t, c in PII_PROSE]
+    )
+    + r"""),
     l AS (SELECT place, unnest([CASE WHEN regexp_matches(v, '^[^\s@]+@[^\s@]+\.[^\s@]+$') THEN 'email' END, CASE WHEN regexp_matches(v, '^[+]?[\d\s\-().]{7,}$') THEN 'phone' END,
       CASE WHEN regexp_matches(v, '^\d{3}-\d{2}-\d{4}$') THEN 'ssn' END, CASE WHEN regexp_matches(v, '^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$') THEN 'ip' END,
       CASE WHEN regexp_matches(v, '^(?i)https?://') THEN 'url' END, """
@@ -173,21 +182,17 @@ LUHN_SQL = """CASE WHEN length(regexp_replace(v, '[^0-9]', '', 'g')) >= 12 AND l
     + """]) AS label FROM v) SELECT place, label, count(*) AS n FROM l WHERE label IS NOT NULL GROUP BY ALL""",
 )
 def pii_value_scan(t: Tables) -> DataFrame:
-    """Labels of all cells of documents.source, documents.text and pages.url, and of every word of documents.text; other columns are not read."""
-    words = F.filter(F.split("text", r"\s+"), pii.could_be_labelled)
-    documents = t.documents.select(
-        F.explode(
-            F.concat(
-                F.transform(words, lambda w: F.struct(F.lit("documents.text word").alias("place"), w.alias("v"))),
-                F.array(
-                    F.struct(F.lit("documents.source").alias("place"), F.col("source").alias("v")),
-                    F.struct(F.lit("documents.text").alias("place"), F.col("text").alias("v")),
-                ),
-            )
-        ).alias("c")
-    ).select("c.*")
-    pages = t.pages.select(F.lit("pages.url").alias("place"), F.col("url").alias("v"))
-    values = documents.unionByName(pages)
+    """Labels of every cell of the text columns of documents, pages and conversations, and of every word of their prose. Each table is read once."""
+    parts = []
+    for name in dict.fromkeys(table for table, _ in PII_CELLS):
+        cells = [F.struct(F.lit(f"{name}.{c}").alias("place"), F.col(c).alias("v")) for table, c in PII_CELLS if table == name]
+        each = [F.array(*cells)]
+        for c in (c for table, c in PII_PROSE if table == name):
+            words = F.coalesce(F.filter(F.split(c, r"\s+"), pii.could_be_labelled), F.array().cast("array<string>"))
+            place = F.lit(f"{name}.{c} word").alias("place")
+            each.append(F.transform(words, lambda w: F.struct(place, w.alias("v"))))
+        parts.append(getattr(t, name).select(F.explode(F.concat(*each)).alias("c")).select("c.*"))
+    values = reduce(DataFrame.unionByName, parts)
     return (
         values.select("place", F.explode(pii.value_labels(F.col("v"))).alias("label"))
         .groupBy("place", "label")

@@ -80,10 +80,7 @@ def stream_event_time(t: Tables) -> DataFrame:
     path, side = t.scratch("timed"), t.scratch("timed" + late.LATE_SUFFIX)
     stream = t.stream("events").select("event_id", F.col("ts").alias("event_time"))
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        late.land_on_time(batch, batch_id, path, side, column="event_time", key="event_id", delay="PT5S")
-
-    landing.run_available(stream, t.scratch("checkpoint"), each)
+    late.land_once(stream, path, side, t.scratch("checkpoint"), column="event_time", key="event_id", delay="PT5S")
     both = landing.landed(t.spark, path, stream.schema).unionByName(landing.landed(t.spark, side, stream.schema))
     return both.select("event_id", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_time"))
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deedwork.functions.durations import seconds_of
-from deedwork.streaming.landing import BATCH, STATE_SUFFIX, land_batch, landed, note, noted
+from deedwork.streaming.landing import BATCH, STATE_SUFFIX, land_batch, land_stream, landed, note, noted, run_available
 
 LATE_SUFFIX = "__late_events"
+ADMITTED_SUFFIX = "__admitted"
 # Names that mean event time.
 EVENT_TIME_NAMES = ("event_time", "event_at", "occurred_at", "ts", "timestamp", "created_at", "recorded_at")
 
@@ -96,26 +97,36 @@ def settled(spark: SparkSession, path: str, late_path: str, schema: T.StructType
     return kept, landed(spark, late_path, schema).unionByName(since)
 
 
-def land_on_time(batch: DataFrame, batch_id: int, path: str, late_path: str, *, column: str, key: str, delay: str) -> None:
-    """Land the rows that the stored watermark still admits once each, and all others as late rows.
-
-    The watermark is the newest event time of earlier batches less ``delay``. A repeated key within it, in this batch or landed
-    before, is dropped; behind it nothing can be told apart, so those rows are kept beside the table and none is lost. Only rows above
-    the watermark are read back.
-    """
-    spark, schema, state = batch.sparkSession, batch.schema, path.rstrip("/") + STATE_SUFFIX
-    newest = noted(spark, state, batch_id - 1, schema[column].dataType)
-    mark = newest - F.make_dt_interval(secs=F.lit(seconds_of(delay)))
-    behind = F.coalesce(F.col(column) < mark, F.lit(False))
-    fresh = batch.where(~behind).dropDuplicates([key])
-    if batch_id:
-        held = spark.read.schema(T.StructType([*schema.fields, T.StructField(BATCH, T.IntegerType())])).parquet(path)
-        fresh = fresh.join(held.where((F.col(BATCH) < batch_id) & (F.col(column) >= mark)).select(key), key, "left_anti")
-    land_batch(fresh, batch_id, path)
+def _land_admitted(batch: DataFrame, batch_id: int, path: str, late_path: str, *, column: str, delay: str) -> None:
+    """One micro-batch split at the watermark: the newest event time of earlier batches less ``delay``."""
+    state, kind = path.rstrip("/") + STATE_SUFFIX, batch.schema[column].dataType
+    mark = noted(batch.sparkSession, state, batch_id - 1, kind) - F.make_dt_interval(secs=F.lit(seconds_of(delay)))
+    behind = F.col(column).isNull() | F.coalesce(F.col(column) < mark, F.lit(False))
+    land_batch(batch.where(~behind), batch_id, path)
     land_batch(batch.where(behind), batch_id, late_path)
     _note_newest(batch, batch_id, state, column)
 
 
+def land_once(stream: DataFrame, path: str, late_path: str, checkpoint: str, *, column: str, key: str, delay: str) -> None:
+    """Land the rows that a watermark ``delay`` behind the newest event time admits, once for each key, and all others as late rows.
+
+    Two streams run one after the other. The first splits each micro-batch at the watermark of the batches before it; rows behind it, and rows without an event
+    time, are kept beside the table and none is lost. The second drops repeats among the admitted rows with the engine's keyed state, which forgets
+    a key when the watermark has passed it; no batch reads the target. Its own watermark stays behind the first one by a second, so it takes every admitted row.
+    """
+    admitted = path.rstrip("/") + ADMITTED_SUFFIX
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        _land_admitted(batch, batch_id, admitted, late_path, column=column, delay=delay)
+
+    run_available(stream, f"{checkpoint.rstrip('/')}/split", split)
+    fields = T.StructType([*stream.schema.fields, T.StructField(BATCH, T.IntegerType())])
+    rows = stream.sparkSession.readStream.schema(fields).parquet(admitted).drop(BATCH)
+    kind = rows.schema[column].dataType
+    timed = rows.withColumn("_at", F.col(column).cast("timestamp")).withWatermark("_at", f"{int(seconds_of(delay)) + 1} seconds")
+    land_stream(timed.dropDuplicatesWithinWatermark([key]).drop("_at").withColumn(column, F.col(column).cast(kind)), path, f"{checkpoint.rstrip('/')}/once")
+
+
 def freshness(commits: DataFrame, reference: str, objective: str, *, table: str, at: str, operation: str) -> DataFrame:
     """Per table, the age of the newest commit that wrote data, against the objective.
 

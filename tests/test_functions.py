@@ -131,6 +131,17 @@ def test_luhn(spark, value, valid):
         ("credit_card_number", ["payment_card"]),
         ("date_of_birth", ["dob"]),
         ("patient_id", ["medical"]),
+        ("HOME PHONE-NUMBER", ["phone"]),
+        ("remote_ip", ["ip_address"]),
+        ("mac-address", ["mac_address"]),
+        ("customer.zip-code", ["address"]),
+        ("lat", ["geo"]),
+        ("drivers_license", ["national_id"]),
+        ("marital status", ["special_category"]),
+        ("api_key", ["credentials"]),
+        ("social security number", ["ssn"]),
+        ("plate", []),
+        ("shipment", []),
     ],
 )
 def test_column_names(column, classes):

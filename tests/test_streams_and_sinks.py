@@ -60,16 +60,32 @@ def test_streams_keep_every_row(spark, tables, tmp_path, files, newest_first):
         assert got.exceptAll(want).isEmpty()
 
 
-def test_repeats_above_the_watermark_land_once(spark):
-    path, side = scratch_path(spark, "timed"), scratch_path(spark, "timed-late")
+def test_repeats_above_the_watermark_land_once(spark, tmp_path):
+    """Batch by batch, each run a restart; a repeat lands once while the watermark has not passed it, what is behind it is kept beside."""
+    source, path, side, checkpoint = str(tmp_path / "in"), scratch_path(spark, "timed"), scratch_path(spark, "timed-late"), scratch_path(spark, "checkpoint")
     start = dt.datetime(2024, 1, 1)
-    batches = [[(1, 0), (1, 1), (2, 10)], [(2, 9), (3, 2), (4, 30)], [(4, 29), (5, 31)], [], [(6, None)]]
+    batches = [[(1, 0), (1, 1), (2, 10)], [(2, 9), (3, 2), (4, 30)], [(4, 29), (5, 31)], [], [(6, None), (7, 25), (5, 33), (8, 26)]]
+    sent = 0
     for number, rows in enumerate(batches):
         batch = spark.createDataFrame([(k, None if s is None else start + dt.timedelta(seconds=s)) for k, s in rows], "k int, at timestamp_ntz")
-        for _ in range(2):  # a batch that runs again changes nothing
-            late.land_on_time(batch, number, path, side, column="at", key="k", delay="PT5S")
-    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == [1, 2, 4, 5, 6]
-    assert [r["k"] for r in spark.read.parquet(side).collect()] == [3]
+        batch.coalesce(1).write.mode("append").parquet(source)
+        sent += len(rows)
+        for _ in range(2):  # a run without new rows changes nothing
+            stream = spark.readStream.schema("k int, at timestamp_ntz").parquet(source)
+            late.land_once(stream, path, side, checkpoint, column="at", key="k", delay="PT5S")
+    landed_rows = sorted(r["k"] for r in landing.landed(spark, path, stream.schema).collect())
+    late_rows = sorted(r["k"] for r in landing.landed(spark, side, stream.schema).collect())
+    assert landed_rows == [1, 2, 4, 5, 8] and late_rows == [3, 6, 7]
+    assert len(landed_rows) + len(late_rows) + len([1, 2, 4, 5]) == sent  # and as many repeats
+
+
+def test_shuffled_files_lose_no_row(spark, tables, tmp_path):
+    parts, stream = parts_of(spark, tables.events.select("event_id", "ts").unionByName(tables.events.select("event_id", "ts").limit(300)).orderBy(F.rand(3)), 5)
+    path, side = scratch_path(spark, "timed"), scratch_path(spark, "timed-late")
+    late.land_once(stream, path, side, scratch_path(spark, "checkpoint"), column="ts", key="event_id", delay="P2D")
+    kept, behind = (landing.landed(spark, p, stream.schema) for p in (path, side))
+    assert kept.count() == kept.select("event_id").distinct().count()
+    assert kept.select("event_id").union(behind.select("event_id")).distinct().count() == tables.events.count()
 
 
 def test_a_restarted_stream_lands_nothing_twice(spark, tables):
