@@ -7,9 +7,8 @@ Ids of 61 bits and more are refused.
 
 A file: ``MAGIC``; the words; the block offsets; the documents (id and number of ids, in Arrow's stream format); the four numbers ``_END`` and ``MAGIC``.
 
-Writing: texts are encoded where they lie, the ids are sorted by document through range partitions, and each task writes files of its own. The index that
-comes of it names the files of successful attempts only. Equal sort keys are told apart by a number of the stored row, so a key that many rows share is
-cut by the ranges too. Reading: a task takes whole files and unpacks a few blocks at a time.
+Writing: texts are dealt out by ranges of their document ids, and each task encodes its range in order and writes files of its own. The index that comes of it names
+the files of successful attempts only. Rows that share an id are told apart by their text and their place in the table, so the ranges cut them too. Reading: a task takes whole files and unpacks a few blocks at a time.
 """
 
 from __future__ import annotations
@@ -20,14 +19,15 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deedwork.llm.common import fold, materialized, place, python_ready
+from deedwork.llm.common import fold, materialized, place, python_ready, split_words
 from deedwork.session import scratch_path
 
 BLOCK_IDS = 8192
@@ -37,7 +37,9 @@ READ_BLOCKS = 64
 MAX_READ_TASKS = 20_000
 MAGIC = b"S8BWORDS"
 _END = struct.Struct("<QQQQ")
-_MEMO_WORDS = 400_000
+BATCH_BYTES = 6 << 20
+_MEMO_WORDS = 500_000
+_ENCODED_WORDS = 10_000
 
 #: Fixed values of the code: (ids in a word, bits of each) by selector; the last is the escape.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -197,79 +199,71 @@ class TokenFile:
             start += n
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+#: Part of the names of special tokens; a text that holds it is split as it is.
+_SPECIAL = "<|"
+#: A clause's marks after a letter, and what replaces them: a word of their own.
+_TAIL, _APART = r"([a-z])([.,;:!?*$&#%]+)([ \t-\r]|$)", r"\1 \2\3"
 
 
 class _ByWords:
-    """Ids of texts from the ids of their words, each encoded once by the tokenizer."""
+    """Ids of texts from the ids of their words, each encoded once by the tokenizer; its normaliser folds case, so A-Z are lower-cased before."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.clear()
 
     def clear(self) -> None:
-        self.numbers, self.flat = _Numbers(), np.zeros(0, np.uint32)
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.numbers: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def batch(self, texts: list[bytes]) -> list[np.ndarray]:
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), _TAIL, _APART)
+        words, counts = split_words(pc.if_else(pc.match_substring(texts, _SPECIAL), texts, plain))
+        coded = words.dictionary_encode()
         if len(self.numbers) > _MEMO_WORDS:
             self.clear()
-        known = len(self.numbers)
-        at = [np.fromiter(map(self.numbers.__getitem__, words), np.int64, count=len(words)) for words in (t.split() for t in texts)]
-        new = [w.decode() for w in islice(self.numbers, known, None)]
+        listed = coded.dictionary.to_pylist()
+        new = [w for w in listed if w not in self.numbers]
         if new:
-            told = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            told = []
+            for start in range(0, len(new), _ENCODED_WORDS):
+                told += [e.ids for e in self.tokenizer.encode_batch_fast(new[start : start + _ENCODED_WORDS], add_special_tokens=False)]
             sizes = np.fromiter(map(len, told), np.int64, count=len(told))
+            self.numbers.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in told for i in ids), np.uint32, count=int(sizes.sum()))])
-        return list(map(self._ids, at))
-
-    def _ids(self, at: np.ndarray) -> np.ndarray:
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(told), np.uint32, count=int(sizes.sum()))])
+        at = np.fromiter(map(self.numbers.__getitem__, listed), np.int64, count=len(listed))[coded.indices.to_numpy()]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
-        places = np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-        return self.flat[places]
+        ids = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)[:-1]])
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(json_path: str, by_words: bool) -> Callable[[list[bytes]], list[np.ndarray]]:
+def _encoder(json_path: str, by_words: bool) -> Callable[[pa.Array], list[np.ndarray]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(json_path)
     if by_words:
         return _ByWords(tokenizer).batch
-    return lambda texts: [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-
+    return lambda texts: [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
 
-def _tokenise(json_path: str, by_words: bool, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = _encoder(json_path, by_words)
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                found = [np.append(ids, np.uint32(end_id)) for ids in encoded([t.as_py() or b"" for t in texts.slice(start, 512)])]
-                data = pa.array([ids.astype("<u2" if ids.max() <= 0xFFFF else "<u4").tobytes() for ids in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(map(len, found)), pa.int64()), data], ["id", "n", "ids"])
 
-    return run
-
-
-def _write(folder: str, file_ids: int, id_type: pa.DataType):
+def _write(json_path: str, by_words: bool, end_id: int, folder: str, file_ids: int):
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_words", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoded = _encoder(json_path, by_words)
         writer, part, seq = None, 0, 0
         for batch in batches:
-            for k in range(batch.num_rows):
-                part, doc, n, ids = (batch.column(c)[k].as_py() for c in ("part", "id", "n", "ids"))
-                writer = writer or _Writer(folder, id_type)
-                writer.add(doc, np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype(np.uint32))
+            if not batch.num_rows:
+                continue
+            part = batch.column("part")[0].as_py()
+            for doc, ids in zip(batch.column("id"), encoded(pc.fill_null(batch.column("text"), "")), strict=True):
+                writer = writer or _Writer(folder, batch.column("id").type)
+                writer.add(doc.as_py(), np.append(ids, np.uint32(end_id)))
                 if writer.n_ids >= file_ids:
                     yield pa.RecordBatch.from_pylist([{"part": part, "seq": seq, **writer.close()}], schema)
                     writer, seq = None, seq + 1
@@ -292,22 +286,18 @@ def write_tokens(
     """Write the ids of all texts in ascending order of ``id_col``, null last; returns the index of the files, stored.
 
     One row a file: ``path``, ``first_id`` (ids in all files before), ``n_docs``, ``n_ids``, ``n_words``. Each text is followed by ``end_id``, a null or empty one is
-    that alone. ``by_words`` encodes every distinct word of a batch once; it is right for tokenizers to which white space is a border and no token, and others
-    take False. Rows that repeat an id are documents of their own, side by side in no stated order; an empty table has no files. ``json_path`` names a
+    that alone. ``by_words`` encodes every distinct word once, in lower case; it is right for tokenizers that fold case and take white space and the change from letters to
+    marks as borders, white space being no token, and others take False. Rows that repeat an id are documents of their own, side by side; an empty table has no files. ``docs`` is a stored table, as its rows keep their places. ``json_path`` names a
     file that all executors have, ``folder`` one that they share, by default in the scratch folder.
     """
     spark: SparkSession = docs.sparkSession
-    python_ready(spark)
+    python_ready(spark, BATCH_BYTES)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder or scratch_path(spark, "tokens"))
     folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    read = fold(docs, {"id": id_col, "text": text_col})
-    id_type = read.schema["id"].dataType.simpleString()
-    ids = read.mapInArrow(_tokenise(json_path, by_words, end_id), f"id {id_type}, n long, ids binary")
-    ids = materialized(ids.withColumn("row", F.monotonically_increasing_id()), "document-ids")
-    order = [F.col("id").asc_nulls_last(), F.col("row")]
-    dealt = ids.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "id", "n", "ids")
-    arrow_type = ids.select("id").limit(0).toArrow().schema.field("id").type
-    index = dealt.mapInArrow(_write(folder, file_ids, arrow_type), "part int, seq int, path string, n_docs long, n_ids long, n_words long")
+    read = fold(docs, {"id": id_col, "text": text_col}).select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("id").asc_nulls_last(), F.col("hash"), F.col("row")]
+    dealt = read.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "id", "text")
+    index = dealt.mapInArrow(_write(json_path, by_words, end_id, folder, file_ids), "part int, seq int, path string, n_docs long, n_ids long, n_words long")
     index = materialized(index, "token-files")
     # A row a file: few enough to be summed in one place.
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)

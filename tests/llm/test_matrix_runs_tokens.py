@@ -9,6 +9,7 @@ from itertools import permutations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from conftest import SMALL
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from deedwork.llm import filter_audit, periodic_runs, queries, token_files
+from deedwork.llm.common import split_words
 
 ODD = [
     (3, "a b a b a b a b"),
@@ -42,6 +44,16 @@ def words_of(text):
     return (text or "").encode().split()
 
 
+def test_words_are_split_alike():
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(["a", "é", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "\u2003", "\x00"], k=rng.randint(0, 12))) for _ in range(3000)]
+    words, sizes = split_words(pa.array([None, *texts, ""]))
+    want = [t.encode().split() for t in ["", *texts, ""]]
+    assert sizes.tolist() == list(map(len, want))
+    assert words.cast(pa.binary()).to_pylist() == [w for ws in want for w in ws]
+    assert split_words(pa.array([], pa.string()))[1].tolist() == []
+
+
 # --- filter audit
 
 
@@ -258,10 +270,10 @@ def test_token_query_against_the_tokenizer(spark):
 
 def test_words_encode_like_whole_texts():
     rng = random.Random(2)
-    odd = ["a", "É", "é", "́", " ", "\t", "\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "　", "'", "s", "ß", "İ", "Σ", "<|endoftext|>", "<|startoftext|>", "1", "½", "漢", "😀", "‍", "\x00", "Ａ", "ﬁ", "-", "#"]
+    odd = ["a", "Z", "a.", "b,;", ".", "<|ENDOFTEXT|>", "<", "|>", "É", "é", "́", " ", "\t", "\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "　", "'", "s", "ß", "İ", "Σ", "<|endoftext|>", "<|startoftext|>", "1", "½", "漢", "😀", "‍", "\x00", "Ａ", "ﬁ", "-", "#"]
     texts = ["".join(rng.choices(odd, k=rng.randint(0, 30))) for _ in range(5000)]
     encode = token_files._encoder(public_tokenizers.path("word_bpe_49k.json"), True)
-    assert [[*ids.tolist(), 1] for ids in encode([t.encode() for t in texts])] == plain_ids(texts)
+    assert [[*ids.tolist(), 1] for ids in encode(pa.array(texts))] == plain_ids(texts)
 
 
 @pytest.mark.parametrize("by_words", [True, False])
