@@ -123,15 +123,47 @@ def noisy_value(value: Fraction, delta: Fraction, scale: Fraction, draw: Stream)
     return f"{sign}{digits[:-VALUE_PLACES]}.{digits[-VALUE_PLACES:]}"
 
 
+KENDALL, SPEARMAN = "kendall", "spearman"
+
+
+def rank_value(kind: str, top: int, records: int) -> Fraction:
+    """Kendall's ``s`` over the number of pairs, or Spearman's ``a4`` over its largest value, a third of n³ - n."""
+    return Fraction(top, records * (records - 1) // 2) if kind == KENDALL else Fraction(3 * top, records**3 - records)
+
+
+def rank_sensitivity(kind: str, per_unit: int, floor_rows: int) -> Fraction:
+    """How far a unit of at most m = ``per_unit`` rows moves the value, with no fewer than N = ``floor_rows`` rows beside or without it.
+
+    Kendall: 4m / N. Spearman: ``a4`` is the sum of sgn(x_i - x_j) · sgn(y_i - y_k) over all triples of rows, as twice a centred mid-rank is a sum of signs; of n rows at
+    most 3mn² triples hold one of the unit's. Three times that over n³ - n is 9mn / (n² - 1). The largest value itself shrinks by as many triples, for 3mn / (n² - 1)
+    more of a value of at most 1. Both fall with n, so 12mN / (N² - 1).
+    """
+    if kind == KENDALL:
+        return Fraction(4 * per_unit, floor_rows)
+    return Fraction(12 * per_unit * floor_rows, floor_rows**2 - 1)
+
+
+def lattice_points(stats: DataFrame, top: str, kind: str, *, per_unit: int, floor_rows: int) -> DataFrame:
+    """``stats`` (one row with ``records`` and ``top``) with ``point``, the exact place of the value on the lattice, as text."""
+    delta = rank_sensitivity(kind, per_unit, floor_rows)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            points = [lattice_point(rank_value(kind, int(s), int(n)), delta) for n, s in zip(batch["records"], batch[top])]
+            yield batch.assign(point=[str(p) for p in points])
+
+    return stats.mapInPandas(add, T.StructType([*stats.schema.fields, T.StructField("point", T.StringType())]))
+
+
 def noisy_rank(
-    stats: DataFrame, top: str, *, per_unit: int, floor_rows: int, scale: Fraction, seed: bytes, label: str
+    stats: DataFrame, top: str, *, per_unit: int, floor_rows: int, scale: Fraction, seed: bytes, label: str, kind: str = KENDALL
 ) -> DataFrame:
     """A rank correlation released with noise. ``stats``: one row with ``records`` and ``top``.
 
-    The value is Kendall's ``s`` over the number of record pairs. A unit of at most ``per_unit`` rows moves it by at most four
-    times that over the public ``floor_rows``; with fewer rows the job fails, since the noise would not cover it.
+    The noise covers what a unit of at most ``per_unit`` rows can move the value by (``rank_sensitivity``) over the public ``floor_rows``; with fewer rows
+    the job fails, since it would not.
     """
-    delta = Fraction(4 * per_unit, floor_rows)
+    delta = rank_sensitivity(kind, per_unit, floor_rows)
 
     def release(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -139,7 +171,7 @@ def noisy_rank(
             for n, s in zip(batch["records"], batch[top]):
                 if n < floor_rows:
                     raise ValueError(f"{label}: fewer rows than the public floor of {floor_rows}")
-                out.append(noisy_value(Fraction(int(s), int(n) * (int(n) - 1) // 2), delta, scale, Stream(seed, label)))
+                out.append(noisy_value(rank_value(kind, int(s), int(n)), delta, scale, Stream(seed, label)))
             yield pd.DataFrame({"statistic": [label] * len(out), "noisy": out})
 
     return stats.select("records", top).mapInPandas(release, "statistic string, noisy string")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from deedwork.functions.crypto import hmac_pads
 from deedwork.functions.values import money
 from deedwork.operators import contribution, noise, profile, windows
-from deedwork.plans.profiling import PAIR_SQL, graded_lines, line_pairs, order_history
+from deedwork.plans.profiling import HISTORY_SQL, PAIR_SQL, graded_lines, line_pairs, order_history
 from deedwork.plans.registry import query
 from deedwork.plans.relational import ORDER_PRIORITIES
 from deedwork.session import Tables
@@ -70,14 +70,19 @@ def nation_orders(t: Tables) -> DataFrame:
 NATION_ROOM = 40
 
 
+def entities_sql(label: str, most: int) -> str:
+    """CTEs whose last one, ``f``, says of every customer whether it is ``kept`` within ``most`` orders of its nation."""
+    return f"""s AS (SELECT c_nationkey AS nation, o_custkey, count(*) AS size FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL HAVING count(*) <= {most}),
+    e AS (SELECT *, {netstrings_sql("o_custkey")} AS ent FROM s),
+    p AS (SELECT *, {drawn_sql(label, "_u", "_e")} AS _p FROM (SELECT *, {unit_sql("nation")} AS _u, {netstrings_sql("ent")} AS _e FROM e)),
+    d AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY _p) AS rn FROM p),
+    f AS (SELECT nation, rn, o_custkey, size <= {most} AS kept, {most} - CASE WHEN size <= {most} THEN size ELSE 0 END AS room FROM d WHERE rn = 1
+      UNION ALL SELECT d.nation, d.rn, d.o_custkey, d.size <= f.room, f.room - CASE WHEN d.size <= f.room THEN d.size ELSE 0 END FROM f JOIN d ON d.nation = f.nation AND d.rn = f.rn + 1)"""
+
+
 @query(
     "dp_bound_entities",
-    f"""WITH RECURSIVE s AS (SELECT c_nationkey AS nation, o_custkey, count(*) AS size FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL HAVING count(*) <= {NATION_ROOM}),
-    e AS (SELECT *, {netstrings_sql("o_custkey")} AS ent FROM s),
-    p AS (SELECT *, {drawn_sql("bound", "_u", "_e")} AS _p FROM (SELECT *, {unit_sql("nation")} AS _u, {netstrings_sql("ent")} AS _e FROM e)),
-    o AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY _p) AS rn FROM p),
-    f AS (SELECT nation, rn, o_custkey, size <= {NATION_ROOM} AS kept, {NATION_ROOM} - CASE WHEN size <= {NATION_ROOM} THEN size ELSE 0 END AS room FROM o WHERE rn = 1
-      UNION ALL SELECT o.nation, o.rn, o.o_custkey, o.size <= f.room, f.room - CASE WHEN o.size <= f.room THEN o.size ELSE 0 END FROM f JOIN o ON o.nation = f.nation AND o.rn = f.rn + 1)
+    f"""WITH RECURSIVE {entities_sql("bound", NATION_ROOM)}
     SELECT f.nation::BIGINT AS nation, f.o_custkey, o_orderkey FROM f JOIN orders ON f.o_custkey = orders.o_custkey WHERE kept""",
 )
 def dp_bound_entities(t: Tables) -> DataFrame:
@@ -187,18 +192,31 @@ def history_spine() -> list[tuple[str, str]]:
     return cells + sorted({(member, "other") for member, _ in cells})
 
 
-@query("dp_noisy_history")
-def dp_noisy_history(t: Tables) -> DataFrame:
-    """The history of the kept entities on its whole public spine, with noise."""
-    kept = contribution.bound_entities(nation_orders(t), "nation", "o_custkey", seed=SEED, most=200, label="history")
+HISTORY_ROOM = 200
+
+
+@query(
+    "dp_exact_history",
+    f"""WITH RECURSIVE {entities_sql("history", HISTORY_ROOM)}, {HISTORY_SQL.replace("FROM orders)", "FROM orders WHERE o_custkey IN (SELECT o_custkey FROM f WHERE kept))", 1)},
+    spine AS (SELECT * FROM (VALUES {", ".join(f"('{m}', '{c}')" for m, c in history_spine())}) v(member, cell)),
+    named AS (SELECT c.member, coalesce(s.cell, 'other') AS cell FROM cells c LEFT JOIN spine s ON c.member = s.member AND c.cell = s.cell)
+    SELECT s.member, s.cell, count(n.cell) AS n FROM spine s LEFT JOIN named n ON s.member = n.member AND s.cell = n.cell GROUP BY ALL""",
+)
+def dp_exact_history(t: Tables) -> DataFrame:
+    """The history of the kept entities on its whole public spine."""
+    kept = contribution.bound_entities(nation_orders(t), "nation", "o_custkey", seed=SEED, most=HISTORY_ROOM, label="history")
     counts = profile.history(kept, entity="o_custkey", start="start", end="stop", tie="o_orderkey", tracked=TRACKED)
     # What the public spine does not name goes to its member's cell "other", so each count lands once.
     spine = t.spark.createDataFrame(history_spine(), "member string, cell string")
     named = spine.withColumn("on_spine", F.lit(True))
     cell = F.when(F.col("on_spine"), F.col("cell")).otherwise("other").alias("cell")
     counts = counts.join(F.broadcast(named), ["member", "cell"], "left").groupBy("member", cell).agg(F.sum("n").alias("n"))
-    cells = spine.join(counts, ["member", "cell"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return noise.noisy_counts(cells, ["member", "cell"], "n", variance=VARIANCE, seed=SEED, label="orders.history")
+    return spine.join(counts, ["member", "cell"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query("dp_noisy_history")
+def dp_noisy_history(t: Tables) -> DataFrame:
+    return noise.noisy_counts(dp_exact_history(t), ["member", "cell"], "n", variance=VARIANCE, seed=SEED, label="orders.history")
 
 
 @query(
@@ -252,6 +270,40 @@ def dp_noisy_rank(t: Tables) -> DataFrame:
     )
 
 
+SPEARMAN_STEP = (12 * LINES_PER_ORDER * ROW_FLOOR, ROW_FLOOR**2 - 1)
+
+
+@query(
+    "dp_exact_spearman",
+    f"""WITH {bounded_sql("kept", "lineitem", "l_orderkey", ("l_linenumber", "l_partkey", "l_suppkey"), "rank", LINES_PER_ORDER)},
+    r AS (SELECT 2 * rank() OVER (ORDER BY l_discount) + count(*) OVER (PARTITION BY l_discount) - 1 AS rx, 2 * rank() OVER (ORDER BY l_quantity) + count(*) OVER (PARTITION BY l_quantity) - 1 AS ry, count(*) OVER () AS n FROM kept),
+    a AS (SELECT sum((rx - n - 1)::HUGEINT * (ry - n - 1)) AS a4, count(*)::HUGEINT AS n FROM r),
+    q AS (SELECT a4, n, 3 * a4 * {2**20}::HUGEINT * {SPEARMAN_STEP[1]} AS top, (n * n * n - n) * {SPEARMAN_STEP[0]} AS bottom FROM a)
+    SELECT a4::VARCHAR AS a4, n::BIGINT AS records, ((2 * top + bottom + 2 * bottom * 1000000000::HUGEINT) // (2 * bottom) - 1000000000)::BIGINT::VARCHAR AS point FROM q""",
+)
+def dp_exact_spearman(t: Tables) -> DataFrame:
+    """Spearman's statistic over at most two lines of each order, and its place on the lattice that its noise is drawn on."""
+    content = ("l_linenumber", "l_partkey", "l_suppkey")
+    kept = contribution.bound_rows(t.lineitem, ["l_orderkey"], content, seed=SEED, most=LINES_PER_ORDER, label="rank")
+    stats = profile.spearman_a4(graded_lines(kept), "discount", "quantity")
+    return noise.lattice_points(stats, "a4", noise.SPEARMAN, per_unit=LINES_PER_ORDER, floor_rows=ROW_FLOOR)
+
+
+@query("dp_noisy_spearman")
+def dp_noisy_spearman(t: Tables) -> DataFrame:
+    """Spearman's rho of two columns over bounded rows, with noise."""
+    return noise.noisy_rank(
+        dp_exact_spearman(t),
+        "a4",
+        kind=noise.SPEARMAN,
+        per_unit=LINES_PER_ORDER,
+        floor_rows=ROW_FLOOR,
+        scale=Fraction(1, 100),
+        seed=SEED,
+        label="lineitem.discount.quantity.rho",
+    )
+
+
 def rough_cells(t: Tables, second: str) -> DataFrame:
     """Complete two-way cells whose counts were roughened, as noise would, but repeatably."""
     counts = t.orders.groupBy("o_orderpriority", "o_orderstatus" if second == "status" else F.year("o_orderdate").alias("year"))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import math
 import random
 from collections import Counter, defaultdict
 from decimal import Decimal
@@ -345,6 +346,55 @@ def test_the_noise_has_the_moments_of_its_variance():
     assert abs(mean) < 0.25 and abs(variance - 9) < 1
 
 
+@pytest.mark.parametrize("variance", [Fraction(25, 4), Fraction(1, 2), Fraction(40)])
+def test_the_noise_fits_its_law(variance):
+    """Pearson's test over many seeds, one draw of a cell each, as a release draws: cells of at least ten expected draws, and both tails."""
+    seeds = 6000
+    drawn = Counter(noise.discrete_gaussian(variance, noise.Stream(f"seed {k}".encode(), noise.cell_label("t", ["cell"]))) for k in range(seeds))
+    weight = {x: math.exp(-(x * x) / (2 * float(variance))) for x in range(-80, 81)}
+    share = {x: w / sum(weight.values()) for x, w in weight.items()}
+    edge = max(x for x in share if seeds * share[x] >= 10)
+    cells = [(drawn[x], seeds * share[x]) for x in range(-edge, edge + 1)]
+    for side in (-1, 1):
+        cells.append((sum(n for x, n in drawn.items() if x * side > edge), seeds * sum(p for x, p in share.items() if x * side > edge)))
+    statistic = sum((n - want) ** 2 / want for n, want in cells if want > 0)
+    freedom = len(cells) - 1
+    # The 99.9 % point of chi-square, by the cube approximation of Wilson and Hilferty.
+    bound = freedom * (1 - 2 / (9 * freedom) + 3.09 * math.sqrt(2 / (9 * freedom))) ** 3
+    assert sum(drawn.values()) == seeds and statistic < bound
+
+
+def signed(a, b):
+    return (a > b) - (a < b)
+
+
+def test_rank_noise_covers_what_a_unit_can_do():
+    rng = random.Random(11)
+    for _ in range(300):
+        m, floor = rng.randint(1, 3), rng.randint(6, 10)
+        rows = [(rng.randrange(4), rng.randrange(4)) for _ in range(floor)]
+        more = rows + [(rng.choice([-9, 9, 1]), rng.choice([-9, 9, 2])) for _ in range(m)]
+
+        def both(rows):
+            kendall = sum(signed(a[0], b[0]) * signed(a[1], b[1]) for a, b in itertools.combinations(rows, 2))
+            a4 = sum(sum(signed(a[0], b[0]) for b in rows) * sum(signed(a[1], b[1]) for b in rows) for a in rows)
+            return [noise.rank_value(k, top, len(rows)) for k, top in ((noise.KENDALL, kendall), (noise.SPEARMAN, a4))]
+
+        for kind, one, two in zip((noise.KENDALL, noise.SPEARMAN), both(rows), both(more), strict=True):
+            assert abs(one) <= 1 and abs(one - two) <= noise.rank_sensitivity(kind, m, floor)
+
+
+def test_spearman_by_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(rng.randrange(9), rng.randrange(5)) for _ in range(60)]
+    stats = profile.spearman_a4(spark.createDataFrame(rows, "x long, y long"), "x", "y")
+    got = noise.lattice_points(stats, "a4", noise.SPEARMAN, per_unit=2, floor_rows=50).first()
+    a4 = sum(sum(signed(a, b) for b, _ in rows) * sum(signed(c, d) for _, d in rows) for a, c in rows)
+    assert int(got["a4"]) == a4
+    step = Fraction(12 * 2 * 50, 50**2 - 1) / 2**20
+    assert abs(int(got["point"]) * step - Fraction(3 * a4, 60**3 - 60)) <= step / 2
+
+
 def test_cells_draw_apart(spark):
     names = [("a/b", "c"), ("a", "b/c"), ("a", None), ("a", "None"), (None, "a"), ('a", "b', "c")]
     assert len({noise.cell_label("t", cell) for cell in names}) == len(names)
