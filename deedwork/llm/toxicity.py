@@ -7,7 +7,8 @@ expression is therefore told by what is known of its parts, and one unknown to b
 A word's evidence is the difference of its log-likelihoods, toxic less ordinary. All words of a document count, in two length-normalised ways: the mean
 evidence of a character, and the peak, the logarithm of the mean likelihood ratio of a word, which one telling word among N raises by its evidence less
 log N; it is read on the scale of ``asinh``. A logistic curve of both makes a score; it is fitted to a histogram of the training documents whose id
-hashes into one of ``SLICES`` slices, which are not counted, so that it sees the evidence of new documents.
+hashes into one of ``SLICES`` slices, which are not counted, so that it sees the evidence of new documents. More evidence never counts against toxicity: no slope
+is negative, and both measures are level from ``MEAN_TOP`` and ``PEAK_TOP`` on. So a word with that much evidence never lowers a score, wherever it is added.
 
 Counts cover all other labelled training rows and none is left out. They, the backoff and the evidence of a sequence are tables. Texts are written as
 blocks of word counts; each block asks for its distinct sequences once and meets their evidence by a shuffle.
@@ -15,7 +16,6 @@ blocks of word counts; each block asks for its distinct sequences once and meets
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -26,8 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedwork.llm.common import fold, materialized
-from deedwork.session import ship_package
+from deedwork.llm.common import fold, materialized, python_ready
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -35,10 +34,10 @@ SLICES = 6
 MEAN_BIN, MEAN_BINS = 0.0025, 800
 PEAK_BIN, PEAK_BINS = 0.05, 400
 MEAN_SCALE = 20.0
+MEAN_TOP, PEAK_TOP = 1.0, 8.0
 PEAK_SCALE = 5.0
 BLOCK_CHARACTERS = 4_000_000
 _MEMO_WORDS = 500_000
-_MEMO_GRAMS = 1_000_000
 _START, _END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -57,79 +56,8 @@ def _weighed(told: np.ndarray, times: np.ndarray, lengths: np.ndarray) -> tuple[
     """Mean and peak of words with this evidence, so many times each."""
     top = told.max()
     ratio = top + np.log((times * np.exp(told - top)).sum() / times.sum())
-    return float((times * told).sum() / (times * (lengths + 1)).sum()), float(np.arcsinh(PEAK_SCALE * ratio))
-
-
-class Models:
-    """Both classes and their shared backoff, in memory; ``counts``: (gram, ordinary count, toxic count). The tables below say the same at any size."""
-
-    def __init__(self, counts: list[tuple[str, int, int]]):
-        self.own = [{g: n[c] for g, *n in counts if n[c]} for c in (0, 1)]
-        self.left = [self._contexts(own) for own in self.own]
-        # Kneser-Ney: a shorter sequence counts once for each sequence that it ends.
-        self.shared: Counter = Counter()
-        longer = {g for g, _, _ in counts}
-        while longer:
-            self.shared.update(g[1:] for g in longer if len(g) > 1)
-            longer = {g[1:] for g in longer if len(g) > 1}
-        self.shared_left = self._contexts(self.shared)
-        self.characters = 1 + sum(len(g) == 1 for g in self.shared)
-        self.backoff: dict[str, float] = {}
-        self.grams: dict[str, float] = {}
-        self.words: dict[str, float] = {}
-
-    @staticmethod
-    def _contexts(counts: dict[str, int]) -> dict[str, list[int]]:
-        out: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for gram, n in counts.items():
-            total = out[gram[:-1]]
-            total[0] += n
-            total[1] += 1
-        return dict(out)
-
-    def _mixed(self, gram: str, n: int, total: list[int] | None, shorter: float) -> float:
-        if total is None:
-            return shorter
-        return (max(n - DISCOUNT, 0.0) + DISCOUNT * total[1] * shorter) / total[0]
-
-    def _shared(self, gram: str) -> float:
-        if not gram:
-            return 1.0 / self.characters
-        known = self.backoff.get(gram)
-        if known is None:
-            known = self._mixed(gram, self.shared.get(gram, 0), self.shared_left.get(gram[:-1]), self._shared(gram[1:]))
-            if len(self.backoff) > _MEMO_GRAMS:
-                self.backoff.clear()
-            self.backoff[gram] = known
-        return known
-
-    def _evidence(self, gram: str) -> float:
-        known = self.grams.get(gram)
-        if known is None:
-            shorter = self._shared(gram[1:])
-            ordinary, toxic = (self._mixed(gram, self.own[c].get(gram, 0), self.left[c].get(gram[:-1]), shorter) for c in (0, 1))
-            if len(self.grams) > _MEMO_GRAMS:
-                self.grams.clear()
-            known = self.grams[gram] = math.log(toxic / ordinary)
-        return known
-
-    def word(self, word: str) -> float:
-        known = self.words.get(word)
-        if known is None:
-            known = sum(map(self._evidence, _spelled(word)))
-            if len(self.words) > _MEMO_WORDS:
-                self.words.clear()
-            if len(word) <= 64:
-                self.words[word] = known
-        return known
-
-    def text(self, text: str | None) -> tuple[float, float]:
-        """Mean evidence of a character, each word's end being one, and the peak."""
-        words = _words(text)
-        if not words:
-            return 0.0, 0.0
-        told = np.fromiter(map(self.word, words), dtype=np.float64, count=len(words))
-        return _weighed(told, np.ones(len(words)), np.fromiter(map(len, words), dtype=np.float64, count=len(words)))
+    mean = (times * told).sum() / (times * (lengths + 1)).sum()
+    return float(mean), float(np.arcsinh(PEAK_SCALE * min(ratio, PEAK_TOP)))
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,22 +172,31 @@ def evidence_of(counts: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def _logistic(bins: list[tuple[int, int, int, int]]) -> tuple[float, float, float]:
-    """(slope of the mean, slope of the peak, offset) of P(toxic) from (mean bin, peak bin, ordinary, toxic), by Newton's method with a little shrinkage."""
+    """(slope of the mean, slope of the peak, offset) of P(toxic) from (mean bin, peak bin, ordinary, toxic), by Newton's method with a little shrinkage.
+
+    A slope that would be negative is 0, and the others are fitted without it.
+    """
     table = np.array(bins, dtype=np.float64).reshape(-1, 4)
     total, hits = table[:, 2] + table[:, 3], table[:, 3]
     if not hits.sum() or hits.sum() == total.sum():
         return 1.0, 1.0, -2.0
     scale = np.array([MEAN_SCALE, 1.0, 1.0])
-    features, w = np.column_stack([table[:, :2] * [MEAN_BIN, PEAK_BIN], np.ones(len(table))]) * scale, np.zeros(3)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-        slope = features.T @ (hits - total * p) - 1e-3 * w
-        bend = (features * (total * p * (1 - p))[:, None]).T @ features + 1e-3 * np.eye(3)
-        step = np.linalg.solve(bend, slope)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return tuple((w * scale).tolist())
+    features = np.column_stack([table[:, :2] * [MEAN_BIN, PEAK_BIN], np.ones(len(table))]) * scale
+    used = [0, 1, 2]
+    while True:
+        w = np.zeros(3)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
+            slope = (features.T @ (hits - total * p) - 1e-3 * w)[used]
+            bend = ((features * (total * p * (1 - p))[:, None]).T @ features + 1e-3 * np.eye(3))[np.ix_(used, used)]
+            step = np.linalg.solve(bend, slope)
+            w[used] += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        least = min(used[:-1], key=lambda k: w[k], default=2)
+        if least == 2 or w[least] >= 0:
+            return tuple((w * scale).tolist())
+        used.remove(least)
 
 
 def score(
@@ -276,7 +213,7 @@ def score(
     other than 0 and 1, null included, is not learned; repeated rows count as often as they occur. Without labels, evidence is 0 everywhere.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    python_ready(spark)
     known = fold(labels, {"label_id": id_col, "label": label_col}).where("label in (0, 1)").select("label_id", F.col("label").cast("int"))
     free = fold(docs.where(~F.coalesce(held_out, F.lit(False))), {"id": id_col, "text": text_col})
     curve = F.pmod(F.xxhash64(F.lit("curve"), F.col("id").cast("string")), F.lit(SLICES)) == 0
@@ -296,13 +233,14 @@ def score(
     told = asked.join(evidence_of(counts, asked.select("gram").distinct()), "gram")
     judged = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_judge, "id string, held boolean, mean double, peak double")
     raw = materialized(judged.withColumn("id", F.col("id").cast(id_type)), "toxic-evidence")
+    level = F.least("mean", F.lit(MEAN_TOP))
     places = [
-        F.least(F.greatest(F.round(F.col(name) / width), F.lit(-most)), F.lit(most)).cast("int").alias(f"{name}_bin")
-        for name, width, most in (("mean", MEAN_BIN, MEAN_BINS), ("peak", PEAK_BIN, PEAK_BINS))
+        F.least(F.greatest(F.round(value / width), F.lit(-most)), F.lit(most)).cast("int").alias(f"{name}_bin")
+        for name, value, width, most in (("mean", level, MEAN_BIN, MEAN_BINS), ("peak", F.col("peak"), PEAK_BIN, PEAK_BINS))
     ]
     bins = raw.where(~F.col("held") & curve).join(known, F.col("id") == F.col("label_id")).groupBy(*places)
     bins = bins.agg(F.sum(1 - F.col("label")).alias("ordinary"), F.sum("label").alias("toxic")).orderBy("mean_bin", "peak_bin").collect()
     of_mean, of_peak, offset = _logistic([tuple(b) for b in bins])
-    value = 1 / (1 + F.exp(-(F.col("mean") * of_mean + F.col("peak") * of_peak + offset)))
+    value = 1 / (1 + F.exp(-(level * of_mean + F.col("peak") * of_peak + offset)))
     out = raw.select(F.col("id").alias(id_col), value.alias("score"), F.col("mean").alias("evidence"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
