@@ -1,17 +1,16 @@
 """Benchmark decontamination, in DataFrame operations only.
 
 Every test item is a set of word windows. Their hashes are broadcast, if there are no more than ``BROADCAST_WINDOWS`` of them, and joined
-by a shuffle otherwise. Each document's windows are hashed in place and probed; what hits is verified word for word on the document.
+by a shuffle otherwise. Each document is split once, its words are hashed once, and the windows of all lengths are hashes of these; what hits is verified
+word for word, and only documents with a hit are split again for that.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedwork.llm.common import ascii_lower, fold, whole_row
+from deedwork.llm.common import ascii_lower, fold, materialized, whole_row
 
 WINDOW_WORDS = 10
 BROADCAST_WINDOWS = 500_000
@@ -22,8 +21,16 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _hashes(words: Column, length: int) -> Column:
-    """A hash of every window of ``length`` consecutive words."""
+#: The same words in a text that still has its capitals.
+_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _hashes(words: Column, length: Column) -> Column:
+    """A hash of every window of ``length`` consecutive words, of the hashes of its words."""
     starts = F.sequence(F.lit(1), F.size(words) - length + 1)
     hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, length)))
     return F.when(F.size(words) >= length, hashed).otherwise(F.array().cast("array<bigint>"))
@@ -35,7 +42,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     items = items.where("size(w) > 0").withColumn("length", F.least(F.size("w"), F.lit(window)))
     spans = items.select("item", "length", "w", F.explode(F.expr("sequence(1, size(w) - length + 1)")).alias("i"))
     spans = spans.select("item", "length", F.expr("slice(w, i, length)").alias("s"))
-    spans = spans.select("item", "length", F.xxhash64("s").alias("hash"), F.array_join("s", " ").alias("words"))
+    spans = spans.select("item", "length", F.xxhash64(_word_hashes(F.col("s"))).alias("hash"), F.array_join("s", " ").alias("words"))
     return spans.groupBy("length", "hash", "words").agg(F.collect_set("item").alias("items"))
 
 
@@ -44,19 +51,16 @@ _HITS = "array<struct<pos:int,length:int,words:string,items:array<string>>>"
 
 def _hits(read: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     """``hit_id``, ``hit_key`` and the windows whose hashes hit, for each document (``id``, ``key``, ``text``) with any."""
-    grams = item_windows(benchmark, window=window)
+    grams = materialized(item_windows(benchmark, window=window), "benchmark-windows")
     sizes = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if sum(sizes.values()) <= BROADCAST_WINDOWS:
         grams = F.broadcast(grams)
-    split = read.select("id", "key", words_of(F.col("text")).alias("w"))
-    found = [
-        split.select("id", "key", F.posexplode(_hashes(F.col("w"), n)).alias("pos", "hash"))
-        .join(grams.where(F.col("length") == n), "hash")
-        .select("id", "key", F.struct("pos", "length", "words", "items").alias("hit"))
-        for n in sorted(sizes)
-    ]
-    found = found or [read.where("false").select("id", "key", F.explode(F.lit(None).cast(_HITS)).alias("hit"))]
-    hits = reduce(DataFrame.unionByName, found).groupBy("id", "key").agg(F.collect_set("hit").alias("hits"))
+    lengths = F.array(*map(F.lit, sorted(sizes))).cast("array<int>")
+    split = read.select("id", "key", _word_hashes(words_of(F.col("text"))).alias("w"))
+    each = split.select("id", "key", "w", F.explode(lengths).alias("length"))
+    each = each.select("id", "key", "length", F.posexplode(_hashes(F.col("w"), F.col("length"))).alias("pos", "hash"))
+    found = each.join(grams, ["hash", "length"]).select("id", "key", F.struct("pos", "length", "words", "items").alias("hit"))
+    hits = found.groupBy("id", "key").agg(F.collect_set("hit").alias("hits"))
     return hits.withColumnsRenamed({"id": "hit_id", "key": "hit_key"})
 
 
@@ -86,9 +90,11 @@ def decontaminate(
     read = fold(docs, {"id": id_col, "text": text_col}).withColumn("key", F.xxhash64("text"))
     hits = _hits(read, benchmark, window)
     text = read.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
-    every = text.select("id", words_of(F.col("text")).alias("w"), "hits")
-    real = _verified(F.col("w"), F.col("hits"))
-    checked = every.select("id", "w", F.size("w").cast("bigint").alias("n_words"), real.alias("real"))
+    # Only a document with a hit is split into words again.
+    every = text.select("id", "text", F.when(F.col("hits").isNotNull(), words_of(F.col("text"))).alias("w"), "hits")
+    counted = F.coalesce(F.regexp_count("text", F.lit(_ANY_CASE)), F.lit(0)).cast("bigint")
+    real = F.when(F.col("hits").isNotNull(), _verified(F.col("w"), F.col("hits"))).otherwise(F.array().cast(_HITS))
+    checked = every.select("id", "text", "w", counted.alias("n_words"), real.alias("real"))
     spans = F.array_sort(F.transform("real", lambda h: F.struct(h["pos"].alias("a"), (h["pos"] + h["length"]).alias("b"))))
     merged = F.aggregate(
         spans,
@@ -102,7 +108,7 @@ def decontaminate(
         ),
     )
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("real", lambda h: h["items"]))))
-    out = checked.select("id", "w", "n_words", merged.alias("m"), items.alias("items"))
+    out = checked.select("id", "text", "w", "n_words", merged.alias("m"), items.alias("items"))
     last = F.struct(F.col("m.reach").alias("a"), F.col("n_words").cast("int").alias("b"))
     kept = F.flatten(F.transform(F.concat(F.col("m.free"), F.array(last)), lambda s: F.slice(F.col("w"), s["a"] + 1, s["b"] - s["a"])))
     return out.select(
@@ -112,7 +118,7 @@ def decontaminate(
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("m.words") > 0).alias("contaminated"),
-        F.array_join(kept, " ").alias("clean_words"),
+        F.array_join(F.when(F.col("w").isNotNull(), kept).otherwise(words_of(F.col("text"))), " ").alias("clean_words"),
     )
 
 
