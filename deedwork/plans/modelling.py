@@ -216,15 +216,14 @@ def embed_chunks(t: Tables) -> DataFrame:
 
 @query(
     "vector_topk",
-    """WITH q AS (SELECT min(vec_id) AS query_id FROM embeddings GROUP BY label), p AS (SELECT query_id, e.vec_id, e.embedding::DOUBLE[] AS v, f.embedding::DOUBLE[] AS w FROM q JOIN embeddings f ON f.vec_id = query_id, embeddings e),
+    """WITH q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT query_id, e.vec_id, e.embedding::DOUBLE[] AS v, f.embedding::DOUBLE[] AS w FROM q JOIN embeddings f ON f.vec_id = query_id, embeddings e),
     s AS (SELECT query_id, vec_id, unnest(['cosine', 'l2', 'inner_product', 'l1']) AS metric, unnest([1 - list_cosine_similarity(v, w), list_distance(v, w), -list_inner_product(v, w), list_sum(list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - w[i])))]) AS d FROM p)
     SELECT query_id, metric, row_number() OVER (PARTITION BY query_id, metric ORDER BY round(d, 9), vec_id) AS rank, vec_id, round(d, 6) + 0 AS distance FROM s QUALIFY rank <= 5""",
 )
 def vector_topk(t: Tables) -> DataFrame:
-    """The five nearest to the first vector of every label, by four distances."""
-    first = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("query_id"))
-    queries = t.embeddings.join(first, F.col("vec_id") == F.col("query_id")).select("query_id", "embedding")
-    found = vectors.nearest(t.embeddings.select("vec_id", "embedding"), queries, 5)
+    """The five nearest to every vector whose id is divisible by 50, by four distances, among all vectors."""
+    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found, _ = vectors.nearest(t.embeddings.select("vec_id", "embedding"), queries, 5)
     return found.select("query_id", "metric", "rank", "vec_id", (F.round("distance", 6) + 0).alias("distance"))
 
 
@@ -234,15 +233,16 @@ def vector_topk(t: Tables) -> DataFrame:
     UNION ALL SELECT 'folders', o_orderpriority, count(*), sum(o_totalprice::DECIMAL(12,2))::DOUBLE, true, (SELECT count(DISTINCT o_orderpriority) FROM orders) FROM orders GROUP BY ALL""",
 )
 def compact_files(t: Tables) -> DataFrame:
+    """A flat and a partitioned table of many small files, merged in their places."""
     parts = {}
     for layout, folders in (("flat", []), ("folders", ["o_orderpriority"])):
-        small, large = t.scratch("small-files"), t.scratch("large-files")
-        t.orders.repartition(24).write.partitionBy(*folders).parquet(small)
-        before, after = upkeep.compact_files(t.spark, small, large, 64 * 1024 * 1024)
+        path = t.scratch("small-files")
+        t.orders.repartition(24).write.partitionBy(*folders).parquet(path)
+        before, after = upkeep.compact_files(t.spark, path, t.scratch("merging"), 64 * 1024 * 1024)
         kept = F.regexp_extract("file", "/(o_orderpriority=[^/]*)/", 1)
-        n = upkeep.file_sizes(t.spark, large).where(kept != "").agg(F.count_distinct(kept)).scalar()
+        n = upkeep.file_sizes(t.spark, path).where(kept != "").agg(F.count_distinct(kept)).scalar()
         parts[layout] = (
-            t.spark.read.parquet(large)
+            t.spark.read.parquet(path)
             .groupBy("o_orderpriority")
             .agg(F.count("*").alias("rows"), F.sum(money("o_totalprice")).alias("total"))
             .select("o_orderpriority", "rows", "total", F.lit(after < before).alias("fewer_files"), n.alias("folders"))
