@@ -4,7 +4,7 @@ Writing: each task appends one gzip member per record to archive files of its ow
 it names the files of successful attempts only, so a lost executor leaves at most a file that nothing refers to. Equal payloads are stored once:
 the other records refer to the one with the largest id.
 
-Reading: the index is dealt out by record, each task opens the archives at its records' offsets and yields rows of (record, chunk number,
+Both sides take their rows in batches bounded by bytes. Reading: the index is dealt out by the bytes it stands for, each task opens the archives at its records' offsets and yields rows of (record, chunk number,
 chunk, digest so far). A payload is never held whole, the last chunk of a record carries its full length and digest.
 """
 
@@ -19,15 +19,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deedwork.llm.common import fold, materialized
+from deedwork.llm.common import fold, materialized, place, python_ready
 from deedwork.session import scratch_path
 
 CHUNK_BYTES = 1 << 18
 ARCHIVE_BYTES = 1 << 30
+READ_BYTES = 32 << 20
 LEAST_SHARED_BYTES = 0
 INDEX = "record long, archive string, at long, size long"
 CHUNKS = "record long, record_type string, refers_to long, chunk_no long, chunk binary, bytes_so_far long, digest_so_far string, last boolean"
@@ -37,21 +37,14 @@ def _base32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def _place(path: str):
-    """The file system of a path or URI and the path in it."""
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and "://" not in path else path)
-
-
 class _Archive:
     """One archive being written: gzip members, one for each record."""
 
     def __init__(self, folder: str):
         self.path = f"{folder}/part-{uuid.uuid4().hex}.warc.gz"
-        system, inner = _place(folder)
+        system, inner = place(folder)
         system.create_dir(inner, recursive=True)
-        system, inner = _place(self.path)
+        system, inner = place(self.path)
         self.out, self.at = system.open_output_stream(inner, compression=None), 0
 
     def add(self, head: bytes, block: Iterator[bytes]) -> tuple[int, int]:
@@ -184,7 +177,7 @@ def _reader(chunk: int):
             for k in range(batch.num_rows):
                 path, at, size = (batch.column(c)[k].as_py() for c in ("archive", "at", "size"))
                 if path != name:
-                    system, inner = _place(path)
+                    system, inner = place(path)
                     name, file = path, system.open_input_file(inner)
                 for row in _chunks_of(io.BufferedReader(_Member(file, at, size, chunk)), chunk):
                     rows.append(row)
@@ -200,7 +193,11 @@ def _reader(chunk: int):
 
 def read_chunks(index: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
     """The chunked record table of the archives that ``index`` lists."""
-    dealt = index.repartition(F.col("archive"), (F.col("at") / ARCHIVE_BYTES * 64).cast("int")).sortWithinPartitions("archive", "at")
+    python_ready(index.sparkSession)
+    stored = index.agg(F.sum("size")).first()[0] or 0
+    # Neighbours in an archive go to one task, and no task gets many more bytes than ``READ_BYTES``, however small the index is.
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-stored // READ_BYTES))
+    dealt = index.repartitionByRange(tasks, "archive", "at").sortWithinPartitions("archive", "at")
     return dealt.mapInArrow(_reader(chunk), CHUNKS)
 
 
@@ -225,6 +222,7 @@ def archive_pages(
     are responses too; a row without an id is written as a response of record -1. An empty table writes nothing.
     """
     spark: SparkSession = pages.sparkSession
+    python_ready(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder or scratch_path(spark, "archives"))
     folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     rows = fold(pages, {"record": id_col, "url": url_col, "html": payload_col})
