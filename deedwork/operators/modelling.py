@@ -80,11 +80,11 @@ def load_link(source: DataFrame, hubs: Sequence[Sequence[str]], loaded_at: str,
 
 
 def load_satellite(
-    source: DataFrame, key: Sequence[str], attributes: Sequence[str], loaded_at: str, *, tie: Sequence[str] = (), tracking: str = "type2", slice_unit: str = "quarter"
+    source: DataFrame, key: Sequence[str], attributes: Sequence[str], loaded_at: str, *, tie: Sequence[str] = (), tracking: str = "type2"
 ) -> DataFrame:
     """Satellite rows: all of them, the latest per key, or those whose attributes changed.
 
-    A row's change is seen from the row before it of the same key, met by calendar slices, so a key
+    A row's change is seen from the row before it of the same key, met in ranges of the whole order, so a key
     with a long history spreads over tasks.
     """
     rows = source.dropna(subset=list(key)).select(
@@ -99,7 +99,7 @@ def load_satellite(
     if tracking != "type2":
         raise ValueError(f"no change tracking {tracking!r}")
     first = rows.groupBy("hub_key").agg(F.min("row").alias("row"))
-    pairs = slices.next_in_order(rows.distinct(), ["hub_key"], "row", F.date_trunc(slice_unit, "row.load_date"), "then")
+    pairs = slices.next_in_order(rows.distinct(), ["hub_key"], "row", "then")
     changed = pairs.where(F.col("then").isNotNull() & (F.col("then.hash_diff") != F.col("row.hash_diff")))
     return first.unionByName(changed.select("hub_key", F.col("then").alias("row"))).select(*shown)
 

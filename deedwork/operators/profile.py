@@ -441,7 +441,7 @@ def history(
     """``member, cell, n`` of a versioned table: counts of versions, starts, lengths, chains and moves.
 
     Versions of an entity are ordered by start, then end (an open end last), then ``tie``. Each
-    version meets its follower by calendar slices, so a long history spreads over tasks.
+    version meets its follower in ranges of the whole order, so a long history spreads over tasks.
     """
     names = list(tracked)
     order = F.struct(
@@ -454,7 +454,7 @@ def history(
     versions = df.where(F.col(entity).isNotNull() & F.col(start).isNotNull()).select(
         F.col(entity).alias("e"), order.alias("v")
     )
-    linked = slices.next_in_order(versions, ["e"], "v", F.trunc(F.col("v.start"), "quarter"), "w")
+    linked = slices.next_in_order(versions, ["e"], "v", "w")
     entities = versions.groupBy("e").agg(F.count("*").alias("n"), F.min("v").alias("first"))
     gap = F.datediff("w.start", "v.end")
     chain = (

@@ -106,14 +106,16 @@ def quantile_values(df: DataFrame, column: str, levels: Sequence[tuple[str, int,
     )
 
 
-def next_in_order(df: DataFrame, keys: Sequence[str], order: str, slice_: Column, out: str) -> DataFrame:
+def next_in_order(df: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:
     """``out``: the next larger ``order`` of the same key, where ``order`` may be a struct.
 
-    ``df`` has one row per (keys, order). ``slice_`` is any never decreasing cut of ``order`` (a
-    month, say): the first value of each slice stands for it, and only those are ordered per key.
+    ``df`` has one row per (keys, order). The whole order is cut into ranges of about equally many rows, so a key with very many rows, on however few days,
+    spreads over ranges: the first value of a key in each range stands for it, and only those are ordered per key. The ranges are drawn by a
+    sample, so what they are is written down once.
     """
     keys = list(keys)
-    cut = df.withColumn("_slice", slice_)
+    cut = df.repartitionByRange(*keys, order).withColumn("_slice", F.spark_partition_id())
+    cut = materialized(cut, "ordered-ranges")
     firsts = cut.groupBy(*keys, "_slice").agg(F.min(order).alias("_first"))
     following = firsts.select(
         *keys,

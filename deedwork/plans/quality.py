@@ -391,7 +391,7 @@ def rule_versioned_window(t: Tables) -> DataFrame:
         F.max("stop").alias("last_stop"),
         F.count_if(F.col("stop") <= F.col("start")).alias("empty"),
     )
-    ordered = slices.next_in_order(starts, ["o_custkey"], "start", F.trunc("start", "quarter"), "following")
+    ordered = slices.next_in_order(starts, ["o_custkey"], "start", "following")
     over = F.col("following").isNotNull() & ((F.col("open") > 0) | (F.col("last_stop") > F.col("following")))
     return ordered.agg(
         F.sum("n").alias("versions"),

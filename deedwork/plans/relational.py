@@ -446,7 +446,7 @@ def win_lag(t: Tables) -> DataFrame:
 )
 def win_next_version(t: Tables) -> DataFrame:
     starts = customer_versions(t).groupBy("o_custkey", "start").agg(F.count("*").alias("matches"))
-    return slices.next_in_order(starts, ["o_custkey"], "start", F.trunc("start", "quarter"), "following")
+    return slices.next_in_order(starts, ["o_custkey"], "start", "following")
 
 
 @query(

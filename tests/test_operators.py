@@ -146,6 +146,27 @@ def test_slices_never_change_a_result(spark):
         assert {r["v"]: r["before"] for r in run.collect()} == want
 
 
+def test_a_hot_key_on_one_day_spreads_over_ranges(spark):
+    """The next value by a plain window, for a key whose rows all lie on one date; the key is cut into ranges of rows."""
+    rng = random.Random(2)
+    rows = [(1, DAY, k) for k in range(3000)] + [(rng.choice([2, 3, None]), days(rng.randrange(5)), 10_000 + k) for k in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, d date, t int").select("k", F.struct("d", "t").alias("v")).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = slices.next_in_order(df, ["k"], "v", "w").where("k IS NOT NULL")
+        got = {(r["k"], tuple(r["v"])): r["w"] and tuple(r["w"]) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for k in (1, 2, 3):
+        mine = sorted((d, t) for key, d, t in rows if key == k)
+        want |= {(k, a): b for a, b in zip(mine, [*mine[1:], None], strict=True)}
+    assert got == want
+    ranges = df.repartitionByRange("k", "v").groupBy(F.spark_partition_id().alias("p")).agg(F.count_if(F.col("k") == 1).alias("n")).collect()
+    assert max(r["n"] for r in ranges) < 1500
+
+
 def test_quantiles_are_values_at_exact_ranks(spark):
     values = [Decimal(v) for v in (5, 1, 1, 9, 3)]
     df = spark.createDataFrame([(v,) for v in [*values, None]], "v decimal(5,0)")
