@@ -47,9 +47,16 @@ def _conf(spark: SparkSession, key: str) -> str | None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder for staged copies: ``spark.checkpoint.dir``, or one in the warehouse; every executor reaches both."""
-    root = _conf(spark, "spark.checkpoint.dir")
-    return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged").rstrip("/")
+    """The folder for staged copies: ``spark.checkpoint.dir``, or one in the warehouse; every executor must reach it.
+
+    A warehouse on the driver's own disk, as it is by default, serves a local session only.
+    """
+    if root := _conf(spark, "spark.checkpoint.dir"):
+        return root.rstrip("/")
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+    if root.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
