@@ -14,14 +14,16 @@ LADDER = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 # Spellings of one physical type.
 FAMILIES = (
-    ("double", "numeric", "hugeint", "uhugeint", "bignum", "varint", "ubigint", "uint64"),
-    ("bigint", "uinteger", "uint32"),
-    ("int", "integer", "usmallint", "uint16"),
+    ("double", "numeric", "hugeint", "uhugeint", "int128", "uint128", "bignum", "varint", "ubigint", "uint64"),
+    ("bigint", "uinteger", "uint32", "oid"),
+    ("int", "integer", "integral", "signed", "usmallint", "uint16"),
     ("smallint", "utinyint", "uint8", "short"),
-    ("string", "varchar", "text", "char", "bpchar", "nvarchar"),
+    ("tinyint", "int1"),
+    ("string", "varchar", "text", "char", "bpchar", "nvarchar", "null"),
     ("boolean", "bool", "logical"),
-    ("timestamp", "timestamp_ntz", "timestamp_ltz", "timestamptz", "datetime"),
-    ("time", "timetz"),
+    ("timestamp", "timestamp_ntz", "timestamp_ltz", "timestamptz", "timestamp_tz", "timestamp with time zone", "datetime")
+    + ("timestamp_s", "timestamp_ms", "timestamp_us", "timestamp_ns"),
+    ("time", "timetz", "time_ns", "time with time zone"),
     ("binary", "bytes", "blob"),
     ("bit", "bitstring"),
     ("array", "list"),
@@ -82,7 +84,7 @@ def fingerprint(fields: DataFrame) -> DataFrame:
 
 
 def _base(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"\(.*\)$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"\(.*\)$", ""), r"\([0-9]+\) with time zone$", " with time zone")
 
 
 def _rung(c: Column) -> Column:
@@ -195,7 +197,8 @@ def change_of(before: str | None, after: str | None) -> str | None:
         return None
 
     def base(t: str) -> str:
-        t = t.lower().split("(")[0] if "<" not in t else t.lower()
+        zone = " with time zone" if t.lower().endswith(" with time zone") else ""
+        t = t.lower().removesuffix(zone).split("(")[0].rstrip() + zone if "<" not in t else t.lower()
         for spelling, plain in (("list<", "array<"), ("tuple<", "struct<")):
             t = t.replace(spelling, plain, 1) if t.startswith(spelling) else t
         return "int" if t == "integer" else t

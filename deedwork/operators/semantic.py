@@ -113,7 +113,7 @@ def query_metrics(
     helpers = {}
     for d in derived:
         for other in [*model.metrics, *model.measures]:
-            if getattr(other, "kind", "simple") != "derived" and other.name not in named and other.name in find_metric(model, d).expr:
+            if getattr(other, "kind", "simple") != "derived" and other.name not in named and names_any(find_metric(model, d).expr, {other.name}):
                 helpers[other.name] = aggregate(model, other.name)
     out = rows.groupBy(*[F.expr(model.dimensions[d]).alias(d) for d in dims]).agg(
         *[c.alias(n) for n, c in {**named, **helpers}.items()]

@@ -156,6 +156,7 @@ def test_a_hot_key_on_one_day_spreads_over_ranges(spark):
     try:
         found = slices.next_in_order(df, ["k"], "v", "w").where("k IS NOT NULL")
         got = {(r["k"], tuple(r["v"])): r["w"] and tuple(r["w"]) for r in found.collect()}
+        ranges = df.repartitionByRange("k", "v").groupBy(F.spark_partition_id().alias("p")).agg(F.count_if(F.col("k") == 1).alias("n")).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = {}
@@ -163,7 +164,6 @@ def test_a_hot_key_on_one_day_spreads_over_ranges(spark):
         mine = sorted((d, t) for key, d, t in rows if key == k)
         want |= {(k, a): b for a, b in zip(mine, [*mine[1:], None], strict=True)}
     assert got == want
-    ranges = df.repartitionByRange("k", "v").groupBy(F.spark_partition_id().alias("p")).agg(F.count_if(F.col("k") == 1).alias("n")).collect()
     assert max(r["n"] for r in ranges) < 1500
 
 
@@ -385,6 +385,18 @@ def test_the_noise_fits_its_law(variance):
     assert sum(drawn.values()) == seeds and statistic < bound
 
 
+def test_spellings_of_one_type_are_no_change(spark):
+    same = [("int128", "double"), ("oid", "bigint"), ("int1", "tinyint"), ("timestamp(6) with time zone", "timestamptz"), ("time with time zone", "time"), ("null", "string"), ("timestamp_ns", "timestamp")]
+    other = [("int128", "string"), ("oid", "string"), ("time", "timestamp"), ("null", "boolean")]
+    fields = "name string, type string, known long, nulls long"
+    old = spark.createDataFrame([(f"c{k}", a, 1, 0) for k, (a, _) in enumerate(same + other)], fields)
+    new = spark.createDataFrame([(f"c{k}", b, 1, 0) for k, (_, b) in enumerate(same + other)], fields)
+    got = {r["name"]: r["event"] for r in schema.schema_diff(old, new).collect()}
+    assert got == {f"c{k + len(same)}": "type_changed" for k in range(len(other))}
+    assert [schema.change_of(a, b) for a, b in same] == [None] * len(same)
+    assert {schema.change_of(a, b) for a, b in other} == {"type_changed"}
+
+
 def signed(a, b):
     return (a > b) - (a < b)
 
