@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deedwork.session import materialized
+
 
 def beside_group(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
     """Aggregates of a row's group beside the row, as AGG OVER (PARTITION BY keys).
@@ -63,9 +65,11 @@ def top_rows(
     left out only by the key.
     """
     total = [*order, *[F.asc(k) for k in key]]
-    head = df.orderBy(*total).limit(offset + limit)
-    top = df.orderBy(*total).offset(offset).limit(limit)
-    edge = df.orderBy(*total).offset(offset + limit - 1).limit(1).select(tie_column)
+    # The table is ordered once; all else is read off the few rows of its head.
+    head = materialized(df.orderBy(*total).limit(offset + limit), "top-rows")
+    ranked = head.withColumn("_nth", F.row_number().over(Window.orderBy(*total)))
+    edge = ranked.where(F.col("_nth") == offset + limit).select(tie_column)
     tied = df.where(F.col(tie_column) == edge.scalar()).agg(F.count("*").alias("n"))
     inside = head.where(F.col(tie_column) == edge.scalar()).agg(F.count("*").alias("n"))
+    top = ranked.where(F.col("_nth") > offset).drop("_nth")
     return top.withColumn("tied_outside", F.coalesce(tied.scalar() - inside.scalar(), F.lit(0)))
