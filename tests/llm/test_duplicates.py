@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from deedwork.llm import near_dedup, queries, substring_dedup, warc
 from deedwork.llm.components import components
+from deedwork.session import materialized
 
 
 @pytest.fixture()
@@ -252,3 +253,31 @@ def test_marks_never_count_more_than_the_difference():
         x, y = near_dedup.shingles_of(a), near_dedup.shingles_of(b)
         flipped = sum(int(v).bit_count() for v in (near_dedup.marks_of(x) ^ near_dedup.marks_of(y)).view(np.uint64))
         assert flipped <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_every_link_of_a_table_is_found(spark):
+    """All pairs of documents at 0.8 by brute force, on a whole table."""
+    folder = SMALL.replace("sf0.001", "sf0.01")
+    pairs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    want = classes(pairs)
+    got = {r.doc_id: r.class_id for r in queries.QUERIES["op4_near_dedup"](spark, folder).collect()}
+    linked = [i for i in want if want[i] != i]
+    assert len(linked) > 50 and len(got) == len(pairs)
+    assert all(got[i] == got[want[i]] for i in linked)
+
+
+def test_the_pipeline_takes_odd_rows(spark, docs_of):
+    """Null ids, repeats, no text, extra columns with clashing names: through every stage, each written and read again."""
+    tale = " ".join(f"plain{k % 7} words{k}" for k in range(40))
+    pairs = [(1, tale), (1, tale), (None, tale), (None, tale + " more"), (2, None), (3, ""), (4, "12 % 34"), (5, "alone and apart from every other text here"), (None, "another text of nobody in particular at all")]
+    docs = docs_of(pairs)
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialized(stage(spark, docs, SMALL), f"odd-{name}")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == columns
+            kept[name] = sorted((str(r.doc_id), r.text) for r in docs.collect())
+    assert len(kept["language"]) == 6 and all(any(map(str.isalpha, t)) for _, t in kept["language"])
+    assert len(kept["exact"]) == 4 and [t for _, t in kept["exact"]].count(tale) == 1
+    assert len(kept["near"]) == len(kept["decontaminated"]) == 3
+    assert Counter(str(r.doc_id) for r in docs.collect() if r.start == 0) == Counter(i for i, _ in kept["decontaminated"])

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -362,3 +363,67 @@ def test_windows_keep_the_mixture(spark):
     for window in sorted(mix)[:-1]:
         for s in "abc":
             assert abs(mix[window][s] - 256 * total[s] / every) <= 6
+
+
+def served(sizes, weights, seq):
+    """Deficit round-robin as a loop over windows, exact credits carried: tokens of each queue in each window."""
+    left, out = list(sizes), []
+    credit, before, held = [Fraction(0)] * len(sizes), [0] * len(sizes), []
+    while any(left):
+        if not held:  # shares stay as they are until a queue cannot give its due
+            held = [w if n else 0 for w, n in zip(weights, left, strict=True)]
+            held = held if any(held) else list(left)
+        credit = [c + Fraction(seq * w, sum(held)) for c, w in zip(credit, held, strict=True)]
+        upto = [math.floor(sum(credit[: q + 1], Fraction(0))) for q in range(len(sizes))]
+        total = [a - b for a, b in zip(upto, [0, *upto], strict=False)]
+        due = [a - b for a, b in zip(total, before, strict=True)]
+        before = total
+        if sum(left) >= seq and all(d <= n for d, n in zip(due, left, strict=True)):
+            own = due
+        else:
+            own = [min(n, max(0, d)) for n, d in zip(left, due, strict=True)]
+            while sum(own) < min(seq, sum(left)):
+                lack = min(seq, sum(left)) - sum(own)
+                able = [q for q in range(len(left)) if left[q] > own[q]]
+                able = [q for q in able if held[q]] or able
+                share = sum(held[q] or 1 for q in able)
+                more = {q: min(left[q] - own[q], lack * (held[q] or 1) // share) for q in able}
+                if not any(more.values()):
+                    more = dict.fromkeys(sorted(able, key=lambda q: (-held[q], q))[:lack], 1)
+                own = [n + more.get(q, 0) for q, n in enumerate(own)]
+            credit, before, held = [Fraction(0)] * len(sizes), [0] * len(sizes), []
+        left = [n - x for n, x in zip(left, own, strict=True)]
+        out.append(own)
+    return out
+
+
+def test_the_schedule_is_deficit_round_robin():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        queues, seq = int(rng.integers(1, 6)), int(rng.choice([8, 20, 64]))
+        sizes = [int(n) for n in rng.integers(0, 600, queues)]
+        weights = [int(w) for w in rng.integers(1, 9, queues)] if rng.random() < 0.7 else list(sizes)
+        weights = [w if w * seq >= sum(weights) else 0 for w in weights]
+        got, want = [], served(sizes, weights, seq)
+        for s in packing.schedule(sizes, weights, seq):
+            assert s.first == len(got)
+            for n in range(s.windows):
+                upto = [s.upto(q, n + 1, seq) - s.upto(q, n, seq) for q in range(queues + 1)]
+                got.append([b - a for a, b in zip(upto, upto[1:], strict=False)])
+        assert got == want
+
+
+def test_windows_keep_given_targets(spark):
+    rows = [(i, "word " * (10 + i % 90), "abcd"[i % 4]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    targets = {"a": 0.6, "b": 0.3, "c": 0.1, "absent": 0.5}
+    pieces = packing.pack(docs, JSON, RANKS, seq_tokens=256, targets=targets).collect()
+    check_pieces(pieces, encoded([r[:2] for r in rows]), 256)
+    source, mix = {i: s for i, _, s in rows}, defaultdict(Counter)
+    for r in pieces:
+        mix[r.sequence_id][source[r.doc_id]] += r.length
+    total = Counter(source[r.doc_id] for r in pieces for _ in range(r.length))
+    want = served([total[s] for s in "abcd"], [6, 3, 1, 0], 256)
+    assert [[mix[w][s] for s in "abcd"] for w in range(len(want))] == want and len(mix) == len(want)
+    with pytest.raises(ValueError, match="under one token"):
+        packing.pack(docs, JSON, RANKS, seq_tokens=256, targets={"a": 1, "b": 0.001})
