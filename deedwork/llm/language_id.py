@@ -12,9 +12,10 @@ Trees are fitted on a bounded sample: ``SAMPLE_DOCS`` labelled documents a langu
 
 from __future__ import annotations
 
-import math
+import pickle
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,8 @@ ORDER = 4
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 1 << 15
 UNKNOWN = "und"
-_MEMO_GRAMS = 1_000_000
+_MEMO_GRAMS = 200_000
+BATCH_BYTES = 4 << 20
 _BYTES = (1 << 8 * (ORDER + 1)) - 1
 _WORD_CHARACTER = re.compile(r"[^\W\d_]")
 
@@ -39,43 +41,62 @@ def has_letter(text: str) -> bool:
     return any(m.group().isalpha() for m in _WORD_CHARACTER.finditer(text))
 
 
+def _key(gram: bytes) -> int:
+    """A gram of at most ``ORDER`` + 1 bytes as a number: its length above its bytes."""
+    return len(gram) << 8 * (ORDER + 1) | int.from_bytes(gram, "big")
+
+
+def _found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands in the sorted ``known`` ones, and whether it does."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
+
+
 class ContextTrees:
-    """Frozen statistics of all languages; ``counts``: (language, gram, count), a gram being a context and the byte after it."""
+    """Frozen statistics of all languages, as sorted arrays; ``counts``: (language, gram, count), a gram being a context and the byte after it."""
 
     def __init__(self, counts: list[tuple[str, bytes, int]]):
         self.languages = sorted({lang for lang, _, _ in counts})
-        self.seen = [{} for _ in self.languages]
-        self.totals = [{} for _ in self.languages]
-        at = {lang: k for k, lang in enumerate(self.languages)}
-        for lang, gram, n in counts:
-            self.seen[at[lang]][gram] = n
-            total = self.totals[at[lang]].setdefault(gram[:-1], [0, 0])
-            total[0] += n
-            total[1] += 1
+        self.trees = []
+        for own in self.languages:
+            grams = sorted((_key(gram), _key(gram[:-1]), n) for lang, gram, n in counts if lang == own)
+            keys, contexts, n = (np.array(x, np.int64) for x in zip(*grams, strict=True))
+            known, at, kinds = np.unique(contexts, return_inverse=True, return_counts=True)
+            self.trees.append((keys, n, known, np.bincount(at, weights=n), kinds))
+        self._start()
+
+    def _start(self) -> None:
         self.numbers: dict[int, int] = {}
         self.table = np.zeros((0, len(self.languages)))
 
-    def _bits(self, k: int, gram: bytes) -> float:
-        bits, seen, totals = 0.0, self.seen[k], self.totals[k]
-        while gram:
-            total = totals.get(gram[:-1])
-            if total:
-                if n := seen.get(gram):
-                    return bits + math.log2((total[0] + total[1]) / n)
-                bits += math.log2((total[0] + total[1]) / total[1])
-            gram = gram[1:]
-        return bits + 8.0
+    def _bits(self, k: int, keys: np.ndarray) -> np.ndarray:
+        """Code lengths of the last bytes of grams in language ``k``: from the longest context down, by an escape each time."""
+        grams, n, contexts, totals, kinds = self.trees[k]
+        bits, coded = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        length, content = keys >> 8 * (ORDER + 1), keys & _BYTES
+        for size in range(ORDER + 1, 0, -1):
+            open_ = np.flatnonzero(~coded & (length >= size))
+            tail = content[open_] & ((1 << 8 * size) - 1)
+            at, held = _found(contexts, (size - 1) << 8 * (ORDER + 1) | tail >> 8)
+            open_, tail, at = open_[held], tail[held], at[held]
+            place, seen = _found(grams, size << 8 * (ORDER + 1) | tail)
+            all_ = totals[at] + kinds[at]
+            bits[open_] += np.log2(all_ / np.where(seen, n[place], kinds[at]))
+            coded[open_[seen]] = True
+        return bits + np.where(coded, 0.0, 8.0)
 
     def _grams(self, keys: np.ndarray) -> np.ndarray:
-        """Code lengths of the last bytes of grams, one column for each language; a key holds a gram's length above its bytes."""
+        """Code lengths of the last bytes of grams, one column for each language."""
         if len(self.numbers) > _MEMO_GRAMS:
-            self.numbers, self.table = {}, self.table[:0]
+            self._start()
         listed = keys.tolist()
         new = [key for key in listed if key not in self.numbers]
         if new:
             self.numbers.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            grams = [(key & _BYTES).to_bytes(ORDER + 1, "big")[ORDER + 1 - (key >> 8 * (ORDER + 1)) :] for key in new]
-            self.table = np.concatenate([self.table, np.array([[self._bits(k, gram) for k in range(len(self.languages))] for gram in grams])])
+            asked = np.array(new, np.int64)
+            self.table = np.concatenate([self.table, np.stack([self._bits(k, asked) for k in range(len(self.languages))], axis=1)])
         return self.table[np.fromiter(map(self.numbers.__getitem__, listed), np.int64, count=len(listed))]
 
     def words(self, words: pa.Array) -> np.ndarray:
@@ -130,16 +151,21 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _MODELS: dict[str, ContextTrees] = {}
 
 
-def _scorer(shared, name: str, text_at: int):
+def _packed(counts: list[tuple[str, bytes, int]]) -> bytes:
+    return zlib.compress(pickle.dumps(counts))
+
+
+def _scorer(packed: bytes, name: str, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _MODELS:  # one model for each Python worker
             _MODELS.clear()
-            _MODELS[name] = ContextTrees(shared.value)
+            _MODELS[name] = ContextTrees(pickle.loads(zlib.decompress(packed)))
         for batch in batches:
             if batch.num_rows:
                 lang, score = _MODELS[name].predict(batch.column(text_at))
                 kept = [name for name in batch.schema.names if name != "text"]
                 columns = [batch.column(c) for c in kept]
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
 
     return run
@@ -170,12 +196,13 @@ def identify(
     text if no row is labelled. Ties go to the first language by name. Repeated rows are predicted alike; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    python_ready(spark)
-    shared = spark.sparkContext.broadcast(train(docs, held_out, id_col, text_col, lang_col))
+    python_ready(spark, BATCH_BYTES)
+    # The counts of the bounded sample go with the function, packed; a task unpacks them into arrays once.
+    packed = _packed(train(docs, held_out, id_col, text_col, lang_col))
     columns = {f"kept_{k}": c for k, c in enumerate(dict.fromkeys((id_col, *keep)))}
     own = [k for k, c in enumerate(columns.values()) if c == text_col]
     # A text that is kept anyway goes to Python once.
     read = fold(docs, columns | ({} if own else {"text": text_col}))
     out = ", ".join(f"{c} {read.schema[c].dataType.simpleString()}" for c in columns)
-    scored = read.mapInArrow(_scorer(shared, uuid.uuid4().hex, own[0] if own else len(columns)), f"{out}, lang_pred string, score double")
+    scored = read.mapInArrow(_scorer(packed, uuid.uuid4().hex, own[0] if own else len(columns)), f"{out}, lang_pred string, score double")
     return scored.select(*(F.col(ours).alias(theirs) for ours, theirs in columns.items()), "lang_pred", "score")
