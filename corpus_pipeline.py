@@ -15,9 +15,11 @@ from deedwork.session import Tables, materialized
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language stay; a text without a letter has none. The column ``lang`` stays as it was given."""
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    told = language_id.identify(docs, held_out, keep=tuple(docs.columns))
-    return told.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    named = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # names that no column of the result has
+    rows = docs.toDF(*named.values())
+    held_out = F.crc32(F.col(named["doc_id"]).cast("string")) % 4 == 2
+    told = language_id.identify(rows, held_out, named["doc_id"], named["text"], named["lang"], keep=tuple(named.values()))
+    return told.where(F.col("lang_pred") != language_id.UNKNOWN).select(*(F.col(c).alias(name) for name, c in named.items()))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
