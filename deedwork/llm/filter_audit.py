@@ -29,7 +29,7 @@ LEAST_WORDS = 200
 LEAST_DISTINCT_PERCENT = 50
 MOST_CAPITALS_PERCENT = 2
 MARKS = b"#$%&*|"
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 16 << 20
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _META = "ids array<{id}>, parts array<string>, points array<long>, capitals array<long>, marked array<boolean>, digests array<binary>"
 
@@ -39,7 +39,7 @@ def _packed(values: np.ndarray) -> bytes:
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+    return np.frombuffer(zlib.decompress(data), "<u4")
 
 
 def _row(schema: pa.Schema, **values) -> pa.RecordBatch:
@@ -60,41 +60,52 @@ def _block_schema(id_type: pa.DataType, *more: tuple[str, pa.DataType]) -> pa.Sc
     return pa.schema([*((name, pa.list_(kind)) for name, kind in kinds.items()), *more])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block(batch: pa.RecordBatch) -> pa.RecordBatch:
     """A batch of rows as one block; ``terms`` are steps between the numbers of a document's words."""
+    text = batch.column("text")
+    words, sizes = split_words(text)
+    coded = words.dictionary_encode()
+    keys = np.repeat(np.arange(len(sizes)) << 32, sizes)
+    keys |= coded.indices.to_numpy()
+    del words
+    keys.sort()
+    first = np.flatnonzero(np.append(np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])).astype(np.int32)
+    times = _packed(np.diff(np.append(first, len(keys))))
+    keys = keys[first]
+    doc, at = (keys >> 32).astype(np.int32), keys.astype(np.uint32)
+    stored = np.bincount(doc, minlength=len(sizes))
+    steps = np.diff(at, prepend=at[:1])
+    begins = np.flatnonzero(np.diff(doc, prepend=-1))
+    steps[begins] = at[begins]
+    del keys, doc, at, first
+    capitals, marked, digests = [], [], []
+    for raw in text.cast(pa.binary()):
+        raw = raw.as_py() or b""
+        capitals.append(len(raw) - len(raw.translate(None, _CAPITALS)))
+        marked.append(len(raw) != len(raw.translate(None, MARKS)))
+        digests.append(hashlib.sha256(raw).digest())
+    more = [("sizes", pa.list_(pa.int32())), ("terms", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.binary()))]
+    return _row(
+        _block_schema(batch.column("id").type, *more),
+        ids=batch.column("id"),
+        parts=batch.column("part"),
+        points=pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64()),
+        capitals=pa.array(capitals, pa.int64()),
+        marked=pa.array(marked),
+        digests=pa.array(digests, pa.binary()),
+        sizes=pa.array(stored, pa.int32()),
+        terms=_packed(steps),
+        times=times,
+        words=coded.dictionary,
+    )
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        text = batch.column("text")
-        words, sizes = split_words(text)
-        coded = words.dictionary_encode()
-        keys = np.repeat(np.arange(len(sizes)), sizes) << 32 | coded.indices.to_numpy()
-        keys.sort()
-        first = np.flatnonzero(np.append(np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]))
-        doc, at = keys[first] >> 32, keys[first] & 0xFFFFFFFF
-        steps = np.diff(at, prepend=0)
-        begins = np.flatnonzero(np.diff(doc, prepend=-1))
-        steps[begins] = at[begins]
-        capitals, marked, digests = [], [], []
-        for raw in text.cast(pa.binary()):
-            raw = raw.as_py() or b""
-            capitals.append(len(raw) - len(raw.translate(None, _CAPITALS)))
-            marked.append(len(raw) != len(raw.translate(None, MARKS)))
-            digests.append(hashlib.sha256(raw).digest())
-        more = [("sizes", pa.list_(pa.int32())), ("terms", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.binary()))]
-        yield _row(
-            _block_schema(batch.column("id").type, *more),
-            ids=batch.column("id"),
-            parts=batch.column("part"),
-            points=pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64()),
-            capitals=pa.array(capitals, pa.int64()),
-            marked=pa.array(marked),
-            digests=pa.array(digests, pa.binary()),
-            sizes=pa.array(np.bincount(doc, minlength=len(sizes)), pa.int32()),
-            terms=_packed(steps),
-            times=_packed(np.diff(np.append(first, len(keys)))),
-            words=coded.dictionary,
-        )
+        if batch.num_rows:
+            block = _block(batch)
+            pa.default_memory_pool().release_unused()
+            yield block
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +139,14 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cumulated(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Running sums that start anew in each run."""
+    """Running sums that start anew in each run; sums over all runs may wrap around, those within one do not."""
     if not len(steps):
         return steps
-    sums = np.cumsum(steps)
+    sums = np.cumsum(steps, dtype=np.uint32)
     ends = np.cumsum(sizes)
-    before = np.where(ends - sizes > 0, sums[np.maximum(ends - sizes - 1, 0)], 0)
-    return sums - np.repeat(before, sizes)
+    before = np.where(ends - sizes > 0, sums[np.maximum(ends - sizes - 1, 0)], np.uint32(0))
+    sums -= np.repeat(before, sizes)
+    return sums
 
 
 def _shards(index_type: str):
@@ -148,12 +160,17 @@ def _shards(index_type: str):
         for k in range(block.num_rows):
             sizes = own["sizes"][k].values.to_numpy().astype(np.int64)
             at, times = to[_cumulated(_unpacked(own["terms"][k].as_py()), sizes)], _unpacked(own["times"][k].as_py())
-            order = np.argsort(np.repeat(np.arange(len(sizes)), sizes) << 40 | at)
+            keys = np.repeat(np.arange(len(sizes)) << 40, sizes)
+            keys |= at
+            order = np.argsort(keys)
+            del keys
             meta = {c: own[c][k].values for c in ("ids", "parts", "points", "capitals", "marked", "digests")}
             parts = {"shard": own["block"][k].as_py(), "indptr": np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes()}
             parts |= {"indices": at[order].astype(index_type).tobytes(), "data": times[order].astype("<u4").tobytes()}
             more = [("shard", pa.int64()), *((c, pa.binary()) for c in ("indptr", "indices", "data"))]
             rows.append(_row(_block_schema(meta["ids"].type, *more), **meta, **parts))
+            del at, times, order, parts
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(rows)
 
     return run
