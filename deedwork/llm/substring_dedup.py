@@ -116,7 +116,10 @@ def _cut(window: int, gram: int, whole: bool):
             if whole:
                 out |= {"key": batch.column("key").take(pa.array(text)), "content": pa.array(content)}
                 out |= {"size": pa.array(count.astype(np.int32)), "at": pa.array(at.astype(np.int32))}
-            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            out = pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            del text, least, content, count, at
+            pa.default_memory_pool().release_unused()
+            yield out
 
     return run
 
@@ -140,6 +143,8 @@ def _windows(window: int):
             a, b = (_Rolling(hashes, base).runs(place, place + window).view(np.int64) for base in _BASES)
             row = pa.array(text)
             columns = [batch.column("doc").take(row), batch.column("key").take(row), pa.array(at.astype(np.int32)), pa.array(a), pa.array(b)]
+            del hashes, text, at, count, first, place, a, b, row
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "at", "a", "b"])
 
     return run
