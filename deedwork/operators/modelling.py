@@ -29,8 +29,12 @@ def _canonical(c: Column, s: HashStrategy) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", s.null_token).otherwise(shown)
 
 
-def _hash(parts: Sequence[Column], s: HashStrategy) -> Column:
-    joined = F.concat_ws(s.delimiter, *parts)
+def _joined(parts: Sequence[Column], s: HashStrategy) -> Column:
+    """What is hashed: equal where the hashes are."""
+    return F.concat_ws(s.delimiter, *[_canonical(c, s) for c in parts])
+
+
+def _hash(joined: Column, s: HashStrategy) -> Column:
     if s.algorithm == "md5":
         return F.md5(joined)
     if s.algorithm == "sha256":
@@ -40,7 +44,7 @@ def _hash(parts: Sequence[Column], s: HashStrategy) -> Column:
 
 def hash_key(columns: Sequence[str], s: HashStrategy = DEFAULT) -> Column:
     """The business key's hash. The order of the columns matters."""
-    return _hash([_canonical(F.col(c), s) for c in columns], s)
+    return _hash(_joined([F.col(c) for c in columns], s), s)
 
 
 def hash_diff(columns: Sequence[str], s: HashStrategy = DEFAULT) -> Column:
@@ -48,7 +52,7 @@ def hash_diff(columns: Sequence[str], s: HashStrategy = DEFAULT) -> Column:
     parts = [
         F.concat(F.lit(f"{c.upper() if s.upper_case else c}="), _canonical(F.col(c), s)) for c in sorted(columns)
     ]
-    return _hash(parts, s)
+    return _hash(F.concat_ws(s.delimiter, *parts), s)
 
 
 def load_hub(source: DataFrame, key: Sequence[str], loaded_at: str, held: DataFrame | None = None) -> DataFrame:
@@ -122,8 +126,35 @@ def point_in_time(hub: DataFrame, satellites: dict[str, DataFrame], snapshots: S
     return out
 
 
-def bridge(first: DataFrame, second: DataFrame, *, on: str) -> DataFrame:
-    """Two links walked through the hub key they share: the keys of both ends, and of the links."""
+def bridge(
+    first: DataFrame,
+    second: DataFrame,
+    *,
+    on: str,
+    hubs: tuple[Sequence[Sequence[str]], Sequence[Sequence[str]]] | None = None,
+    s: HashStrategy = DEFAULT,
+) -> DataFrame:
+    """Two links walked through the hub key they share: the keys of both ends, and of the links.
+
+    ``hubs`` states the business keys of both links' hubs, as they were given to :func:`load_link`, and ``s`` how they were hashed. The links then meet
+    by the text that the shared key is the hash of, and move as business keys; the hashes, several times as wide, are made of the rows that met.
+    """
+    if hubs:
+        names = [[[f"_{side}{i}_{j}" for j in range(len(key))] for i, key in enumerate(keys)] for side, keys in zip("ab", hubs, strict=True)]
+        flat = [[c for key in keys for c in key] for keys in names]
+        moved = [
+            link.select(*[F.col(c).alias(n) for key, own in zip(keys, ours, strict=True) for c, n in zip(key, own, strict=True)])
+            for link, keys, ours in zip((first, second), hubs, names, strict=True)
+        ]
+        met = [names[0][int(on.removeprefix("hub_key_"))], names[1][0]]
+        a, b = (rows.withColumn("_via", _joined([F.col(c) for c in key], s)) for rows, key in zip(moved, met, strict=True))
+        return a.join(b, "_via").select(
+            hash_key(names[0][0], s).alias("start_key"),
+            _hash(F.col("_via"), s).alias("via_key"),
+            hash_key(names[1][1], s).alias("end_key"),
+            hash_key(flat[0], s).alias("first_link"),
+            hash_key(flat[1], s).alias("second_link"),
+        )
     a = first.select(F.col("link_key").alias("first_link"), F.col("hub_key_0").alias("start_key"), F.col(on).alias("_via"))
     b = second.select(F.col("link_key").alias("second_link"), F.col("hub_key_0").alias("_via"), F.col("hub_key_1").alias("end_key"))
     return a.join(b, "_via").select("start_key", F.col("_via").alias("via_key"), "end_key", "first_link", "second_link")

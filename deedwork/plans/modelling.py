@@ -112,11 +112,10 @@ def dv_pit(t: Tables) -> DataFrame:
 )
 def dv_bridge(t: Tables) -> DataFrame:
     """Customer to order to part."""
-    placed = modelling.load_link(order_feed(t), [["o_custkey"], ["o_orderkey"]], "loaded")
-    holds = modelling.load_link(
-        t.lineitem.select("l_orderkey", "l_partkey", day("l_shipdate").alias("shipped")), [["l_orderkey"], ["l_partkey"]], "shipped"
-    )
-    return modelling.bridge(placed, holds, on="hub_key_1")
+    ordered, held = [["o_custkey"], ["o_orderkey"]], [["l_orderkey"], ["l_partkey"]]
+    placed = modelling.load_link(order_feed(t), ordered, "loaded")
+    holds = modelling.load_link(t.lineitem.select("l_orderkey", "l_partkey", day("l_shipdate").alias("shipped")), held, "shipped")
+    return modelling.bridge(placed, holds, on="hub_key_1", hubs=(ordered, held))
 
 
 SCD_SQL = """d AS (SELECT c_custkey, c_mktsegment AS segment, c_nationkey::BIGINT AS nation FROM customer WHERE c_custkey % 10 <> 9),

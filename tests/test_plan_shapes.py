@@ -30,3 +30,8 @@ def test_noise_is_the_only_work_in_python(spark):
 def test_as_of_joins_hash_and_move_no_whole_rows(spark, name):
     text = plan(spark, name)
     assert "SortAggregate" not in text and "_row" not in text
+
+
+def test_a_bridge_moves_business_keys(spark):
+    text = plan(spark, "dv_bridge")
+    assert "sha2(" in text and "sha2(" not in text[text.index("Join") :]
