@@ -89,13 +89,18 @@ def load_satellite(
     """Satellite rows: all of them, the latest per key, or those whose attributes changed.
 
     A row's change is seen from the row before it of the same key, met in ranges of the whole order, so a key
-    with a long history spreads over tasks.
+    with a long history spreads over tasks. Rows are ordered and moved with their hashes as bytes, half as wide as the text and in its order.
     """
     rows = source.dropna(subset=list(key)).select(
-        hash_key(key).alias("hub_key"),
-        F.struct(F.col(loaded_at).alias("load_date"), *tie, hash_diff(attributes).alias("hash_diff"), *attributes).alias("row"),
+        F.unhex(hash_key(key)).alias("hub_key"),
+        F.struct(F.col(loaded_at).alias("load_date"), *tie, F.unhex(hash_diff(attributes)).alias("hash_diff"), *attributes).alias("row"),
     )
-    shown = ["hub_key", "row.load_date", "row.hash_diff", *[f"row.{a}" for a in attributes]]
+    shown = [
+        F.lower(F.hex("hub_key")).alias("hub_key"),
+        "row.load_date",
+        F.lower(F.hex("row.hash_diff")).alias("hash_diff"),
+        *[f"row.{a}" for a in attributes],
+    ]
     if tracking == "append_only":
         return rows.select(*shown)
     if tracking == "type1":

@@ -35,3 +35,10 @@ def test_as_of_joins_hash_and_move_no_whole_rows(spark, name):
 def test_a_bridge_moves_business_keys(spark):
     text = plan(spark, "dv_bridge")
     assert "sha2(" in text and "sha2(" not in text[text.index("Join") :]
+
+
+def test_keys_that_come_once_are_counted_behind_the_shuffle(spark):
+    lines = plan(spark, "dv_load").split("\n")
+    moved = [k for k, line in enumerate(lines) if "Exchange hashpartitioning(key" in line and "REPARTITION_BY_COL" in line]
+    assert len(moved) == 3
+    assert all("partial_count" in lines[k - 1] and "partial_count" not in lines[k + 1] for k in moved)
