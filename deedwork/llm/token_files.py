@@ -38,7 +38,7 @@ MAX_READ_TASKS = 20_000
 MAGIC = b"S8BWORDS"
 _END = struct.Struct("<QQQQ")
 BATCH_BYTES = 6 << 20
-_MEMO_WORDS = 500_000
+_MEMO_WORDS = 1_000_000
 _ENCODED_WORDS = 10_000
 
 #: Fixed values of the code: (ids in a word, bits of each) by selector; the last is the escape.
@@ -206,37 +206,73 @@ _TAIL, _APART = r"([a-z])([.,;:!?*$&#%]+)([ \t-\r]|$)", r"\1 \2\3"
 
 
 class _ByWords:
-    """Ids of texts from the ids of their words, each encoded once by the tokenizer; its normaliser folds case, so A-Z are lower-cased before."""
+    """Ids of texts from the ids of their words, each encoded once by the tokenizer; its normaliser folds case, so A-Z are lower-cased before.
+
+    The known words are one Arrow array, and words are looked up in it a batch at a time. Beyond ``_MEMO_WORDS`` only those of the last batch stay known.
+    """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        self.clear()
-
-    def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Of tokenizers that mark the ends of words: the ids of the tokens that end one.
+        mark = getattr(tokenizer.model, "end_of_word_suffix", None)
+        self.ending = np.array([i for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if mark and t.endswith(mark)], np.uint32)
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and how many each has."""
+        told = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        sizes = np.fromiter(map(len, told), np.int64, count=len(told))
+        return np.fromiter(chain.from_iterable(told), np.uint32, count=int(sizes.sum())), sizes
+
+    def _encoded_letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone: encoded as one text and cut at the ends of words, if these are as many as the words."""
+        if len(words) and len(self.ending):
+            told = self.tokenizer.encode_batch_fast([" ".join(words.to_pylist())], add_special_tokens=False)
+            ids = np.array(told[0].ids, np.uint32)
+            ends = np.flatnonzero(np.isin(ids, self.ending)) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                return ids, np.diff(ends, prepend=0)
+        return self._encoded(words)
+
+    def _learn(self, new: pa.Array) -> None:
+        letters = pc.utf8_is_alpha(new)
+        for words, encoded in ((new.filter(letters), self._encoded_letters), (new.filter(pc.invert(letters)), self._encoded)):
+            for start in range(0, len(words), _ENCODED_WORDS):
+                part = words.slice(start, _ENCODED_WORDS)
+                ids, sizes = encoded(part)
+                self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+                self.sizes = np.concatenate([self.sizes, sizes])
+                self.flat = np.concatenate([self.flat, ids])
+                self.known = pa.concat_arrays([self.known, part])
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words one after another, and where those of each end."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _forget(self, at: np.ndarray) -> None:
+        """Only the words ``at`` stay known."""
+        self.flat, ends = self._ids(at)
+        self.known, self.sizes = self.known.take(pa.array(at)), self.sizes[at]
+        self.starts = ends - self.sizes
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         plain = pc.replace_substring_regex(pc.ascii_lower(texts), _TAIL, _APART)
         words, counts = split_words(pc.if_else(pc.match_substring(texts, _SPECIAL), texts, plain))
-        coded = words.dictionary_encode()
-        if len(self.numbers) > _MEMO_WORDS:
-            self.clear()
-        listed = coded.dictionary.to_pylist()
-        new = [w for w in listed if w not in self.numbers]
-        if new:
-            told = []
-            for start in range(0, len(new), _ENCODED_WORDS):
-                told += [e.ids for e in self.tokenizer.encode_batch_fast(new[start : start + _ENCODED_WORDS], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, told), np.int64, count=len(told))
-            self.numbers.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(told), np.uint32, count=int(sizes.sum()))])
-        at = np.fromiter(map(self.numbers.__getitem__, listed), np.int64, count=len(listed))[coded.indices.to_numpy()]
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        words = words.cast(pa.string())
+        found = pc.index_in(words, value_set=self.known)
+        if found.null_count:
+            missed = found.is_null()
+            rest = words.filter(missed)
+            known = len(self.known)
+            self._learn(rest.unique())
+            found = pc.replace_with_mask(found, missed, pc.add(pc.index_in(rest, value_set=self.known.slice(known)), pa.scalar(known, pa.int32())))
+        at = found.to_numpy()
+        ids, ends = self._ids(at)
+        if len(self.known) > _MEMO_WORDS:
+            self._forget(np.unique(at))
         return np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)[:-1]])
 
 

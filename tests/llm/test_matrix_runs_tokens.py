@@ -314,3 +314,22 @@ def test_one_id_on_many_rows(spark):
     assert index.count() > 1 and out.count() == 4000
     ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in out.collect())
     assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_words_of_letters_are_encoded_together_and_kept_within_bounds(monkeypatch):
+    monkeypatch.setattr(token_files, "_MEMO_WORDS", 300)
+    monkeypatch.setattr(token_files, "_ENCODED_WORDS", 64)
+    rng = random.Random(3)
+    letters = "abcdeéßİΣ漢"
+    # The second half has letters that fold to a letter and a mark, so their words end more often than there are words.
+    batches = [[" ".join("".join(rng.choices(letters[: 7 if k < 4 else 10], k=rng.randint(1, 7))) for _ in range(30)) for _ in range(20)] for k in range(8)]
+    token_files._encoder.cache_clear()
+    encode = token_files._encoder(public_tokenizers.path("word_bpe_49k.json"), True)
+    words, calls = encode.__self__, []
+    real = words._encoded
+    monkeypatch.setattr(words, "_encoded", lambda part: calls.append(len(part)) or real(part))
+    for k, texts in enumerate(batches):
+        assert [[*ids.tolist(), 1] for ids in encode(pa.array(texts))] == plain_ids(texts)
+        assert len(words.known) == len(words.sizes) == len(words.starts) <= 600 and sum(words.sizes) == len(words.flat)
+        assert (len(calls) > 0) == (k >= 4)
+    token_files._encoder.cache_clear()
