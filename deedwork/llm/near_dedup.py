@@ -28,13 +28,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedwork.llm.common import fold, materialized, text_key, whole_row
+from deedwork.llm.common import fold, materialized, python_ready, text_key, whole_row
 from deedwork.llm.components import components
-from deedwork.session import ship_package
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -45,7 +45,8 @@ EXACT_SHINGLES = 25
 EXACT_PICKS = 3
 STAR_ROUNDS = 3
 _LAST_ID = (1 << 63) - 1
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 100_000
+BATCH_BYTES = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, size=256, dtype=np.uint64)
@@ -165,6 +166,7 @@ def _sketch(least: float):
                     bands = np.concatenate([sketches_of(shingles), exact_keys_of(shingles, least)]).view(np.int64)
                     rows.append(((same >> 64) - (1 << 63), (same & ((1 << 64) - 1)) - (1 << 63), len(words), bands))
                 out = pd.DataFrame(rows, columns=["high", "low", "n", "bands"])
+                pa.default_memory_pool().release_unused()
                 yield pd.DataFrame({"doc": part["doc"].to_numpy(), "key": part["key"].to_numpy()}).join(out)
 
     return run
@@ -184,6 +186,7 @@ def _sequence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = [np.array([_hash_of[w] >> 32 for w in words_of(text)], dtype="<u4") for text in batch["text"]]
         shingles = [shingles_of(w.astype(np.uint64)) for w in words]
         out = pd.DataFrame({"node": batch["node"].to_numpy(), "n": [len(s) for s in shingles], "words": [w.tobytes() for w in words]})
+        pa.default_memory_pool().release_unused()
         marks = np.array([marks_of(s) for s in shingles], dtype=np.int64).reshape(-1, len(MARKS))
         yield out.join(pd.DataFrame(marks, columns=MARKS))
 
@@ -215,6 +218,7 @@ def _verify(least: float):
                 aligned(shingles(u, a), shingles(v, b), least) >= least - 1e-9
                 for u, v, a, b in zip(batch["u"], batch["v"], batch["a"], batch["b"], strict=True)
             ]
+            pa.default_memory_pool().release_unused()
             yield batch.loc[told, ["u", "v"]]
 
     return run
@@ -262,7 +266,7 @@ def _classes(buckets: DataFrame, sequences: DataFrame, least: float) -> DataFram
 
 def _members(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
     """One row per input row: ``doc``, ``key`` and ``label``, the same for all rows of a class and null for texts without words."""
-    ship_package(docs.sparkSession)
+    python_ready(docs.sparkSession, BATCH_BYTES)
     read = fold(docs, {"id": id_col, "text": text_col})
     keyed = read.select("id", F.coalesce(F.col("id").cast("bigint"), F.lit(_LAST_ID)).alias("doc"), text_key(F.col("text")).alias("key"), "text")
     schema = "doc long, key binary, high long, low long, n int, bands array<long>"

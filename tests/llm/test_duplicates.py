@@ -281,3 +281,10 @@ def test_the_pipeline_takes_odd_rows(spark, docs_of):
     assert len(kept["exact"]) == 4 and [t for _, t in kept["exact"]].count(tale) == 1
     assert len(kept["near"]) == len(kept["decontaminated"]) == 3
     assert Counter(str(r.doc_id) for r in docs.collect() if r.start == 0) == Counter(i for i, _ in kept["decontaminated"])
+
+
+def test_batches_of_near_duplicates_are_bounded_by_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(k, f"one text {k % 2} of some more words") for k in range(4)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_dedup.keep_first(docs).collect()) == [0, 1]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == near_dedup.BATCH_BYTES
